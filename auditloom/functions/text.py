@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,63 +55,79 @@ def fingerprint(rule_id: Column, path: Column, category: Column, snippet: Column
     return F.substring(F.sha2(raw, 256), 1, 16)
 
 
-def _stars(n: Column) -> Column:
-    return F.repeat(F.lit("*"), F.greatest(F.lit(6), n))
-
-
-def mask_secret(value: Column) -> Column:
-    """Keep a short recognisable head of one secret and star the rest."""
-    v = strip(value)
-    scheme = F.regexp_extract(v, r"^([a-zA-Z][a-zA-Z0-9+.-]*://)", 1)
-    body = F.substring(v, F.length(scheme) + 1, F.length(v))
-    host = F.substring_index(body, "@", -1)
-    login = F.substring(body, F.lit(1), F.length(body) - F.length(host) - 1)
-    colon = F.instr(login, ":")
-    # `.` in the scheme form spans one line only
-    is_url = v.rlike(java_pattern(r"^[a-zA-Z][a-zA-Z0-9+.-]*:\/\/.*$")) & body.contains("@") & (colon > 1)
-    masked = F.when(v.isNull() | (F.length(v) <= 6), F.lit("******"))
-    masked = masked.when(
-        is_url,
-        F.concat(scheme, F.substring(login, F.lit(1), colon - 1), F.lit(":********@"), host),
+def sql_text(value: str | None) -> str:
+    """A SQL string literal; ``$`` is escaped, as ``${..}`` would be taken for a variable."""
+    if value is None:
+        return "cast(null as string)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024") + "'"
+
+
+def constant_array(values: Iterable[str | None]) -> Column:
+    """One parsed literal array; long constant lists built call by call are slow to plan."""
+    return F.expr("array(" + ", ".join(sql_text(v) for v in values) + ")")
+
+
+def constant_map(pairs: Mapping[str, object]) -> Column:
+    items = ", ".join(f"{sql_text(k)}, {sql_text(v) if isinstance(v, str) else v}" for k, v in pairs.items())
+    return F.expr(f"map({items})")
+
+
+def mask_secret_text(value: str) -> str:
+    """SQL text that keeps a short recognisable head of one secret and stars the rest.
+
+    ``value`` is a column name or SQL text of an already trimmed string.
+    """
+    v = value
+    scheme = f"regexp_extract({v}, '^([a-zA-Z][a-zA-Z0-9+.-]*://)', 1)"
+    body = f"substring({v}, length({scheme}) + 1)"
+    host = f"substring_index({body}, '@', -1)"
+    login = f"left({body}, length({body}) - length({host}) - 1)"
+    colon = f"instr({login}, ':')"
+    is_url = f"length({scheme}) > 0 AND contains({body}, '@') AND {colon} > 1"
+    prefixes = " ".join(
+        f"WHEN startswith({v}, {sql_text(p)}) THEN concat({sql_text(p)}, repeat('*', greatest(6, length({v}) - {len(p)})))"
+        for p in KNOWN_PREFIXES
+    )
+    keep = f"least(4, cast(floor(length({v}) / 3) as int))"
+    return (
+        f"CASE WHEN {v} IS NULL OR length({v}) <= 6 THEN '******'"
+        f" WHEN {is_url} THEN concat({scheme}, left({login}, {colon} - 1), ':********@', {host})"
+        f" {prefixes}"
+        f" ELSE concat(left({v}, {keep}), repeat('*', greatest(6, length({v}) - {keep}))) END"
     )
-    for prefix in KNOWN_PREFIXES:
-        masked = masked.when(v.startswith(prefix), F.concat(F.lit(prefix), _stars(F.length(v) - len(prefix))))
-    keep = F.least(F.lit(4), F.floor(F.length(v) / 3).cast("int"))
-    return masked.otherwise(F.concat(F.substring(v, F.lit(1), keep), _stars(F.length(v) - keep)))
 
 
-def _mask_known_formats(text: Column) -> Column:
+def with_masked_secret(df: DataFrame, source: str, target: str) -> DataFrame:
+    """Add ``target``: the text of ``source`` taken as one secret and masked."""
+    return df.withColumn("__v", strip(F.col(source))).withColumn(target, F.expr(mask_secret_text("__v"))).drop("__v")
+
+
+def _known_formats_text(text: str) -> str:
     """URL passwords, then every known-prefix token of six characters or more."""
-    out = F.regexp_replace(text, java_pattern(URL_LOGIN), "$1$2:********$4")
+    out = f"regexp_replace({text}, {sql_text(java_pattern(URL_LOGIN))}, '$1$2:********$4')"
     for prefix in KNOWN_PREFIXES:
         head = prefix.replace(".", r"\.")
         # one star per token character; \G carries on from the previous replacement
-        out = F.regexp_replace(
-            out, rf"(\G(?!^)|{head}(?=[A-Za-z0-9_\-]{{6}}))[A-Za-z0-9_\-]", "$1*"
-        )
+        rx = rf"(\G(?!^)|{head}(?=[A-Za-z0-9_\-]{{6}}))[A-Za-z0-9_\-]"
+        out = f"regexp_replace({out}, {sql_text(rx)}, '$1*')"
     return out
 
 
-def _mask_assignments(text: Column) -> Column:
+def _assignments_text(text: str) -> str:
     """Star quoted values assigned to secret-like names, keeping the text around them."""
-    rx = java_pattern(SECRET_ASSIGNMENT, True)
-    gaps = F.split(text, rx)
-    parts = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(rx), 1).alias("lead"),
-        F.regexp_extract_all(text, F.lit(rx), 2).alias("value"),
-        F.regexp_extract_all(text, F.lit(rx), 3).alias("tail"),
-    )
-    masked = F.transform(parts, lambda p: F.concat(p["lead"], mask_secret(p["value"]), p["tail"]))
-    rebuilt = F.transform(gaps, lambda gap, i: F.concat(gap, F.coalesce(F.get(masked, i), F.lit(""))))
-    return F.when(text.rlike(rx), F.array_join(rebuilt, "")).otherwise(text)
+    rx = sql_text(java_pattern(SECRET_ASSIGNMENT, True))
+    parts = ", ".join(f"regexp_extract_all({text}, {rx}, {n})" for n in (1, 2, 3))
+    masked = f"transform(arrays_zip({parts}), p -> concat(p.`0`, {mask_secret_text('p.`1`')}, p.`2`))"
+    rebuilt = f"transform(split({text}, {rx}), (gap, i) -> concat(gap, coalesce(get({masked}, i), '')))"
+    return f"CASE WHEN {text} RLIKE {rx} THEN array_join({rebuilt}, '') ELSE {text} END"
 
 
 def with_masked_snippet(df: DataFrame, source: str, target: str) -> DataFrame:
     """Add ``target``: the text of ``source`` with every recognisable secret masked."""
     step = f"__{target}_known"
     return (
-        df.withColumn(step, _mask_known_formats(F.coalesce(F.col(source), F.lit(""))))
-        .withColumn(target, _mask_assignments(F.col(step)))
+        df.withColumn(step, F.expr(_known_formats_text(f"coalesce(`{source}`, '')")))
+        .withColumn(target, F.expr(_assignments_text(f"`{step}`")))
         .drop(step)
     )
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.functions.regex import java_pattern, strip
+from auditloom.functions.text import constant_map
 from auditloom.operators import fixed_values as V
 from auditloom.operators.digest import split_lines
 from auditloom.operators.rules import ordinals
@@ -14,7 +15,6 @@ PACKAGE_SCHEMA = "dependencies map<string,string>, devDependencies map<string,st
 LOCK_SCHEMA = (
     "packages map<string,struct<name:string,version:string>>, dependencies map<string,struct<version:string>>, _bad string"
 )
-_EMPTY = "map()"
 
 
 def _parse(schema: str) -> Column:
@@ -22,87 +22,96 @@ def _parse(schema: str) -> Column:
     return F.when(parsed["_bad"].isNull(), parsed)
 
 
-def package_json(files: DataFrame) -> DataFrame:
-    """(repo_id, valid, deps): the root manifest; a dev entry wins over a plain one of the same name."""
+def package_deps() -> Column:
+    """Map of a ``package.json``: a dev entry wins over a plain one of the same name; NULL if unreadable."""
     empty = F.expr("cast(map() as map<string,string>)")
-    read = files.filter(F.col("path") == "package.json").select("repo_id", _parse(PACKAGE_SCHEMA).alias("p"))
-    plain = F.coalesce(F.col("p.dependencies"), empty)
-    dev = F.coalesce(F.col("p.devDependencies"), empty)
-    return read.select(
-        "repo_id",
-        F.col("p").isNotNull().alias("valid"),
-        F.map_concat(F.map_filter(plain, lambda k, v: ~F.map_contains_key(dev, k)), dev).alias("deps"),
-    )
+    parsed = _parse(PACKAGE_SCHEMA)
+    plain = F.coalesce(parsed["dependencies"], empty)
+    dev = F.coalesce(parsed["devDependencies"], empty)
+    merged = F.map_concat(F.map_filter(plain, lambda k, v: ~F.map_contains_key(dev, k)), dev)
+    return F.when(parsed.isNotNull(), merged)
 
 
-def manifest_dependencies(files: DataFrame) -> DataFrame:
-    return package_json(files).select("repo_id", F.explode("deps").alias("name", "version"))
+def _entry(name: Column, version: Column, order: int, source: str) -> Column:
+    return F.struct(
+        name.alias("name"), version.alias("version"), F.lit(order).alias("o"), F.lit(source).alias("source_file")
+    )
 
 
-def lock_dependencies(files: DataFrame) -> DataFrame:
-    """(repo_id, name, version) of ``package-lock.json``: the newer layout, else the older one."""
-    read = files.filter(F.col("path") == "package-lock.json").select("repo_id", _parse(LOCK_SCHEMA).alias("p"))
+def _lock_entries() -> Column:
+    """``package-lock.json``: the newer layout, else the older one."""
+    parsed = _parse(LOCK_SCHEMA)
     newer = F.transform(
-        F.filter(F.map_entries("p.packages"), lambda e: e["key"] != ""),
-        lambda e: F.struct(
-            F.when(F.coalesce(e["value"]["name"], F.lit("")) != "", e["value"]["name"])
-            .otherwise(F.regexp_replace(e["key"], "^node_modules/", ""))
-            .alias("name"),
-            e["value"]["version"].alias("version"),
+        F.filter(F.map_entries(parsed["packages"]), lambda e: e["key"] != ""),
+        lambda e: _entry(
+            F.when(F.coalesce(e["value"]["name"], F.lit("")) != "", e["value"]["name"]).otherwise(
+                F.regexp_replace(e["key"], "^node_modules/", "")
+            ),
+            e["value"]["version"],
+            2,
+            "package-lock.json",
         ),
     )
     older = F.transform(
-        F.map_entries("p.dependencies"),
-        lambda e: F.struct(e["key"].alias("name"), e["value"]["version"].alias("version")),
+        F.map_entries(parsed["dependencies"]),
+        lambda e: _entry(e["key"], e["value"]["version"], 2, "package-lock.json"),
     )
-    return read.select(
-        "repo_id", F.explode(F.when(F.col("p.packages").isNotNull(), newer).otherwise(older)).alias("d")
-    ).select("repo_id", "d.name", "d.version")
+    return F.when(parsed["packages"].isNotNull(), newer).otherwise(older)
 
 
-def requirement_dependencies(files: DataFrame) -> DataFrame:
-    line = strip(F.col("text"))
+def _requirement_entries() -> Column:
     rx = java_pattern(V.REQUIREMENT_LINE)
-    version = strip(F.regexp_extract(line, rx, 3))
+    stripped = F.transform(split_lines(F.col("content")), strip)
+    kept = F.filter(stripped, lambda t: (t != "") & ~t.startswith("#") & t.rlike(rx))
+    return F.transform(
+        kept,
+        lambda t: _entry(
+            F.regexp_extract(t, rx, 1), F.nullif(strip(F.regexp_extract(t, rx, 3)), F.lit("")), 3, "requirements.txt"
+        ),
+    )
+
+
+def declared(files: DataFrame) -> DataFrame:
+    """(repo_id, name, version, o, source_file): every entry of the three root files, in one scan."""
+    package = F.transform(
+        F.map_entries(package_deps()), lambda e: _entry(e["key"], e["value"], 1, "package.json")
+    )
+    path = F.col("path")
+    entries = (
+        F.when(path == "package.json", package)
+        .when(path == "package-lock.json", _lock_entries())
+        .when(path == "requirements.txt", _requirement_entries())
+    )
     return (
-        files.filter(F.col("path") == "requirements.txt")
-        .select("repo_id", F.explode(split_lines(F.col("content"))).alias("text"))
-        .filter((line != "") & ~line.startswith("#") & line.rlike(rx))
-        .select("repo_id", F.regexp_extract(line, rx, 1).alias("name"), F.when(version != "", version).alias("version"))
+        files.filter(path.isin("package.json", "package-lock.json", "requirements.txt"))
+        .select("repo_id", F.explode_outer(entries).alias("d"))
+        .filter(F.col("d").isNotNull())
+        .select("repo_id", "d.*")
     )
 
 
-def dependencies(files: DataFrame) -> DataFrame:
-    """(repo_id, name, version, type, source_file), distinct on (name, version, type), first source wins."""
-    manifest = manifest_dependencies(files)
-    direct_names = manifest.select("repo_id", "name").withColumn("is_direct", F.lit(True))
-    lock = lock_dependencies(files).join(direct_names, ["repo_id", "name"], "left")
+def lock_dependencies(files: DataFrame) -> DataFrame:
+    return declared(files).filter(F.col("o") == 2).select("repo_id", "name", "version")
 
-    def shaped(df: DataFrame, kind: Column, order: int, source: str) -> DataFrame:
-        return df.select(
-            "repo_id",
-            "name",
-            "version",
-            kind.alias("type"),
-            F.struct(F.lit(order).alias("o"), F.lit(source).alias("source_file")).alias("s"),
-        )
 
-    every = (
-        shaped(manifest, F.lit("direct"), 1, "package.json")
-        .unionByName(
-            shaped(
-                lock,
-                F.when(F.col("is_direct"), F.lit("direct")).otherwise(F.lit("transitive")),
-                2,
-                "package-lock.json",
-            )
-        )
-        .unionByName(shaped(requirement_dependencies(files), F.lit("direct"), 3, "requirements.txt"))
-    )
+def dependencies(files: DataFrame) -> DataFrame:
+    """(repo_id, name, version, type, source_file), distinct on (name, version, type), first source wins.
+
+    A lockfile entry is direct iff the manifest names it; both that test and the
+    distinct step share one shuffle on (repo_id, name).
+    """
+    per_name = Window.partitionBy("repo_id", "name")
+    named = F.max((F.col("o") == 1).cast("int")).over(per_name) == 1
     return (
-        every.withColumn("v", F.coalesce(F.col("version"), F.lit("")))
+        declared(files)
+        .withColumns(
+            {
+                "type": F.when((F.col("o") != 2) | named, F.lit("direct")).otherwise(F.lit("transitive")),
+                "v": F.coalesce(F.col("version"), F.lit("")),
+            }
+        )
         .groupBy("repo_id", "name", "v", "type")
-        .agg(F.min("s").alias("s"))
+        .agg(F.min(F.struct("o", "source_file")).alias("s"))
         .select(
             "repo_id",
             "name",
@@ -123,7 +132,7 @@ def dependency_counts(inventory: DataFrame) -> DataFrame:
 
 def deny_listed(inventory: DataFrame) -> DataFrame:
     """Inventory rows on the fixed two-row deny list, ignoring case."""
-    reasons = F.create_map(*[F.lit(x) for kv in V.DENY_LIST.items() for x in kv])
+    reasons = constant_map(V.DENY_LIST)
     return inventory.filter(F.lower("name").isin(*V.DENY_LIST)).withColumn(
         "reason", F.try_element_at(reasons, F.lower("name"))
     )

@@ -7,7 +7,7 @@ the result is what all later joins and aggregations work on.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,10 +134,12 @@ def rule_hits(
     prefilter: bool = True,
     user_rules: Iterable[Rule] = (),
     keep: Iterable[str] = (),
+    extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Add ``hits``: array of (line, text, ords) for the selected line and file rules.
 
-    Further columns of the result are ``repo_id``, ``path`` and ``keep``.
+    Further columns of the result are ``repo_id``, ``path``, ``keep`` and ``extra``,
+    expressions over (path, base, ext, content) that share the same read.
     """
     table = list(RULES) + list(user_rules)
     chosen = set(range(len(table))) if selected is None else set(selected)
@@ -178,11 +180,15 @@ def rule_hits(
 
     keep = list(keep)
     flags = file_flags()
-    needed = {n: flags[n] for n in flags if n in used}
+    needed = {n: flags[n]() for n in flags if n in used}
     fenced = with_barrier(with_names(files), {"lines": split_lines(F.col("content")), **needed})
     infra = F.col("is_dockerfile") | F.col("is_compose") | F.col("is_ci")
     return fenced.withColumn("candidates", _candidates(prefilter, infra)).select(
-        "repo_id", "path", *keep, hits.cast(f"array<{HIT}>").alias("hits")
+        "repo_id",
+        "path",
+        *keep,
+        hits.cast(f"array<{HIT}>").alias("hits"),
+        *[c.alias(n) for n, c in (extra or {}).items()],
     )
 
 

@@ -2,51 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.functions.regex import strip
 from auditloom.operators import fixed_values as V
 from auditloom.operators.digest import split_lines
 from auditloom.operators.rules import ordinals
+from auditloom.sources.files import small_side
 
 
-def documented_env(files: DataFrame) -> DataFrame:
-    """(repo_id, name) declared in the root ``.env.example``."""
-    line = strip(F.col("text"))
+def documented_names() -> Column:
+    """Names declared in an ``.env.example``."""
+    stripped = F.transform(split_lines(F.col("content")), strip)
+    kept = F.filter(stripped, lambda t: (t != "") & ~t.startswith("#"))
+    names = F.transform(kept, lambda t: strip(F.substring_index(t, "=", 1)))
+    return F.when(F.col("path") == ".env.example", F.array_distinct(names))
+
+
+def referenced_names() -> Column:
+    """``process.env`` names in a file that is neither a test nor an env file."""
+    path, content = F.col("path"), F.col("content")
+    known = F.array(*[F.lit(n) for n in V.WELL_KNOWN_ENV])
+    found = F.array_except(F.regexp_extract_all(content, F.lit(V.ENV_REFERENCE), 1), known)
+    return F.when(~path.contains("test") & ~path.contains(".env") & content.contains("process.env."), found)
+
+
+def env_rows(files: DataFrame) -> DataFrame:
+    """(repo_id, documented, referenced): the names found in each file, in one scan."""
+    return files.select("repo_id", documented_names().alias("documented"), referenced_names().alias("referenced"))
+
+
+def env_names(rows: DataFrame) -> DataFrame:
+    """(repo_id, name, documented, referenced): one row per name."""
+
+    def tagged(column: str, documented: bool) -> Column:
+        return F.transform(
+            F.coalesce(F.col(column), F.expr("cast(array() as array<string>)")),
+            lambda n: F.struct(n.alias("name"), F.lit(documented).alias("doc")),
+        )
+
     return (
-        files.filter(F.col("path") == ".env.example")
-        .select("repo_id", F.explode(split_lines(F.col("content"))).alias("text"))
-        .filter((line != "") & ~line.startswith("#"))
-        .select("repo_id", strip(F.substring_index(line, "=", 1)).alias("name"))
-        .distinct()
+        rows.filter(F.col("documented").isNotNull() | F.col("referenced").isNotNull())
+        .select("repo_id", F.explode_outer(F.concat(tagged("documented", True), tagged("referenced", False))).alias("n"))
+        .filter(F.col("n").isNotNull())
+        .groupBy("repo_id", "n.name")
+        .agg(F.bool_or("n.doc").alias("documented"), F.bool_or(~F.col("n.doc")).alias("referenced"))
     )
 
 
 def env_references(files: DataFrame) -> DataFrame:
-    """(repo_id, name) of ``process.env`` references outside tests and env files."""
-    return (
-        files.filter(
-            ~F.col("path").contains("test") & ~F.col("path").contains(".env") & F.col("content").contains("process.env.")
-        )
-        .select(
-            "repo_id",
-            F.explode_outer(
-                F.array_distinct(F.regexp_extract_all("content", F.lit(V.ENV_REFERENCE), 1))
-            ).alias("name"),
-        )
-        .filter(F.col("name").isNotNull() & ~F.col("name").isin(*V.WELL_KNOWN_ENV))
-        .distinct()
-    )
+    return env_names(env_rows(files)).filter("referenced").select("repo_id", "name")
+
 
+def undocumented_env(names: DataFrame, files: DataFrame) -> DataFrame:
+    """Names used in code but absent from ``.env.example``, where that file exists.
 
-def undocumented_env(files: DataFrame) -> DataFrame:
-    """Names used in code but absent from ``.env.example``, where that file exists."""
+    ``names`` comes from :func:`env_names`; of ``files`` only paths are read.
+    """
     documents = files.filter(F.col("path") == ".env.example").select("repo_id")
     return (
-        env_references(files)
-        .join(documents, "repo_id", "left_semi")
-        .join(documented_env(files), ["repo_id", "name"], "left_anti")
+        names.filter(F.col("referenced") & ~F.col("documented"))
+        .select("repo_id", "name")
+        .join(small_side(documents), "repo_id", "left_semi")
     )
 
 
@@ -60,13 +78,17 @@ def active_env(files: DataFrame) -> DataFrame:
     )
 
 
-def missing_env(files: DataFrame) -> DataFrame:
+def missing_env(names: DataFrame, files: DataFrame) -> DataFrame:
     """(repo_id, path, name): documented names the active file does not assign."""
     active = active_env(files)
-    names = documented_env(files).join(active.select("repo_id", "path"), "repo_id")
-    text = active.select(F.col("repo_id").alias("a_repo"), "content")
     assigned = F.col("content").contains(F.concat(F.col("name"), F.lit("=")))
-    return names.join(text, (F.col("repo_id") == F.col("a_repo")) & assigned, "left_anti")
+    return (
+        names.filter("documented")
+        .select("repo_id", "name")
+        .join(active, "repo_id")
+        .filter(~assigned)
+        .select("repo_id", "path", "name")
+    )
 
 
 def first_names(names: DataFrame, count: int = 3) -> DataFrame:
@@ -103,7 +125,9 @@ def name_list_hits(names: DataFrame, path: DataFrame | str, rule_id: str, label:
     )
 
 
-def env_hits(files: DataFrame) -> DataFrame:
-    undocumented = name_list_hits(undocumented_env(files), ".env.example", "CONFIG-007", "Undocumented variables")
-    missing = missing_env(files)
+def env_hits(names: DataFrame, files: DataFrame) -> DataFrame:
+    undocumented = name_list_hits(
+        undocumented_env(names, files), ".env.example", "CONFIG-007", "Undocumented variables"
+    )
+    missing = missing_env(names, files)
     return undocumented.unionByName(name_list_hits(missing, missing, "CONFIG-005", "Missing variables"))

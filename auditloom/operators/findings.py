@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditloom.functions.regex import java_pattern, strip
-from auditloom.functions.text import fingerprint, with_masked_snippet
+from auditloom.functions.text import constant_array, constant_map, fingerprint, with_masked_snippet
 from auditloom.operators import fixed_values as V
 from auditloom.operators.rules import RULES, Rule
 from auditloom.sources.files import small_side
@@ -33,18 +33,16 @@ FINDING_COLUMNS = (
 
 
 def severity_rank(severity: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in V.SEVERITY_RANK.items() for x in kv]), severity)
+    return F.element_at(constant_map(V.SEVERITY_RANK), severity)
 
 
 def sarif_level(severity: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for kv in V.SARIF_LEVEL.items() for x in kv])
-    return F.coalesce(F.try_element_at(known, severity), F.lit("note"))
+    return F.coalesce(F.try_element_at(constant_map(V.SARIF_LEVEL), severity), F.lit("note"))
 
 
 def _field(table: Sequence[Rule], name: str) -> Column:
     """Rule attribute of column ``ord``, from a constant array instead of a join."""
-    values = F.array(*[F.lit(getattr(r, name)).cast("string") for r in table])
-    return F.element_at(values, F.col("ord") + 1)
+    return F.element_at(constant_array(getattr(r, name) for r in table), F.col("ord") + 1)
 
 
 def to_findings(hits: DataFrame, user_rules: Sequence[Rule] = (), keep: Sequence[str] = ()) -> DataFrame:

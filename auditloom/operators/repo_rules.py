@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from auditloom.functions.regex import has, has_cs
 from auditloom.operators import fixed_values as V
-from auditloom.operators.manifest import manifest
 from auditloom.operators.roles import any_of, is_ci, path_has, with_names
 from auditloom.operators.rules import ordinals
 
 
-def repo_facts(files: DataFrame) -> DataFrame:
-    """One row per repository; every fact is decided per file and combined before the shuffle."""
+def file_facts() -> dict[str, Column]:
+    """Per-file answers to the repository questions, over (path, base, ext, content)."""
     path, content = F.col("path"), F.col("content")
     lower = F.lower(path)
     code = F.col("ext").isin(*V.CODE_EXT)
@@ -22,22 +21,38 @@ def repo_facts(files: DataFrame) -> DataFrame:
     test_file = any_of(*[lower.contains(w) for w in (".test.", ".spec.", "test_")]) | any_of(
         *[lower.startswith(w) for w in ("tests/", "__tests__/")]
     )
-    return with_names(files).groupBy("repo_id").agg(
-        F.min(F.when(server_like, path)).alias("server_file"),
-        F.bool_or(server_like & has(content, V.SECURITY_HEADERS)).alias("headers"),
-        F.bool_or(code & any_of(*[has_cs(content, p) for p in V.HEALTH_PATHS])).alias("health"),
-        F.bool_or(code & content.contains("SIGTERM") & has_cs(content, V.SHUTDOWN_HOOKS)).alias("shutdown"),
-        F.bool_or(code & (has_cs(content, V.LOGGER_IMPORT) | has_cs(content, V.LOGGER_REQUIRE))).alias("logger"),
-        F.count_if(test_file).alias("test_files"),
-        F.bool_or(is_ci(lower) & any_of(*[has(content, p) for p in V.CI_TEST_STEPS])).alias("ci_tests"),
+    return {
+        "f_server": server_like,
+        "f_headers": server_like & has(content, V.SECURITY_HEADERS),
+        "f_health": code & any_of(*[has_cs(content, p) for p in V.HEALTH_PATHS]),
+        "f_shutdown": code & content.contains("SIGTERM") & has_cs(content, V.SHUTDOWN_HOOKS),
+        "f_logger": code & (has_cs(content, V.LOGGER_IMPORT) | has_cs(content, V.LOGGER_REQUIRE)),
+        "f_test": test_file,
+        "f_ci_tests": is_ci(lower) & any_of(*[has(content, p) for p in V.CI_TEST_STEPS]),
+    }
+
+
+def repo_facts(per_file: DataFrame) -> DataFrame:
+    """One row per repository from rows (repo_id, path, f_...); combined before the shuffle."""
+    path = F.col("path")
+    return per_file.groupBy("repo_id").agg(
+        F.min(F.when(F.col("f_server"), path)).alias("server_file"),
+        F.bool_or("f_headers").alias("headers"),
+        F.bool_or("f_health").alias("health"),
+        F.bool_or("f_shutdown").alias("shutdown"),
+        F.bool_or("f_logger").alias("logger"),
+        F.count_if(F.col("f_test")).alias("test_files"),
+        F.bool_or("f_ci_tests").alias("ci_tests"),
         F.min(F.when(path.isin(*V.ROOT_ENV_FILES), path)).alias("root_env"),
     )
 
 
-def repo_hits(files: DataFrame, manifests: DataFrame | None = None, visible: DataFrame | None = None) -> DataFrame:
-    """Repository-scope hits; ``visible`` is the file set used for discovery."""
-    facts = repo_facts(files)
-    manifests = manifest(visible if visible is not None else files) if manifests is None else manifests
+def facts_of(files: DataFrame) -> DataFrame:
+    return repo_facts(with_names(files).select("repo_id", "path", *[c.alias(n) for n, c in file_facts().items()]))
+
+
+def repo_hits(facts: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Repository-scope hits from :func:`repo_facts` and the manifests."""
     all_facts = facts.join(manifests, "repo_id", "left")
     routes = F.coalesce(F.col("routes_count"), F.lit(0))
     packages = F.coalesce(F.col("package_manifests"), F.lit(0))

@@ -6,6 +6,7 @@ the ones its rules ask for, once per file.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -52,44 +53,44 @@ def is_ci(path: Column) -> Column:
     return path.contains(".github/workflows") | path.contains(".gitlab-ci")
 
 
-def file_flags() -> dict[str, Column]:
-    """Named predicates over (path, base, ext, content)."""
+def file_flags() -> dict[str, Callable[[], Column]]:
+    """Named predicates over (path, base, ext, content); a query builds only those it uses."""
     ext, base, content = F.col("ext"), F.col("base"), F.col("content")
     lower_base = F.lower(base)
     return {
         # extension groups
-        "is_code": ext.isin(*V.CODE_EXT),
-        "is_js": ext.isin(*V.JS_EXT),
-        "is_code_json": ext.isin(*V.CODE_EXT, ".json"),
-        "is_unsafe_ext": ext.isin(*V.CODE_EXT, ".mjs"),
-        "is_python": F.col("path").endswith(".py"),
-        "is_reliability": ext.isin(*V.RELIABILITY_EXT),
-        "is_misconfig": ext.isin(*V.MISCONFIG_EXT) | base.isin(*V.MISCONFIG_EXT),
+        "is_code": lambda: ext.isin(*V.CODE_EXT),
+        "is_js": lambda: ext.isin(*V.JS_EXT),
+        "is_code_json": lambda: ext.isin(*V.CODE_EXT, ".json"),
+        "is_unsafe_ext": lambda: ext.isin(*V.CODE_EXT, ".mjs"),
+        "is_python": lambda: F.col("path").endswith(".py"),
+        "is_reliability": lambda: ext.isin(*V.RELIABILITY_EXT),
+        "is_misconfig": lambda: ext.isin(*V.MISCONFIG_EXT) | base.isin(*V.MISCONFIG_EXT),
         # path roles; each rule family has its own definition
-        "api_path": path_has("api/", "routes/", "controllers/", "views.py") | path_ends("route.ts", "route.js"),
-        "auth_api_path": path_has("api/", "routes/") | path_ends("route.ts", "route.js"),
-        "admin_path": path_has("admin", "manage"),
-        "id_path": path_has("[", ":id"),
-        "client_component": content_has("'use client'", '"use client"')
+        "api_path": lambda: path_has("api/", "routes/", "controllers/", "views.py") | path_ends("route.ts", "route.js"),
+        "auth_api_path": lambda: path_has("api/", "routes/") | path_ends("route.ts", "route.js"),
+        "admin_path": lambda: path_has("admin", "manage"),
+        "id_path": lambda: path_has("[", ":id"),
+        "client_component": lambda: content_has("'use client'", '"use client"')
         | path_has("components/")
         | path_ends(".tsx", ".jsx"),
-        "log_skipped": path_has("test", "spec"),
-        "rel_test_doc": path_has("test", "fixture", "example", "doc"),
-        "data_test": path_has("test", "fixture", "example"),
-        "config_path": path_has("config", "settings", ".env.") | path_ends(".env"),
-        "prod_path": path_has("prod"),
-        "test_path": path_has("test"),
-        "is_dockerfile": lower_base.contains("dockerfile"),
-        "is_compose": lower_base.contains("docker-compose") | lower_base.contains("compose.yaml"),
-        "is_ci": is_ci(F.col("path")),
-        "env_file": base.startswith(".env") & ~F.col("path").isin(*V.ENV_TEMPLATES),
+        "log_skipped": lambda: path_has("test", "spec"),
+        "rel_test_doc": lambda: path_has("test", "fixture", "example", "doc"),
+        "data_test": lambda: path_has("test", "fixture", "example"),
+        "config_path": lambda: path_has("config", "settings", ".env.") | path_ends(".env"),
+        "prod_path": lambda: path_has("prod"),
+        "test_path": lambda: path_has("test"),
+        "is_dockerfile": lambda: lower_base.contains("dockerfile"),
+        "is_compose": lambda: lower_base.contains("docker-compose") | lower_base.contains("compose.yaml"),
+        "is_ci": lambda: is_ci(F.col("path")),
+        "env_file": lambda: base.startswith(".env") & ~F.col("path").isin(*V.ENV_TEMPLATES),
         # whole-file markers
-        "has_jwt_verify": has(content, V.JWT_VERIFY),
-        "has_hashing": has(content, V.PASSWORD_HASHING),
-        "has_http_only": content_has("httpOnly"),
-        "has_credentials": has(content, V.CORS_CREDENTIALS),
-        "has_body": content_has("req.body"),
-        "has_server_marker": content_has(*V.SERVER_MARKERS),
-        "has_catch_call": content_has(".catch("),
-        "has_admin_guard": has(content, V.ADMIN_GUARD),
+        "has_jwt_verify": lambda: has(content, V.JWT_VERIFY),
+        "has_hashing": lambda: has(content, V.PASSWORD_HASHING),
+        "has_http_only": lambda: content_has("httpOnly"),
+        "has_credentials": lambda: has(content, V.CORS_CREDENTIALS),
+        "has_body": lambda: content_has("req.body"),
+        "has_server_marker": lambda: content_has(*V.SERVER_MARKERS),
+        "has_catch_call": lambda: content_has(".catch("),
+        "has_admin_guard": lambda: has(content, V.ADMIN_GUARD),
     }

@@ -57,6 +57,13 @@ def _is_next_pages() -> Column:
     return F.col("path").rlike(java_pattern(V.NEXT_PAGES_PATH)) & ~_is_next_app()
 
 
+def may_route() -> Column:
+    """Files any route form can come from; later steps need only their contents."""
+    content, path = F.col("content"), F.col("path")
+    script = any_of(*[path.endswith(e) for e in V.EXPRESS_EXT]) & has(content, V.EXPRESS_ROUTE)
+    return _is_next_app() | _is_next_pages() | script | (path.endswith(".py") & has(content, V.PYTHON_ROUTE))
+
+
 def _finish(rows: DataFrame, vocabulary: tuple) -> DataFrame:
     """Rows (repo_id, path, method, route_path, line, framework, code) to routes; the code is dropped here."""
     code = F.col("code")

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from auditloom.functions.regex import has, has_cs
-from auditloom.functions.text import SECRET_ASSIGNMENT, URL_LOGIN
+from auditloom.functions.text import SECRET_ASSIGNMENT, URL_LOGIN, constant_array
 from auditloom.operators import fixed_values as V
 
 
@@ -411,8 +411,7 @@ STATE_WORDS = ("cache", "queue", "store", "logs", "history", "buffer")
 
 
 def is_candidate(lower_text: Column) -> Column:
-    words = F.array(*[F.lit(w) for w in CANDIDATE_WORDS])
-    state = F.array(*[F.lit(w) for w in STATE_WORDS])
+    words, state = constant_array(CANDIDATE_WORDS), constant_array(STATE_WORDS)
     return F.exists(words, lambda w: lower_text.contains(w)) | (
         lower_text.contains("=") & F.exists(state, lambda w: lower_text.contains(w))
     )

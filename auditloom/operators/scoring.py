@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.functions.text import half_up
+from auditloom.functions.text import constant_map, half_up
 from auditloom.operators import fixed_values as V
 from auditloom.operators.rules import RULES
 
@@ -13,7 +13,7 @@ DIMENSIONS = ("Security", "Reliability", "Configuration", "Dependencies", "Archi
 
 
 def _lookup(values: dict, key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
+    return F.try_element_at(constant_map(values), key)
 
 
 def deduction(severity: Column, confidence: Column) -> Column:

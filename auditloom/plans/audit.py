@@ -13,7 +13,7 @@ from auditloom.operators import scoring
 from auditloom.operators.baseline import new_findings
 from auditloom.operators.dependencies import dependencies, dependency_hits
 from auditloom.operators.digest import explode_hits, rule_hits
-from auditloom.operators.env import env_hits
+from auditloom.operators.env import documented_names, env_hits, env_names, referenced_names
 from auditloom.operators.findings import (
     dedup_findings,
     filter_category,
@@ -23,15 +23,15 @@ from auditloom.operators.findings import (
 )
 from auditloom.operators.graph import correlate_routes
 from auditloom.operators.manifest import manifest
-from auditloom.operators.repo_rules import repo_hits
-from auditloom.operators.routes import routes
+from auditloom.operators.repo_rules import file_facts, repo_facts, repo_hits
+from auditloom.operators.routes import may_route, routes
 from auditloom.operators.rules import Rule
 from auditloom.operators.suppress import suppress
 from auditloom.session import materialize
 from auditloom.sources.files import (
+    ROOT_FILES,
     filter_gitignored,
     filter_ignored_paths,
-    filter_size,
     load_policies,
     load_suppressions,
 )
@@ -42,8 +42,12 @@ class Audit:
 
     ``source`` is (repo_id, path, length, content). The order of steps fixes the
     counts: correlate, de-duplicate, suppress, filter, compare with a baseline,
-    score. ``raw`` is the only frame used more than once; with ``durable`` it is
-    written once and read back.
+    score.
+
+    Contents are read once: ``digest`` holds one row per file with its rule hits
+    and facts, and keeps the text only of the few files later steps look into
+    (root manifests, files with routes or inline markers). With ``durable`` it is
+    written to shared storage, and everything after it reads that small table.
     """
 
     def __init__(
@@ -64,24 +68,49 @@ class Audit:
         self.baseline = baseline
         self.durable = durable
 
+    def _settle(self, df: DataFrame) -> DataFrame:
+        return materialize(df) if self.durable else df
+
     @cached_property
     def policies(self) -> DataFrame:
         return load_policies(self.source)
 
     @cached_property
-    def kept(self) -> DataFrame:
-        """Files outside ignored paths, of any size."""
-        return filter_ignored_paths(self.source, self.policies if self.use_policies else None)
+    def paths(self) -> DataFrame:
+        """(repo_id, path) outside ignored paths, of any size; reads no content."""
+        every = self.source.select("repo_id", "path")
+        return filter_ignored_paths(every, self.policies if self.use_policies else None)
+
+    @cached_property
+    def digest(self) -> DataFrame:
+        root = F.col("path").isin(*ROOT_FILES)
+        readable = self.source.filter((F.col("length") <= V.MAX_FILE_BYTES) | root)
+        kept = filter_ignored_paths(readable, self.policies if self.use_policies else None)
+        marked = F.col("content").contains(V.FILE_MARKER) | F.col("content").contains(V.LINE_MARKER)
+        small = F.col("length") <= V.MAX_FILE_BYTES
+        extra = {
+            "in_scope": small,
+            "documented": documented_names(),
+            "referenced": F.when(small, referenced_names()),
+            "kept_text": F.when(root | marked | (small & may_route()), F.col("content")),
+            **file_facts(),
+        }
+        return self._settle(rule_hits(kept, user_rules=self.user_rules, keep=["length"], extra=extra))
 
     @cached_property
-    def files(self) -> DataFrame:
-        """Files the rules read."""
-        return filter_size(self.kept, V.MAX_FILE_BYTES)
+    def texts(self) -> DataFrame:
+        """The files whose text later steps need, as a files table."""
+        return self.digest.filter(F.col("kept_text").isNotNull()).select(
+            "repo_id", "path", "length", F.col("kept_text").alias("content")
+        )
 
     @cached_property
     def discovered(self) -> DataFrame:
-        """Files the manifest counts: ``.gitignore`` applies here only."""
-        return filter_gitignored(self.kept)
+        """Files the manifest counts, with text for the root files only; ``.gitignore`` applies here."""
+        root = F.col("path").isin(*ROOT_FILES)
+        roots = self.texts.filter(root).select("repo_id", "path", "content")
+        rest = self.paths.filter(~root).withColumn("content", F.lit(None).cast("string"))
+        return filter_gitignored(rest.unionByName(roots))
 
     @cached_property
     def repos(self) -> DataFrame:
@@ -93,21 +122,21 @@ class Audit:
 
     @cached_property
     def inventory(self) -> DataFrame:
-        return dependencies(self.source)
+        return dependencies(self.texts)
 
     @cached_property
     def routes(self) -> DataFrame:
-        return routes(self.files)
+        return routes(self.texts.filter(F.col("length") <= V.MAX_FILE_BYTES))
 
     @cached_property
     def raw(self) -> DataFrame:
         """Findings of every analyzer, before correlation and de-duplication."""
-        hits = explode_hits(rule_hits(self.files, user_rules=self.user_rules))
-        hits = hits.withColumn("fp_text", F.lit(None).cast("string"))
-        hits = hits.unionByName(repo_hits(self.files, self.manifests))
-        hits = hits.unionByName(dependency_hits(self.inventory)).unionByName(env_hits(self.files))
-        found = to_findings(hits, self.user_rules)
-        return materialize(found) if self.durable else found
+        scope = self.digest.filter("in_scope")
+        hits = explode_hits(scope).withColumn("fp_text", F.lit(None).cast("string"))
+        hits = hits.unionByName(repo_hits(repo_facts(scope), self.manifests))
+        names = env_names(self.digest.select("repo_id", "documented", "referenced"))
+        hits = hits.unionByName(dependency_hits(self.inventory)).unionByName(env_hits(names, self.texts))
+        return self._settle(to_findings(hits, self.user_rules))
 
     @cached_property
     def correlated(self) -> DataFrame:
@@ -119,7 +148,7 @@ class Audit:
 
     @cached_property
     def active(self) -> DataFrame:
-        kept = suppress(self.unique, self.source, load_suppressions(self.source))
+        kept = suppress(self.unique, self.texts, load_suppressions(self.texts))
         return filter_rules(kept, self.policies) if self.use_policies else kept
 
     @cached_property

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions.regex import java_pattern, strip
-from auditloom.functions.text import fingerprint, mask_secret, normalize_path, strip_ansi, with_masked_snippet
+from auditloom.functions.text import fingerprint, normalize_path, strip_ansi, with_masked_secret, with_masked_snippet
 from auditloom.operators import baseline as B
 from auditloom.operators import dependencies as D
 from auditloom.operators import env as E
@@ -25,7 +25,7 @@ from auditloom.operators import routes as RT
 from auditloom.operators import scoring as S
 from auditloom.operators import suppress as SP
 from auditloom.operators.digest import explode_hits, explode_lines, rule_hits
-from auditloom.operators.repo_rules import repo_hits
+from auditloom.operators.repo_rules import facts_of, repo_hits
 from auditloom.operators.roles import file_flags, with_names
 from auditloom.operators.rules import FAMILIES, RULES, Rule, family_rules
 from auditloom.plans.audit import Audit, family_findings
@@ -56,6 +56,10 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_size(filter_ignored_paths(corpus_files(spark, sf_dir)))
 
 
+def _discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_gitignored(filter_ignored_paths(corpus_files(spark, sf_dir)))
+
+
 def _audit(spark: SparkSession, sf_dir: str, **options) -> Audit:
     return Audit(corpus_files(spark, sf_dir), **options)
 
@@ -122,14 +126,14 @@ def file_roles(spark, sf_dir):
         "data_test", "config_path", "prod_path", "is_dockerfile", "is_compose", "is_ci", "env_file", "is_python",
     )
     flags = file_flags()
-    return with_names(_files(spark, sf_dir)).select("repo_id", "path", "ext", *[flags[n].alias(n) for n in names])
+    return with_names(_files(spark, sf_dir)).select("repo_id", "path", "ext", *[flags[n]().alias(n) for n in names])
 
 
 @query
 def content_flags(spark, sf_dir):
     names = ("has_jwt_verify", "has_hashing", "has_http_only", "has_credentials", "has_body", "has_server_marker")
     flags = file_flags()
-    return with_names(_files(spark, sf_dir)).select("repo_id", "path", *[flags[n].alias(n) for n in names])
+    return with_names(_files(spark, sf_dir)).select("repo_id", "path", *[flags[n]().alias(n) for n in names])
 
 
 @query
@@ -164,13 +168,13 @@ def _family(name: str) -> Query:
         frames = []
         if scopes - {"repo"}:
             frames.append(family_findings(files, chosen))
-        audit = _audit(spark, sf_dir)
         if name in ("headers", "obs", "tst", "cfg", "pkg"):
-            frames.append(FD.to_findings(repo_hits(files, audit.manifests).filter(F.col("ord").isin(chosen))))
+            found = repo_hits(facts_of(files), M.manifest(_discovered(spark, sf_dir)))
+            frames.append(FD.to_findings(found.filter(F.col("ord").isin(chosen))))
         if name == "pkg":
-            frames.append(FD.to_findings(D.dependency_hits(audit.inventory)))
+            frames.append(FD.to_findings(D.dependency_hits(D.dependencies(corpus_files(spark, sf_dir)))))
         if name == "config":
-            frames.append(FD.to_findings(E.env_hits(files)))
+            frames.append(FD.to_findings(E.env_hits(E.env_names(E.env_rows(files)), files)))
         return FD.union_findings(*frames).select(*SHORT)
 
     return run
@@ -255,7 +259,7 @@ def mask_secrets(spark, sf_dir):
     words = found.select(
         "repo_id", "path", "line", F.posexplode(F.split("text", "[ '\"`;,]+")).alias("n", "word")
     )
-    return words.select("repo_id", "path", "line", "n", mask_secret(F.col("word")).alias("masked"))
+    return with_masked_secret(words, "word", "masked").drop("word")
 
 
 @query
@@ -276,13 +280,13 @@ def dedup(spark, sf_dir):
 @query
 def suppress_list(spark, sf_dir):
     a = _audit(spark, sf_dir)
-    return SP.suppress_by_list(a.unique, load_suppressions(a.source)).select(*SHORT)
+    return SP.suppress_by_list(a.unique, load_suppressions(a.texts)).select(*SHORT)
 
 
 @query
 def suppress_inline(spark, sf_dir):
     a = _audit(spark, sf_dir)
-    return SP.suppress_inline(a.unique, a.source).select(*SHORT)
+    return SP.suppress_inline(a.unique, a.texts).select(*SHORT)
 
 
 @query
@@ -368,12 +372,14 @@ def baseline_status(spark, sf_dir):
 
 @query
 def undocumented_env(spark, sf_dir):
-    return E.undocumented_env(_files(spark, sf_dir))
+    files = _files(spark, sf_dir)
+    return E.undocumented_env(E.env_names(E.env_rows(files)), files)
 
 
 @query
 def missing_env(spark, sf_dir):
-    return E.missing_env(_files(spark, sf_dir))
+    files = _files(spark, sf_dir)
+    return E.missing_env(E.env_names(E.env_rows(files)), files)
 
 
 @query
@@ -471,17 +477,17 @@ def analyzer_status(spark, sf_dir):
 
 @query
 def manifest(spark, sf_dir):
-    return _audit(spark, sf_dir).manifests
+    return M.manifest(_discovered(spark, sf_dir))
 
 
 @query
 def manifest_items(spark, sf_dir):
-    return M.manifest_items(_audit(spark, sf_dir).discovered)
+    return M.manifest_items(_discovered(spark, sf_dir))
 
 
 @query
 def frameworks(spark, sf_dir):
-    return M.frameworks(_audit(spark, sf_dir).discovered)
+    return M.frameworks(_discovered(spark, sf_dir))
 
 
 @query

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditloom.functions.text import constant_array
 from auditloom.session import spread
 from auditloom.sources import plants as P
 
@@ -17,7 +18,7 @@ SLOTS = 40
 
 
 def _pick(options: tuple[str, ...], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(o) for o in options]), (F.pmod(index, F.lit(len(options))) + 1).cast("int"))
+    return F.element_at(constant_array(options), (F.pmod(index, F.lit(len(options))) + 1).cast("int"))
 
 
 def _commented(text: Column, mark: str) -> Column:

@@ -64,6 +64,17 @@ def _clean_pattern(pattern: Column) -> Column:
 
 
 BROADCAST_ROWS = 100_000
+ROOT_FILES = (
+    "package.json",
+    "package-lock.json",
+    "requirements.txt",
+    "pyproject.toml",
+    ".env.example",
+    *V.ROOT_ENV_FILES,
+    ".gitignore",
+    V.IGNORE_FILE,
+    *V.POLICY_FILES,
+)
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
