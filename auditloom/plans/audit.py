@@ -110,7 +110,7 @@ class Audit:
         root = F.col("path").isin(*ROOT_FILES)
         roots = self.texts.filter(root).select("repo_id", "path", "content")
         rest = self.paths.filter(~root).withColumn("content", F.lit(None).cast("string"))
-        return filter_gitignored(rest.unionByName(roots))
+        return self._settle(filter_gitignored(rest.unionByName(roots)))
 
     @cached_property
     def repos(self) -> DataFrame:

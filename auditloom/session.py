@@ -18,7 +18,7 @@ def get_session(master: str = "local[*]", app: str = "auditloom", shuffle_partit
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.python.sql.dataFrameDebugging.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("AUDITLOOM_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")

@@ -132,8 +132,9 @@ def filter_gitignored(files: DataFrame) -> DataFrame:
         "path",
         F.explode(F.array_distinct(F.concat(F.split("path", "/"), path_prefixes(F.col("path"))))).alias("pattern"),
     )
-    hidden = probes.join(gitignore_patterns(files), ["repo_id", "pattern"], "left_semi").select("repo_id", "path").distinct()
-    return files.join(hidden, ["repo_id", "path"], "left_anti")
+    patterns = small_side(gitignore_patterns(files))
+    hidden = probes.join(patterns, ["repo_id", "pattern"], "left_semi").select("repo_id", "path").distinct()
+    return files.join(small_side(hidden), ["repo_id", "path"], "left_anti")
 
 
 def load_policies(files: DataFrame) -> DataFrame:
