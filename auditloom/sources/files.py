@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +20,79 @@ POLICY_SCHEMA = (
 )
 
 
-def scan_files(spark: SparkSession, root: str, max_bytes: int | None = V.MAX_FILE_BYTES) -> DataFrame:
+def _hidden(name: str) -> bool:
+    """Names that Spark's file listing leaves out."""
+    return name.startswith((".", "_"))
+
+
+def _walk_hidden(filesystem: pafs.FileSystem, root: str, repo_id: str) -> Iterator[tuple[str, str, int]]:
+    pending = [f"{root}/{repo_id}"]
+    while pending:
+        for info in filesystem.get_file_info(pafs.FileSelector(pending.pop())):
+            if info.base_name in V.DEFAULT_IGNORED:
+                continue
+            if info.type == pafs.FileType.Directory:
+                pending.append(info.path)
+            elif info.type == pafs.FileType.File:
+                path = info.path[len(root) + len(repo_id) + 2 :]
+                if any(_hidden(part) for part in path.split("/")):
+                    yield repo_id, path, info.size
+
+
+def scan_hidden_files(spark: SparkSession, root: str, max_bytes: int | None = V.MAX_FILE_BYTES) -> DataFrame:
+    """Dot and underscore files below ``root/<repo_id>/``, which the built-in reader skips.
+
+    Directories are listed by tasks, one row per repository; the found names are
+    then spread over all tasks for reading. Default ignored directories are not
+    entered.
+    """
+    filesystem, base = pafs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+    base = base.rstrip("/")
+    repos = [
+        (i.base_name,)
+        for i in filesystem.get_file_info(pafs.FileSelector(base))
+        if i.type == pafs.FileType.Directory
+    ]
+    parts = spark.sparkContext.defaultParallelism
+
+    def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for repo_id in batch["repo_id"]:
+                rows = list(_walk_hidden(filesystem, base, repo_id))
+                yield pd.DataFrame(rows, columns=["repo_id", "path", "length"])
+
+    def reading(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = []
+            for repo_id, path in zip(batch["repo_id"], batch["path"]):
+                try:
+                    with filesystem.open_input_stream(f"{base}/{repo_id}/{path}") as f:
+                        texts.append(f.read().decode("utf-8", errors="replace"))
+                except OSError:
+                    texts.append(None)  # unreadable files are skipped
+            yield batch.assign(content=texts)
+
+    names = (
+        spark.createDataFrame(repos, "repo_id string")
+        .repartition(parts, "repo_id")
+        .mapInPandas(listing, "repo_id string, path string, length long")
+    )
+    if max_bytes is not None:
+        names = names.filter(F.col("length") <= max_bytes)
+    return (
+        names.repartition(parts, "repo_id", "path")
+        .mapInPandas(reading, "repo_id string, path string, length long, content string")
+        .filter(F.col("content").isNotNull())
+    )
+
+
+def scan_files(
+    spark: SparkSession, root: str, max_bytes: int | None = V.MAX_FILE_BYTES, hidden: bool = True
+) -> DataFrame:
     """Every file below ``root/<repo_id>/`` as (repo_id, path, length, content).
 
-    The size limit is pushed into the file listing, so large files are not opened.
+    The size limit is pushed into the file listing, so large files are not
+    opened. Bytes that are no UTF-8 become replacement characters.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     if max_bytes is not None:
@@ -27,12 +100,13 @@ def scan_files(spark: SparkSession, root: str, max_bytes: int | None = V.MAX_FIL
     base = root.rstrip("/") + "/"
     relative = F.substring_index(F.col("path"), base, -1)
     repo = F.substring_index(relative, "/", 1)
-    return raw.select(
+    visible = raw.select(
         repo.alias("repo_id"),
         F.substring(relative, F.length(repo) + 2, F.length(relative)).alias("path"),
         "length",
-        F.decode("content", "UTF-8").alias("content"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )
+    return visible.unionByName(scan_hidden_files(spark, root, max_bytes)) if hidden else visible
 
 
 def read_files_table(spark: SparkSession, path: str) -> DataFrame:
