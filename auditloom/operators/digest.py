@@ -7,7 +7,7 @@ the result is what all later joins and aggregations work on.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from auditloom.functions.regex import has, has_cs, java_pattern, strip
 from auditloom.operators import fixed_values as V
 from auditloom.operators.roles import file_flags, with_names
-from auditloom.operators.rules import RULES, Line, Rule, is_candidate, ordinals
+from auditloom.operators.rules import RULES, Line, Rule, holds_any, line_words, ordinals
 
 HIT = "struct<line:int,text:string,ords:array<int>>"
 
@@ -63,14 +63,16 @@ class _FileLevel:
         return F.col(name)
 
 
-def _candidates(prefilter: bool, everywhere: Column) -> Column:
+def _candidates(words: Sequence[str] | None, everywhere: Column) -> Column:
     numbered = F.transform(
         F.col("lines"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"), F.lower(x).alias("low"))
     )
-    if prefilter:
-        kept = F.filter(numbered, lambda s: everywhere | is_candidate(s["low"]))
-    else:
+    if words is None:
         kept = numbered
+    elif not words:
+        kept = F.when(everywhere, numbered).otherwise(F.slice(numbered, 1, 0))
+    else:
+        kept = F.filter(numbered, lambda s: everywhere | holds_any(s["low"], words))
 
     def describe(s: Column) -> Column:
         text = s["text"]
@@ -81,7 +83,8 @@ def _candidates(prefilter: bool, everywhere: Column) -> Column:
             text.alias("text"),
             trimmed.alias("trimmed"),
             (trimmed.startswith("//") | trimmed.startswith("#")).alias("is_comment"),
-            has(text, V.USER_INPUT).alias("user_input"),
+            s["low"].alias("low"),
+            (holds_any(s["low"], ("req", "params")) & has(text, V.USER_INPUT)).alias("user_input"),
             joined.alias("joined"),
         )
 
@@ -138,6 +141,9 @@ def rule_hits(
 ) -> DataFrame:
     """Add ``hits``: array of (line, text, ords) for the selected line and file rules.
 
+    ``prefilter`` lets word tests run ahead of the patterns; results are the same
+    without it. A user rule that names no words has every line tested.
+
     Further columns of the result are ``repo_id``, ``path``, ``keep`` and ``extra``,
     expressions over (path, base, ext, content) that share the same read.
     """
@@ -148,7 +154,9 @@ def rule_hits(
     cand = F.col("candidates")
 
     def compile_line(row: Column, ordinal: int) -> Column:
-        return table[ordinal].when(Line(row, used))
+        rule = table[ordinal]
+        condition = rule.when(Line(row, used))
+        return holds_any(row["low"], rule.words) & condition if prefilter and rule.words else condition
 
     line_ords = [i for i in sorted(chosen) if table[i].scope == "line"]
     first_ords = [i for i in sorted(chosen) if table[i].scope == "first"]
@@ -183,7 +191,8 @@ def rule_hits(
     needed = {n: flags[n]() for n in flags if n in used}
     fenced = with_barrier(with_names(files), {"lines": split_lines(F.col("content")), **needed})
     infra = F.col("is_dockerfile") | F.col("is_compose") | F.col("is_ci")
-    return fenced.withColumn("candidates", _candidates(prefilter, infra)).select(
+    words = line_words(table[i] for i in sorted(chosen)) if prefilter else None
+    return fenced.withColumn("candidates", _candidates(words, infra)).select(
         "repo_id",
         "path",
         *keep,

@@ -92,5 +92,7 @@ def file_flags() -> dict[str, Callable[[], Column]]:
         "has_body": lambda: content_has("req.body"),
         "has_server_marker": lambda: content_has(*V.SERVER_MARKERS),
         "has_catch_call": lambda: content_has(".catch("),
-        "has_admin_guard": lambda: has(content, V.ADMIN_GUARD),
+        # costly searches sit behind cheap tests of the only rule that asks
+        "admin_guarded": lambda: path_has("admin", "manage") & has(content, V.ADMIN_GUARD),
+        "unhashed_password": lambda: has(content, V.PASSWORD_FROM_REQUEST) & ~has(content, V.PASSWORD_HASHING),
     }

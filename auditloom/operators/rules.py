@@ -6,7 +6,7 @@ over the candidate lines of a file, so all rules share one read of the content.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -26,6 +26,7 @@ class Line:
         self.text = row["text"]
         self.trimmed = row["trimmed"]
         self.is_comment = row["is_comment"]
+        self.low = row["low"]
         self.user_input = row["user_input"]
         self.joined = row["joined"]
 
@@ -72,6 +73,7 @@ class Rule:
     when: Callable[[Line], Column] | None = None
     subcategory: str | None = None
     tag: str = ""
+    words: tuple[str, ...] = ()
 
 
 def _sql(ln: Line) -> Column:
@@ -204,13 +206,77 @@ def _docker(pattern: str, ignore_case: bool = True) -> Callable[[Line], Column]:
     )
 
 
+# For each line rule, lower-case words of which a matching line holds at least one. A
+# substring search is far cheaper than a pattern, so it runs first; it decides
+# nothing on its own. tests/test_rules.py checks that results without it agree.
+_LOGGERS = ("console.", "logger.", "logging.")
+WORDS: dict[str, tuple[str, ...]] = {
+    "SECRET-001": (
+        "audit_test_", "sk_", "sk-", "pk_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "aiza", "akia", "sg.",
+    ),
+    "SECRET-002": ("://",),
+    "SECRET-003": ("key", "secret", "token", "passw"),
+    "SECRET-004": ("-----begin",),
+    "SECRET-005": ("eyj",),
+    "CONFIG-002": ("localhost", "127.0.0.1"),
+    "CONFIG-003": ("debug",),
+    "CONFIG-004": ("next_public_", "vite_", "react_app_"),
+    "CONFIG-006": ("httponly", "secure", "samesite"),
+    "API-002": ("readfile", "sendfile", "open"),
+    "API-003": ("redirect",),
+    "API-004": ("cors", "access-control-allow-origin"),
+    "API-005": ("json",),
+    "AUTH-001": ("role", "isadmin"),
+    "AUTH-003": ("jwt.verify", "jwt.decode"),
+    "AUTH-004": ("password",),
+    "AUTH-005": ("jwt.sign",),
+    "AUTH-006": ("res.cookie",),
+    "CODE-001": ("eval",),
+    "CODE-002": ("function",),
+    "CODE-003": ("exec",),
+    "CODE-004": ("query", "execute", "raw"),
+    "CODE-005": ("innerhtml",),
+    "CODE-006": ("eval", "exec"),
+    "CODE-007": ("subprocess", "os.system"),
+    "CODE-008": (".execute",),
+    "CODE-009": ("pickle", "yaml.load"),
+    "LOG-001": _LOGGERS,
+    "LOG-002": ("json",),
+    "LOG-003": _LOGGERS,
+    "SQL-001": ("req", "params"),
+    "CMD-001": ("exec", "spawn", "os.system", "subprocess"),
+    "CMD-002": ("exec", "spawn", "os.system", "subprocess"),
+    "PATH-001": ("fs.", "open"),
+    "SSRF-001": ("fetch", "axios.", "requests.", "urllib"),
+    "XSS-001": ("innerhtml", "document.write"),
+    "AUTHZ-001": ("req",),
+    "AUTHZ-002": ("app.", "router."),
+    "CORS-001": ("origin",),
+    "CORS-002": ("origin",),
+    "ERR-001": ("res.", "response."),
+    "CFG-002": ("debug", "node_env"),
+    "CFG-003": ("localhost",),
+    "REL-001": ("sync",),
+    "REL-002": ("fetch", "axios", "http.get", "https.get", "requests."),
+    "REL-003": ("catch", "except"),
+    "REL-004": (".then(",),
+    "REL-006": ("cache", "queue", "store", "logs", "history", "buffer"),
+    "DAT-001": _LOGGERS,
+    "DAT-002": ("app.get", "req.query"),
+    "DAT-003": ("res.json", "res.send"),
+}
+
+
 def _rules() -> list[Rule]:
     out: list[Rule] = []
 
     def add(rule_id, severity, confidence, title, when=None, scope="line", tag=""):
         family, analyzer, category, key, sub = group
         out.append(
-            Rule(rule_id, family, analyzer, category, severity, confidence, key, title, scope, when, sub, tag)
+            Rule(
+                rule_id, family, analyzer, category, severity, confidence, key, title, scope, when, sub, tag,
+                WORDS.get(rule_id, ()),
+            )
         )
 
     group = ("secret", "secrets", "Secrets", "L", "Credential")
@@ -265,7 +331,7 @@ def _rules() -> list[Rule]:
         & (ln.trim_has(V.CLIENT_ROLE_IF) | ln.trim_has(V.CLIENT_ROLE_TERNARY)), "first")
     add("AUTH-002", "HIGH", "MEDIUM", "Admin endpoint without server-side check",
         lambda ln: ln.flag("is_code") & ln.flag("auth_api_path") & ln.flag("admin_path")
-        & ~ln.flag("has_admin_guard"), "file")
+        & ~ln.flag("admin_guarded"), "file")
     group = ("auth", "auth", "Authentication", "L", None)
     add("AUTH-003", "CRITICAL", "HIGH", "Token verification accepts the none algorithm",
         lambda ln: ln.flag("is_code") & ln.trim_has(V.JWT_NONE))
@@ -297,7 +363,7 @@ def _rules() -> list[Rule]:
         lambda ln: _exec(ln) & ~ln.user_input & ~_static_command(ln) & ln.joined)
     group = ("path", "path-traversal", "Security", "C", None)
     add("PATH-001", "HIGH", "HIGH", "File path from user input",
-        lambda ln: ln.flag("is_code") & ln.has(V.FS_OPERATION) & ln.user_input)
+        lambda ln: ln.flag("is_code") & ln.user_input & ln.has(V.FS_OPERATION))
     group = ("ssrf", "ssrf", "Security", "C", None)
     add("SSRF-001", "HIGH", "HIGH", "Outgoing request target from user input",
         lambda ln: ln.flag("is_code") & ln.user_input & ln.has(V.HTTP_CLIENT) & ~ln.trim_has(V.STATIC_URL))
@@ -310,7 +376,7 @@ def _rules() -> list[Rule]:
     add("AUTHZ-002", "HIGH", "MEDIUM", "Object route without owner check", _bola)
     group = ("auth", "auth-security", "Authentication", "C", None)
     add("AUTH-004", "HIGH", "HIGH", "Password taken without hashing",
-        lambda ln: ln.flag("is_code") & ln.has(V.PASSWORD_FROM_REQUEST) & ~ln.flag("has_hashing"))
+        lambda ln: ln.flag("is_code") & ln.flag("unhashed_password") & ln.has(V.PASSWORD_FROM_REQUEST))
     add("AUTH-005", "MEDIUM", "HIGH", "Token signed without expiry", _jwt_no_expiry)
     add("AUTH-006", "MEDIUM", "HIGH", "Cookie readable by scripts", _cookie)
     group = ("cors", "cors", "Configuration", "C", None)
@@ -394,24 +460,22 @@ def family_rules(*families: str) -> list[int]:
     return [i for i, r in enumerate(RULES) if r.family in families]
 
 
-# Every line that any line rule can match holds one of these words, compared in
-# lower case; plain substring search costs far less than one wide alternation.
-# Infrastructure files skip the test. tests/test_rules.py checks that results
-# with and without it agree.
-CANDIDATE_WORDS = (
-    "req", "params", "exec", "spawn", "os.system", "subprocess", "innerhtml", "document.write", "role", "isadmin",
-    "app.", "router.", "jwt.", "json", "res.cookie", "res.send", "res.status", "response.send", "response.status",
-    "cors", "origin", "console.", "logg", "eval", "function", "query", "raw", "pickle", "yaml.load", "localhost",
-    "127.0.0.1", "debug", "node_env", "next_public_", "vite_", "react_app_", "httponly", "secure", "samesite", "sync",
-    "catch", "except", "fetch", "axios", "http.get", "https.get", ".then(", "audit_test_", "sk_", "sk-", "pk_", "ghp_",
-    "gho_", "ghu_", "ghs_", "ghr_", "xox", "aiza", "akia", "sg.", "://", "key", "secret", "token", "passw",
-    "-----begin", "eyj",
-)
-STATE_WORDS = ("cache", "queue", "store", "logs", "history", "buffer")
-
-
-def is_candidate(lower_text: Column) -> Column:
-    words, state = constant_array(CANDIDATE_WORDS), constant_array(STATE_WORDS)
-    return F.exists(words, lambda w: lower_text.contains(w)) | (
-        lower_text.contains("=") & F.exists(state, lambda w: lower_text.contains(w))
-    )
+def line_words(rules: Iterable[Rule]) -> tuple[str, ...] | None:
+    """Words of which every line the rules can match holds one; None if no such list is known.
+
+    Infrastructure files are read in full, so their rules need no words.
+    """
+    found: dict[str, None] = {}
+    for rule in rules:
+        if rule.scope not in ("line", "first") or rule.family == "deploy":
+            continue
+        if not rule.words:
+            return None
+        found.update(dict.fromkeys(rule.words))
+    return tuple(w for w in found if not any(o != w and o in w for o in found))
+
+
+def holds_any(lower_text: Column, words: Sequence[str]) -> Column:
+    if len(words) == 1:
+        return lower_text.contains(words[0])
+    return F.exists(constant_array(words), lambda w: lower_text.contains(w))

@@ -218,7 +218,7 @@ def custom_rule(spark, sf_dir):
         "USER-001", "user", "user", "Reliability", "LOW", "HIGH", "C", "Settings object", "line",
         lambda ln: ln.flag("is_code") & ln.text.contains("settings"),
     )
-    hits = explode_hits(rule_hits(_files(spark, sf_dir), family_rules("code"), user_rules=[todo], prefilter=False))
+    hits = explode_hits(rule_hits(_files(spark, sf_dir), family_rules("code"), user_rules=[todo]))
     return FD.to_findings(hits, [todo]).filter(F.col("rule_id") == "USER-001").select(*SHORT)
 
 

@@ -138,6 +138,7 @@ def _clean_pattern(pattern: Column) -> Column:
 
 
 BROADCAST_ROWS = 100_000
+BROADCAST_CHARS = 64 * 1024 * 1024
 ROOT_FILES = (
     "package.json",
     "package-lock.json",
@@ -151,9 +152,14 @@ ROOT_FILES = (
 )
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` when a bounded count proves it small; otherwise leave the join to AQE."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_chars: int = BROADCAST_CHARS) -> DataFrame:
+    """Broadcast ``df`` when a bounded count proves it small in rows and text.
+
+    Beyond the bound the join stays as it is: a shuffle join whose hot keys AQE splits.
+    """
+    width = F.length(F.to_json(F.struct(*df.columns)))
+    rows, chars = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and chars <= max_chars else df
 
 
 def filter_ignored_paths(files: DataFrame, policies: DataFrame | None = None) -> DataFrame:
