@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import pandas as pd
 import pyarrow.fs as pafs
@@ -58,19 +59,22 @@ def scan_hidden_files(spark: SparkSession, root: str, max_bytes: int | None = V.
     def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for repo_id in batch["repo_id"]:
-                rows = list(_walk_hidden(filesystem, base, repo_id))
-                yield pd.DataFrame(rows, columns=["repo_id", "path", "length"])
+                for rows in batched(_walk_hidden(filesystem, base, repo_id), 10_000):
+                    yield pd.DataFrame(rows, columns=["repo_id", "path", "length"])
+
+    def read(repo_id: str, path: str) -> str | None:
+        try:
+            with filesystem.open_input_stream(f"{base}/{repo_id}/{path}") as f:
+                return f.read().decode("utf-8", errors="replace")
+        except OSError:
+            return None  # unreadable files are skipped
 
     def reading(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = []
-            for repo_id, path in zip(batch["repo_id"], batch["path"]):
-                try:
-                    with filesystem.open_input_stream(f"{base}/{repo_id}/{path}") as f:
-                        texts.append(f.read().decode("utf-8", errors="replace"))
-                except OSError:
-                    texts.append(None)  # unreadable files are skipped
-            yield batch.assign(content=texts)
+            # a batch holds many names; hand texts on in portions of bounded size
+            portion = (batch["length"].cumsum() // READ_PORTION_BYTES).to_numpy()
+            for _, part in batch.groupby(portion):
+                yield part.assign(content=[read(r, p) for r, p in zip(part["repo_id"], part["path"])])
 
     names = (
         spark.createDataFrame(repos, "repo_id string")
@@ -137,6 +141,7 @@ def _clean_pattern(pattern: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.replace(pattern, F.lit("\\"), F.lit("/")), "^/", ""), "/\\z", "")
 
 
+READ_PORTION_BYTES = 32 * 1024 * 1024
 BROADCAST_ROWS = 100_000
 BROADCAST_CHARS = 64 * 1024 * 1024
 ROOT_FILES = (
