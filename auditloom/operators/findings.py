@@ -141,11 +141,13 @@ def filter_rules(findings: DataFrame, policies: DataFrame) -> DataFrame:
 
 
 def search_findings(findings: DataFrame, query: str = "", severity: str = "ALL") -> DataFrame:
-    """Severity chip and case-insensitive substring over rule id, title, category and file."""
-    text = F.lower(F.concat_ws(" ", "rule_id", "title", "category", "file"))
+    """Severity chip and case-insensitive substring over title, rule id, file and description."""
     needle = query.lower().strip()
     out = findings if severity == "ALL" else findings.filter(F.col("severity") == severity)
-    return out.filter(text.contains(needle)) if needle else out
+    if not needle:
+        return out
+    text = F.lower(F.concat_ws(" ", "title", "rule_id", "file", "description"))
+    return enrich_findings(out).filter(text.contains(needle)).select(*findings.columns)
 
 
 def sort_findings(findings: DataFrame) -> DataFrame:

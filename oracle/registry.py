@@ -544,7 +544,7 @@ SELECT repo_id, path, 0 AS line, marker FROM file_markers UNION ALL SELECT repo_
 ORACLES["filter_category"] = f"WITH {FULL} SELECT {SHORT} FROM act WHERE lower(category) = 'security'"
 ORACLES["filter_severity"] = f"WITH {FULL} SELECT {SHORT} FROM act WHERE severity IN ('CRITICAL', 'HIGH')"
 ORACLES["search"] = f"""WITH {FULL} SELECT {SHORT} FROM act
-WHERE severity = 'CRITICAL' AND contains(lower(concat_ws(' ', rule_id, title, category, file)), 'sql')"""
+WHERE severity = 'CRITICAL' AND contains(lower(concat_ws(' ', title, rule_id, file, title || ' (' || category || ').')), 'sql')"""
 ORACLES["sorted_findings"] = f"WITH {FULL} SELECT {SHORT} FROM act ORDER BY severity_rank DESC, repo_id, file, line"
 
 # the same audit over the files each repository's own policy keeps
