@@ -91,7 +91,11 @@ def file_flags() -> dict[str, Callable[[], Column]]:
         "has_credentials": lambda: has(content, V.CORS_CREDENTIALS),
         "has_body": lambda: content_has("req.body"),
         "has_server_marker": lambda: content_has(*V.SERVER_MARKERS),
-        "has_catch_call": lambda: content_has(".catch("),
+        # 1-based place of the last handler, 0 if there is none
+        "last_catch": lambda: F.when(
+            content.contains(".catch("),
+            F.length(content) - F.length(F.substring_index(content, ".catch(", -1)) - (len(".catch(") - 1),
+        ).otherwise(0),
         # costly searches sit behind cheap tests of the only rule that asks
         "admin_guarded": lambda: path_has("admin", "manage") & has(content, V.ADMIN_GUARD),
         "unhashed_password": lambda: has(content, V.PASSWORD_FROM_REQUEST) & ~has(content, V.PASSWORD_HASHING),

@@ -185,10 +185,12 @@ def _no_timeout(ln: Line) -> Column:
 
 
 def _unhandled_promise(ln: Line) -> Column:
-    """No ``.catch(`` from the first occurrence of this line's text to the end of the file."""
-    content = F.col("content")
-    rest = F.substring(content, F.position(ln.text, content), F.length(content))
-    handled = ln.flag("has_catch_call") & rest.contains(".catch(")
+    """No ``.catch(`` from the first occurrence of this line's text to the end of the file.
+
+    That is the case iff the last ``.catch(`` of the file starts before that occurrence.
+    """
+    last = ln.flag("last_catch")
+    handled = (last > 0) & (last >= F.position(ln.text, F.col("content")))
     return _reliable(ln) & ln.text.contains(".then(") & ~ln.text.contains(".catch(") & ~handled
 
 
