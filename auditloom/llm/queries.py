@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import decontaminate, mixing, shard, token_counts
+from auditloom.llm import decontaminate, mixing, partenum, shard, token_counts
 from auditloom.llm.common import ship_package, table
 from auditloom.llm.oracles import ORACLES  # noqa: F401
 
@@ -46,3 +46,8 @@ def op5_token_counts(spark, sf_dir):
 @query
 def op6_decontaminate(spark, sf_dir):
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_partenum(spark, sf_dir):
+    return partenum.near_duplicates(table(spark, sf_dir, "documents"))
