@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import zipfile
@@ -39,8 +40,9 @@ def digest_bucket(digest: Column, buckets: int) -> Column:
     return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)).cast("long")
 
 
-def bucket_count(rows: int, per_bucket: int = 8192) -> int:
-    return max(16, rows // per_bucket)
+def bucket_count(rows: int) -> int:
+    """The square root: as many buckets in a group's prefix as rows in a bucket, at any size."""
+    return max(16, math.isqrt(rows))
 
 
 def running_total(df: DataFrame, group: list[str], bucket: str, order: list[str], value: Column, out: str) -> DataFrame:
