@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import decontaminate, mixing, partenum, shard, token_counts
+from auditloom.llm import decontaminate, mixing, nbsvm, partenum, shard, token_counts
 from auditloom.llm.common import ship_package, table
 from auditloom.llm.oracles import ORACLES  # noqa: F401
 
@@ -51,3 +51,10 @@ def op6_decontaminate(spark, sf_dir):
 @query
 def op9_partenum(spark, sf_dir):
     return partenum.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = nbsvm.score(docs, nbsvm.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", nbsvm.held_out().alias("held_out"), "score", "predicted")
