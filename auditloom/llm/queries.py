@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import decontaminate, mixing, nbsvm, partenum, shard, token_counts
+from auditloom.llm import decontaminate, forest, mixing, nbsvm, partenum, shard, token_counts
 from auditloom.llm.common import ship_package, table
 from auditloom.llm.oracles import ORACLES  # noqa: F401
 
@@ -30,6 +30,11 @@ def op2_shard(spark, sf_dir):
     return shard.interleave(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+@query
+def op3_forest(spark, sf_dir):
+    return forest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op4_mix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
