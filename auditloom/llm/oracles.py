@@ -3,3 +3,26 @@
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op1_line_dedup"] = r"""
+WITH docs AS (
+  SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND text <> ''
+), lines AS (
+  SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM docs
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id, i) + dense_rank() OVER (ORDER BY doc_id) AS place FROM lines
+), pairs AS (
+  SELECT a.place AS p, b.place AS q FROM placed a JOIN placed b ON a.line = b.line AND a.place < b.place
+), islands AS (
+  SELECT p, q, q - p AS d, p - row_number() OVER (PARTITION BY q - p ORDER BY p) AS island FROM pairs
+), runs AS (
+  SELECT d, min(p) AS p0, max(p) AS p1, count(*) AS n FROM islands GROUP BY d, island
+), deleted AS (
+  SELECT DISTINCT unnest(range(p0 + d, p1 + d + 1)) AS place FROM runs WHERE n >= 3
+), longest AS (
+  SELECT place, max(n) AS n FROM (SELECT p0 AS place, n FROM runs UNION ALL SELECT p0 + d, n FROM runs) GROUP BY place
+)
+SELECT d.doc_id, count(p.place) AS n_lines, count(x.place) AS n_deleted, coalesce(max(l.n), 0) AS longest_run
+FROM documents d LEFT JOIN placed p USING (doc_id) LEFT JOIN deleted x USING (place) LEFT JOIN longest l USING (place)
+GROUP BY d.doc_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import decontaminate, forest, mixing, nbsvm, partenum, shard, token_counts
+from auditloom.llm import decontaminate, forest, line_dedup, mixing, nbsvm, partenum, shard, token_counts
 from auditloom.llm.common import ship_package, table
 from auditloom.llm.oracles import ORACLES  # noqa: F401
 
@@ -24,6 +24,11 @@ def query(fn):
     return shipped
 
 
+@query
+def op1_line_dedup(spark, sf_dir):
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_shard(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
