@@ -119,10 +119,9 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED, sourc
     )
     low = F.expr(f"greatest(__at - __block * {b}, 0L)")
     high = F.expr(f"least(__at + size - __block * {b}, {b})")
-    part = sum(
-        (F.coalesce(F.least(high, F.col(f"__take{e}")) - F.least(low, F.col(f"__take{e}")), F.lit(0)) for e in range(MOST)),
-        F.lit(0),
-    )
+    # A block that an epoch does not take has no take; least() would pass over the null.
+    take = lambda e: F.coalesce(f"__take{e}", F.lit(0))
+    part = sum((F.least(high, take(e)) - F.least(low, take(e)) for e in range(MOST)), F.lit(0))
     taken = pieces.join(takes, ["__source", "__block"]).groupBy("__source", "__at", "size").agg(F.sum(part).alias("taken"))
     mixed = placed.join(taken, ["__source", "__at", "size"], "left").join(goals, "__source")
     return mixed.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop(
