@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import decontaminate, forest, line_dedup, mixing, nbsvm, partenum, shard, token_counts
+from auditloom.llm import ctw, decontaminate, forest, line_dedup, mixing, nbsvm, partenum, shard, token_counts
 from auditloom.llm.common import ship_package, table
 from auditloom.llm.oracles import ORACLES  # noqa: F401
 
@@ -63,6 +63,11 @@ def op9_partenum(spark, sf_dir):
     return partenum.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_ctw(spark, sf_dir):
+    return ctw.scores(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
