@@ -8,7 +8,7 @@ decision's probability mixes the estimates on its context path, each node with t
 weight Pe / (Pe + product of the children's Pw) that training has given it.
 
 Nothing that grows with the corpus is sent to all tasks. Documents are dealt into chunks of
-about CHUNK_BYTES. A chunk lists its distinct byte strings (context and byte) and words with
+about CHUNK_BYTES, moved compressed. A chunk lists its distinct byte strings (context and byte) and words with
 their training counts; lists are cut into buckets of whole three-byte contexts, summed
 over chunks, and answered for each chunk that asked; scoring joins a chunk with its answers.
 """
@@ -29,11 +29,10 @@ from pyspark.sql import functions as F
 from auditloom.llm.words import SPACED, hash_words, mix64
 from auditloom.session import materialize
 
-DEPTH = 4
-CHUNK_BYTES = 16_000_000
+DEPTH = 5
+CHUNK_BYTES = 32_000_000
 #: Distinct keys of all chunks together in one bucket.
 BUCKET_KEYS = 1_000_000
-SLICE_BYTES = 1 << 20
 HELD_OUT = 1
 _U = np.uint64
 _HALF = 2 * math.lgamma(0.5)
@@ -109,19 +108,31 @@ class KeyIndex:
         return found
 
 
-def _slices(texts) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, starts of rows with the end) of the texts as they are modelled, in runs of about SLICE_BYTES."""
-    parts, starts, first, size = [], [0], 0, 0
-    for row, text in enumerate(texts):
-        part = b" ".join((text or "").encode().lower().split()) + b"\n"
-        parts.append(part)
-        size += len(part)
-        starts.append(size)
-        if size >= SLICE_BYTES:
-            yield first, row + 1, np.frombuffer(b"".join(parts), np.uint8), np.array(starts)
-            parts, starts, first, size = [], [0], row + 1, 0
-    if parts:
-        yield first, first + len(parts), np.frombuffer(b"".join(parts), np.uint8), np.array(starts)
+def _prepared(rows: DataFrame) -> DataFrame:
+    """chunk, ids, held, blob: documents of one chunk as they are modelled, end to end and compressed, some hundreds a row."""
+    kind = dict(rows.dtypes)["doc_id"]
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunk = batch.column("chunk").to_numpy()
+            order = np.argsort(chunk, kind="stable")
+            chunks, groups = _groups(chunk[order], order)
+            blobs = []
+            for group in groups:
+                texts = batch.column("text").take(pa.array(group)).to_pylist()
+                blobs.append(zlib.compress(b"".join([b" ".join((t or "").encode().lower().split()) + b"\n" for t in texts]), 1))
+            sizes = pa.array(np.concatenate([[0], np.cumsum([len(g) for g in groups])]).astype(np.int32))
+            ids = pa.ListArray.from_arrays(sizes, batch.column("doc_id").take(pa.array(order)))
+            held = pa.ListArray.from_arrays(sizes, batch.column("held_out").take(pa.array(order)))
+            yield pa.RecordBatch.from_arrays([pa.array(chunks), ids, held, pa.array(blobs, pa.binary())], ["chunk", "ids", "held", "blob"])
+
+    return rows.mapInArrow(prepare, f"chunk long, ids array<{kind}>, held array<boolean>, blob binary")
+
+
+def _texts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a blob and where its documents begin, with the end."""
+    data = np.frombuffer(zlib.decompress(blob), np.uint8)
+    return data, np.concatenate([[0], np.flatnonzero(data == 10) + 1])
 
 
 def strings(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
@@ -149,17 +160,18 @@ def _bucket(kind: str, keys: np.ndarray, buckets: int) -> np.ndarray:
     return (mix64(whole) % _U(buckets)).astype(np.int64)
 
 
-def _lists(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
+def _lists(prepared: DataFrame, depth: int, buckets: int) -> DataFrame:
     """Per chunk, kind and bucket: the distinct keys of its texts and their counts in training texts."""
 
     def listed(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
-        texts, trained = table.column("text").to_pylist(), table.column("trained").to_numpy()
         keys, counts = {"string": [], "word": []}, {"string": [], "word": []}
-        for first, end, data, starts in _slices(texts):
+        for blob, held in zip(table.column("blob").to_pylist(), table.column("held").to_pylist()):
+            data, starts = _texts(blob)
             words, at = hash_words(data, starts, SPACED)
+            trained = ~np.array(held, bool)
             for kind, values, sizes in (("string", strings(data, starts, depth), np.diff(starts)), ("word", words, np.diff(at))):
-                own = np.repeat(trained[first:end], sizes)
+                own = np.repeat(trained, sizes)
                 for part, learn in ((values[own], True), (values[~own], False)):
                     distinct, n = np.unique(part, return_counts=True)
                     keys[kind].append(distinct)
@@ -180,7 +192,7 @@ def _lists(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], ["chunk", "kind", "bucket", "n", "keys", "counts"])
 
-    return docs.groupBy("chunk").applyInArrow(listed, _LISTS)
+    return prepared.groupBy("chunk").applyInArrow(listed, _LISTS)
 
 
 def _groups(values: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -289,7 +301,7 @@ def _answers(lists: DataFrame, shallow: DataFrame, depth: int) -> DataFrame:
             at = levels[-1]["at"][k]
             p = a[at] + b[at] * p
             value += np.log10(np.where((byte >> (7 - k)) & 1, p, 1 - p))
-        return pd.DataFrame({"chunk": pdf["chunk"], "kind": "string", "keys": pdf["keys"], "values": [_packed(value[x]) for x in places], "n": 0, "v": 0})
+        return pd.DataFrame({"chunk": pdf["chunk"], "kind": "string", "keys": pdf["keys"], "values": [_packed(value[x].astype(np.float32)) for x in places], "n": 0, "v": 0})
 
     def word_answers(pdf: pd.DataFrame) -> pd.DataFrame:
         _, counts, places = _sums(pdf)
@@ -322,7 +334,8 @@ def scores(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES)
     rows = docs.select("doc_id", "text", _held_out().alias("held_out"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
     buckets = max(8, -(-total // (8 * BUCKET_KEYS)))
-    lists = materialize(_lists(rows.select("chunk", "text", (~F.col("held_out")).alias("trained")), depth, buckets))
+    prepared = _prepared(rows)
+    lists = materialize(_lists(prepared, depth, buckets))
     roots = materialize(_deep_roots(lists, depth))
     answers = materialize(_answers(lists, _shallow(roots), depth))
     n, v, ends = answers.where("kind = 'total'").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0)), F.count("*")).first()
@@ -333,7 +346,7 @@ def scores(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES)
 
     def give(texts: pa.Table, told: pa.Table) -> pa.Table:
         index, values = {}, {}
-        for kind, type_ in (("string", np.float64), ("word", np.float64)):
+        for kind, type_ in (("string", np.float32), ("word", np.float64)):
             own = told.filter(pc.equal(told.column("kind"), kind))
             keys = [_keys(k) for k in own.column("keys").to_pylist()]
             found = [_unpacked(x, type_) for x in own.column("values").to_pylist()]
@@ -341,8 +354,9 @@ def scores(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES)
             values[kind] = np.concatenate(found) if found else np.zeros(0)
         tokens, known, base, score = [], [], [], []
         end = math.log10((ends + 0.5) / floor)
-        for _, _, data, starts in _slices(texts.column("text").to_pylist()):
-            chance = values["string"][index["string"].places(strings(data, starts, depth))]
+        for blob in texts.column("blob").to_pylist():
+            data, starts = _texts(blob)
+            chance = values["string"][index["string"].places(strings(data, starts, depth))].astype(np.float64)
             score.append(np.add.reduceat(chance, starts[:-1]))
             words, at = hash_words(data, starts, SPACED)
             c = values["word"][index["word"].places(words)] if len(words) else np.zeros(0)
@@ -351,12 +365,12 @@ def scores(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES)
             tokens.append(np.diff(at) + 1)
             known.append(seen[at[1:]] - seen[at[:-1]] + (ends > 0))
             base.append(upto[at[1:]] - upto[at[:-1]] + end)
-        columns = [texts.column("doc_id"), texts.column("held_out")]
+        columns = [pc.list_flatten(texts.column("ids")), pc.list_flatten(texts.column("held"))]
         columns += [pa.array(np.concatenate(x).astype(np.int64)) for x in (tokens, known)]
-        columns += [pa.array(np.full(texts.num_rows, n, np.int64))] + [pa.array(np.concatenate(x)) for x in (base, score)]
+        columns += [pa.array(np.full(len(columns[0]), n, np.int64))] + [pa.array(np.concatenate(x)) for x in (base, score)]
         return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     own = answers.where("chunk >= 0").select("chunk", "kind", "keys", "values")
-    return rows.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(give, schema)
+    return prepared.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(give, schema)
