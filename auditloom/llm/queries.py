@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import ctw, decontaminate, forest, line_dedup, mixing, nbsvm, partenum, shard, token_counts
+from auditloom.llm import compact_windows, ctw, decontaminate, forest, line_dedup, mixing, nbsvm, partenum, shard, token_counts
 from auditloom.llm.common import ship_package, table
 from auditloom.llm.oracles import ORACLES  # noqa: F401
 
@@ -73,3 +73,8 @@ def op8_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = nbsvm.score(docs, nbsvm.train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", nbsvm.held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_passages(spark, sf_dir):
+    return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
