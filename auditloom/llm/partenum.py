@@ -11,10 +11,11 @@ have a shingle in every choice. A set short of that (a weak one) uses a
 further hashing as well, and so on; at the last one it sends empty ones too. Of any
 similar pair the set that is strong first finds the other by a filled signature.
 
-Sets that meet are first linked to the first of their meeting, verified on whole
-texts, and contracted to components. What still lies in different components meets in full
-if the meeting is small; members of larger ones come back with signatures of many
-more shingles, and only what still meets there is compared in full.
+Every set that meets others is first compared with the first of its meeting,
+verified on whole texts, and links are contracted to components. Meetings that
+still hold several components are refined: in one order of all shingles, from the rarest among
+their members on, two similar sets share one of the first fifth of their
+shingles (and one more), so members meet again by those, across components only.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.llm.components import components
@@ -32,14 +33,15 @@ from auditloom.llm.words import SPACED, mix64, shingle_hashes, word_slices
 from auditloom.session import materialize
 
 WIDTH = 5
-#: Meetings up to this size are compared in full at once.
+#: Refined meetings up to this size are compared in full first; what is left of larger ones when those are linked.
 SMALL = 32
-#: (n2, k2) of small and of large k, and of the second signatures.
-FINE, COARSE, SECOND = (3, 1), (2, 1), (6, 3)
+#: (n2, k2) of small and of large k.
+FINE, COARSE = (3, 1), (1, 0)
 FINE_UP_TO = 8
-SLACK = 1.15
+SLACK = 1.1
 HASHINGS = 6
-SKETCH_BITS = 1024
+#: Signatures keep 48 bits, which makes chance meetings rare and shuffled rows small; every link is verified.
+SIGNATURE_SHIFT = 16
 _U = np.uint64
 
 
@@ -81,13 +83,29 @@ def _set_ids(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.where(sizes > 0, mix64(sums[bounds[1:]] - sums[bounds[:-1]] + sizes), _U(0)).astype(np.int64)
 
 
-def _odd_sketches(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Per set, the parity of its shingles in each of SKETCH_BITS cells: two sets' sketches differ in no more bits than the sets do."""
-    n = len(bounds) - 1
-    owner = np.repeat(np.arange(n), np.diff(bounds))
-    cell = (mix64(shingles ^ _U(0x5BD1E995)) % _U(SKETCH_BITS)).astype(np.int64)
-    parity = np.bincount(owner * SKETCH_BITS + cell, minlength=n * SKETCH_BITS).reshape(n, SKETCH_BITS) & 1
-    return np.packbits(parity.astype(np.uint8), axis=1)
+def _odd_sketches(shingles: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Per set, the parity of its shingles in each of some cells: two sets' sketches differ in no more bits than the sets do.
+
+    Cells are a power of two, twice the set's size or more, and number a hash's lowest bits, so
+    a longer sketch folds onto a shorter one.
+    """
+    sizes = np.diff(bounds)
+    cells = 1 << np.maximum(8, np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(cells)])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    cell = (mix64(shingles ^ _U(0x5BD1E995)) & (cells[owner] - 1).astype(np.uint64)).astype(np.int64)
+    parity = np.bincount(begin[owner] + cell, minlength=begin[-1]) & 1
+    packed = np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(begin[:-1], begin[1:])]
+
+
+def _bits_apart(one: bytes, other: bytes) -> int:
+    a, b = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -99,7 +117,7 @@ def digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             ids = batch.column("doc_id")
             for first, end, hashes, offsets in word_slices(batch.column("text"), SPACED):
                 shingles, bounds = document_sets(hashes, offsets, width)
-                sketches = [x.tobytes() for x in _odd_sketches(shingles, bounds)]
+                sketches = _odd_sketches(shingles, bounds)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, end - first), pa.array(np.diff(bounds), pa.int64()), pa.array(_set_ids(shingles, bounds)), pa.array(sketches, pa.binary())],
                     ["doc_id", "n_shingles", "set_id", "sketch"],
@@ -138,15 +156,14 @@ def _one_hashing(shingles, bounds, n1, k, band, turn, shape):
     return np.stack(signatures, axis=1).ravel(), np.repeat(of_part, len(has)), np.stack(has, axis=1).ravel(), weak
 
 
-def signatures(shingles: np.ndarray, bounds: np.ndarray, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def signatures(shingles: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(signature, set index) of all sets of 4 and more shingles."""
     sizes = np.diff(bounds)
     out_signatures, out_sets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for ahead in (0, 1):
         band = np.searchsorted(BANDS, sizes, side="right") - 1 + ahead
         k = 2 * (BANDS[np.maximum(band, 0) + 1] - 1) // 9
-        shapes = [(SECOND, sizes >= 4)] if second else [(FINE, (sizes >= 4) & (k <= FINE_UP_TO)), (COARSE, k > FINE_UP_TO)]
-        for shape, chosen in shapes:
+        for shape, chosen in ((FINE, k <= FINE_UP_TO), (COARSE, k > FINE_UP_TO)):
             open_sets = np.flatnonzero(chosen & (sizes >= 4))
             for turn in range(HASHINGS):
                 if not len(open_sets):
@@ -164,7 +181,7 @@ def signatures(shingles: np.ndarray, bounds: np.ndarray, second: bool = False) -
     return np.concatenate(out_signatures), np.concatenate(out_sets)
 
 
-def signature_rows(texts: DataFrame, width: int = WIDTH, second: bool = False) -> DataFrame:
+def signature_rows(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """signature, set_id for the sets of all rows; a task sends equal sets once."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,41 +195,36 @@ def signature_rows(texts: DataFrame, width: int = WIDTH, second: bool = False) -
                 kept = np.flatnonzero(new)
                 inside = np.repeat(new, sizes)
                 own = np.concatenate([[0], np.cumsum(sizes[kept])])
-                found, which = signatures(shingles[inside], own, second)
+                found, which = signatures(shingles[inside], own)
+                found = found >> _U(SIGNATURE_SHIFT)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(ids[kept][which])], ["signature", "set_id"])
 
     return texts.select("text").mapInArrow(sign, "signature long, set_id long")
 
 
-def meetings(rows: DataFrame, small: int = SMALL) -> DataFrame:
-    """kind, a, b from signature rows. 0: first of a meeting and another member; 1: another pair of a small one; 2: signature and member of a larger one.
+def meetings(rows: DataFrame) -> DataFrame:
+    """kind, a, b from signature rows. 0: first of a meeting and another member; 1: signature and member of a meeting of three or more.
 
     Rows come sorted by signature, so a meeting is a run; a long run passes through without being held.
     """
 
+    def table(kind, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int32()), pa.array(a), pa.array(b)], ["kind", "a", "b"])
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held_set = np.zeros(0, np.int64), np.zeros(0, np.int64)
         passing = None  # (signature, first member) of a run too long to hold
 
-        def table(kind, a, b):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int32()), pa.array(a), pa.array(b)], ["kind", "a", "b"])
-
         def closed(key, member):
             if not len(key):
                 return
             begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             length = np.diff(begin, append=len(key))
-            run = np.repeat(np.arange(len(begin)), length)
             later = np.ones(len(key), bool)
             later[begin] = False
-            yield table(0, member[begin][run][later], member[later])
-            for n in range(3, small + 1):
-                runs = begin[length == n]
-                if len(runs):
-                    pairs = np.array([(i, j) for i, j in combinations(range(1, n), 2)])
-                    yield table(1, member[(runs[:, None] + pairs[:, 0]).ravel()], member[(runs[:, None] + pairs[:, 1]).ravel()])
-            large = (length > small)[run]
-            yield table(2, key[large], member[large])
+            yield table(0, np.repeat(member[begin], length)[later], member[later])
+            several = np.repeat(length >= 3, length)
+            yield table(1, key[several], member[several])
 
         for batch in batches:
             key = np.concatenate([held_key, batch.column(0).to_numpy()])
@@ -222,9 +234,8 @@ def meetings(rows: DataFrame, small: int = SMALL) -> DataFrame:
             key, member = key[new], member[new]
             if passing is not None:
                 same = key == passing[0]
-                if same.any():
-                    yield table(0, np.full(same.sum(), passing[1]), member[same])
-                    yield table(2, key[same], member[same])
+                yield table(0, np.full(same.sum(), passing[1]), member[same])
+                yield table(1, key[same], member[same])
                 key, member = key[~same], member[~same]
                 if not len(key):
                     held_key, held_set = key, member
@@ -235,13 +246,11 @@ def meetings(rows: DataFrame, small: int = SMALL) -> DataFrame:
             held_key, held_set = key[last:], member[last:]
             if len(held_key) > 50_000:
                 passing = (held_key[0], held_set[0])
-                yield table(0, np.full(len(held_key) - 1, held_set[0]), held_set[1:])
-                yield table(2, held_key, held_set)
+                yield from closed(held_key, held_set)
                 held_key, held_set = held_key[:0], held_set[:0]
         yield from closed(held_key, held_set)
 
-    found = rows.repartition("signature").sortWithinPartitions("signature", "set_id").mapInArrow(meet, "kind int, a long, b long")
-    return found.distinct()
+    return rows.repartition("signature").sortWithinPartitions("signature", "set_id").mapInArrow(meet, "kind int, a long, b long")
 
 
 def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -250,8 +259,7 @@ def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-                apart = np.bitwise_count(a ^ b).sum(axis=1)
+                apart = np.array([_bits_apart(a, b) for a, b in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())])
                 ok = apart * 9 <= batch.column("na").to_numpy() + batch.column("nb").to_numpy()
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
@@ -281,17 +289,43 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFram
     return pairs.join(left, "a").join(right, "b").mapInArrow(test, "a long, b long")
 
 
-def _apart(pairs: DataFrame, placed: DataFrame) -> DataFrame:
-    """Pairs that are not yet in one component."""
-    left, right = placed.select(F.col("node").alias("a"), F.col("root").alias("ra")), placed.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    return pairs.join(left, "a", "left").join(right, "b", "left").where("coalesce(ra, a) != coalesce(rb, b)").select("a", "b")
+def _mixed(members: DataFrame, placed: DataFrame) -> DataFrame:
+    """Rows (key, set_id, root) of the meetings that still hold several components, with their number n."""
+    rooted = members.join(placed.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x != y")
+    return rooted.join(mixed.select("key", "n"), "key")
 
 
-def _mixed_members(crowds: DataFrame, placed: DataFrame) -> DataFrame:
-    """Rows (a: signature, b: member) of the larger meetings that still hold several components."""
-    rooted = crowds.join(placed.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
-    mixed = rooted.groupBy("a").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("a")
-    return rooted.join(mixed, "a", "left_semi")
+def _rare_shingles(crowd: DataFrame, width: int) -> DataFrame:
+    """key, set_id: of each set, its rarest shingles among the crowd's sets (set_id, text): a fifth and one more, but those of no other set.
+
+    In one order of all shingles, sets that leave more than a fifth of either out share one of these.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("set_id").to_numpy()
+            for first, end, hashes, offsets in word_slices(batch.column("text"), SPACED):
+                shingles, bounds = document_sets(hashes, offsets, width)
+                sizes = np.diff(bounds)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shingles.view(np.int64)), pa.array(np.repeat(ids[first:end], sizes)), pa.array(np.repeat(sizes, sizes))], ["key", "set_id", "size"]
+                )
+
+    rows = crowd.mapInArrow(spread, "key long, set_id long, size long")
+    common = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = rows.join(common, "key")
+    own = Window.partitionBy("set_id")
+    ranked = shared.withColumns({"rank": F.row_number().over(own.orderBy("n", "key")), "many": F.count("*").over(own)})
+    return ranked.where("rank <= size div 5 + 1 - (size - many)").select("key", "set_id")
+
+
+def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members of each meeting that lie in different components and whose sizes allow a link."""
+    sized = members.join(sets.select("set_id", "n_shingles"), "set_id")
+    one = sized.select("key", F.col("set_id").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"))
+    other = sized.select("key", F.col("set_id").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"))
+    return one.join(other, "key").where("a < b and ra != rb and 4 * greatest(na, nb) <= 5 * least(na, nb)").select("a", "b").distinct()
 
 
 def link_sets(docs: DataFrame, sets: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -303,33 +337,23 @@ def link_sets(docs: DataFrame, sets: DataFrame, width: int = WIDTH) -> DataFrame
         return materialize(_matching(rows, width))
 
     met = materialize(meetings(signature_rows(docs, width)))
-    pairs = met.where("kind < 2").groupBy("a", "b").agg(F.min("kind").alias("kind")).select("kind", "a", "b")
-    likely = possible(pairs.select("a", "b"), sets).join(pairs, ["a", "b"])
-    likely = materialize(likely)
-    crowds = met.where("kind = 2").select("a", "b")
+    likely = materialize(possible(met.where("kind = 0").select("a", "b").distinct(), sets))
     texts = texts_of(likely.select(F.col("a").alias("set_id")).union(likely.select("b")))
-    links = materialize(verified(likely.where("kind = 0").select("a", "b"), texts, width))
-    placed = components(links)
-    rest = materialize(_apart(likely.where("kind = 1").select("a", "b"), placed))
-    if not rest.isEmpty():
-        links = materialize(links.union(verified(rest, texts, width)))
-        placed = components(links)
-    crowd = materialize(_mixed_members(crowds, placed))
-    if crowd.isEmpty():
-        return placed
-    # Larger meetings of several components: once more, with signatures of many more shingles, over their members alone.
-    texts = texts_of(crowd.select(F.col("b").alias("set_id")))
-    met = materialize(meetings(signature_rows(texts, width, second=True)))
-    pairs = met.where("kind < 2").select("a", "b").distinct()
-    links = materialize(links.union(verified(possible(_apart(pairs, placed), sets), texts, width)))
+    links = materialize(verified(likely, texts, width))
     placed = components(links)
-    crowd = materialize(_mixed_members(met.where("kind = 2").select("a", "b"), placed))
+    members = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("set_id"))
+    crowd = materialize(_mixed(members, placed).select("set_id").distinct())
     if crowd.isEmpty():
         return placed
-    # What still meets in crowds is compared in full across components, the sketches first.
-    one, other = crowd.select("a", F.col("b").alias("x"), F.col("root").alias("rx")), crowd.select("a", F.col("b").alias("y"), F.col("root").alias("ry"))
-    pairs = one.join(other, "a").where("x < y and rx != ry").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    return components(materialize(links.union(verified(possible(pairs, sets), texts, width))))
+    texts = texts_of(crowd)
+    rare = materialize(_mixed(_rare_shingles(texts, width), placed))
+    for small in (True, False):
+        members = rare.where(F.col("n") <= SMALL) if small else _mixed(rare.where(F.col("n") > SMALL).select("key", "set_id"), placed)
+        more = materialize(verified(possible(_across(members, sets), sets), texts, width))
+        if not more.isEmpty():
+            links = materialize(links.union(more))
+            placed = components(links)
+    return placed
 
 
 def _matching(rows: DataFrame, width: int) -> DataFrame:
