@@ -109,21 +109,22 @@ def _bits_apart(one: bytes, other: bytes) -> int:
 
 
 def digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, set_id, sketch of every row."""
+    """doc_id, n_shingles, set_id, sketch, text_hash of every row."""
     kind = docs.select("doc_id").schema.simpleString()[len("struct<") : -1].split(":", 1)[1]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, hashes_of = batch.column("doc_id"), batch.column("text_hash")
             for first, end, hashes, offsets in word_slices(batch.column("text"), SPACED):
                 shingles, bounds = document_sets(hashes, offsets, width)
                 sketches = _odd_sketches(shingles, bounds)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, end - first), pa.array(np.diff(bounds), pa.int64()), pa.array(_set_ids(shingles, bounds)), pa.array(sketches, pa.binary())],
-                    ["doc_id", "n_shingles", "set_id", "sketch"],
+                    [ids.slice(first, end - first), pa.array(np.diff(bounds), pa.int64()), pa.array(_set_ids(shingles, bounds)), pa.array(sketches, pa.binary()), hashes_of.slice(first, end - first)],
+                    ["doc_id", "n_shingles", "set_id", "sketch", "text_hash"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(digest, f"doc_id {kind}, n_shingles long, set_id long, sketch binary")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(digest, f"doc_id {kind}, n_shingles long, set_id long, sketch binary, text_hash long")
 
 
 def _one_hashing(shingles, bounds, n1, k, band, turn, shape):
@@ -369,8 +370,8 @@ def _matching(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(match, rows.schema).dropDuplicates(["set_id"])
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row.
+def near_duplicates(docs: DataFrame, width: int = WIDTH, detail: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (detail: and text_hash, xxhash64 of the text) of every row.
 
     Two documents link when their sets of ``width``-word shingles have a Jaccard
     similarity of 0.8 or more; component_id is the smallest doc_id of those reachable.
@@ -386,5 +387,27 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     named = roots.groupBy("root").agg(F.min("doc_id").alias("least"))
     classes = sets.select("set_id", "doc_id").join(placed.withColumnRenamed("node", "set_id"), "set_id", "left").join(named, "root", "left")
     classes = classes.select("set_id", F.coalesce("least", "doc_id").alias("component_id"))
-    rows = digest.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows = digest.select("doc_id", "n_shingles", "set_id", "text_hash").join(classes, "set_id", "left")
+    rows = rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
+    return rows if detail else rows.drop("text_hash")
+
+
+def without_near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs``, in its columns, that stand for their group: those whose doc_id is its component_id.
+
+    Of rows that share such an id the first by text, then by any order, stays where their texts belong to the group.
+    Rows with a null doc_id stay unless a document with an id has an equal set.
+    """
+    digest = near_duplicates(docs, width, detail=True)
+    keep = digest.where("doc_id = component_id or component_id is null").select(
+        F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none"), F.col("text_hash").alias("__hash")
+    )
+    # One text for each kept id; rows without an id keep every text.
+    keep = keep.groupBy("__id", "__none", F.when(F.col("__none"), F.col("__hash")).alias("__own")).agg(F.min("__hash").alias("__hash")).drop("__own")
+    packed = docs.select(
+        F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none"), F.xxhash64("text").alias("__hash"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
+    )
+    own = Window.partitionBy("__id", "__none", "__hash").orderBy("__id")
+    kept = packed.join(keep, ["__id", "__none", "__hash"]).withColumn("__turn", F.row_number().over(own))
+    return kept.where("__none or __turn = 1").select("__row.*")
