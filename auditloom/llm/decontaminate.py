@@ -245,7 +245,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW,
                 longest, place, _, _ = array.search(test)
                 found = np.flatnonzero(longest >= least)
                 doc = array.document[place[found]]
-                begins = np.flatnonzero(np.diff(test.item, prefix=-1))
+                begins = np.flatnonzero(np.diff(test.item, prepend=-1))
                 word = found - begins[np.searchsorted(begins, found, side="right") - 1] if len(found) else found
                 yield from pa.table(
                     [
