@@ -36,18 +36,18 @@ def known_findings(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     return findings.join(baseline.select("repo_id", "fingerprint"), ["repo_id", "fingerprint"], "left_semi")
 
 
-def baseline_status(unique: DataFrame, active: DataFrame, filtered: DataFrame, baseline: DataFrame) -> DataFrame:
+def baseline_status(unique: DataFrame, active: DataFrame, filtered: DataFrame, baseline: DataFrame | None) -> DataFrame:
     """Totals per repository.
 
     ``unique`` is de-duplicated, ``active`` has passed suppression and
     ``filtered`` the category and severity filters as well. The suppressed count
-    is taken before those filters, the total after them.
+    is taken before those filters, the total after them. Without a baseline nothing is known.
     """
-    marked = filtered.join(
-        baseline.select("repo_id", "fingerprint").distinct().withColumn("known", F.lit(1)),
-        ["repo_id", "fingerprint"],
-        "left",
-    )
+    if baseline is None:
+        marked = filtered.withColumn("known", F.lit(None).cast("int"))
+    else:
+        known = baseline.select("repo_id", "fingerprint").distinct().withColumn("known", F.lit(1))
+        marked = filtered.join(known, ["repo_id", "fingerprint"], "left")
     events = (
         unique.select("repo_id", F.lit("unique").alias("kind"))
         .unionByName(active.select("repo_id", F.lit("active").alias("kind")))

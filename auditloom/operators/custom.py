@@ -27,7 +27,7 @@ def run_custom(files: DataFrame, analyzers: Mapping[str, Analyzer]) -> tuple[Dat
             statuses.append((name, "completed", rows.count(), None))
             found = rows if found is None else found.unionByName(rows)
         except Exception as error:  # the isolation is the point here
-            statuses.append((name, "failed", 0, str(error).splitlines()[0][:500]))
+            statuses.append((name, "failed", 0, str(error)))
     status = spark.createDataFrame(
         statuses, "analyzer string, status string, findings_count long, error string"
     )

@@ -84,15 +84,13 @@ class Audit:
     @cached_property
     def digest(self) -> DataFrame:
         root = F.col("path").isin(*ROOT_FILES)
-        readable = self.source.filter((F.col("length") <= V.MAX_FILE_BYTES) | root)
-        kept = filter_ignored_paths(readable, self.policies if self.use_policies else None)
+        kept = filter_ignored_paths(self.source, self.policies if self.use_policies else None)
         marked = F.col("content").contains(V.FILE_MARKER) | F.col("content").contains(V.LINE_MARKER)
-        small = F.col("length") <= V.MAX_FILE_BYTES
         extra = {
-            "in_scope": small,
+            "in_scope": F.lit(True),
             "documented": documented_names(),
-            "referenced": F.when(small, referenced_names()),
-            "kept_text": F.when(root | marked | (small & may_route()), F.col("content")),
+            "referenced": referenced_names(),
+            "kept_text": F.when(root | marked | may_route(), F.col("content")),
             **file_facts(),
         }
         return self._settle(rule_hits(kept, user_rules=self.user_rules, keep=["length"], extra=extra))
@@ -126,7 +124,7 @@ class Audit:
 
     @cached_property
     def routes(self) -> DataFrame:
-        return routes(self.texts.filter(F.col("length") <= V.MAX_FILE_BYTES))
+        return routes(self.texts)
 
     @cached_property
     def raw(self) -> DataFrame:

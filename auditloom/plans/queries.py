@@ -45,6 +45,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 SHORT = ("repo_id", "rule_id", "severity", "confidence", "file", "line", "snippet", "fingerprint")
 QUERIES: dict[str, Query] = {}
+#: Audits of this process by application, source and options: their stored tables serve all queries over them.
+_AUDITS: dict[tuple[str, str, str], Audit] = {}
 
 
 def query(fn: Query) -> Query:
@@ -53,7 +55,7 @@ def query(fn: Query) -> Query:
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_size(filter_ignored_paths(corpus_files(spark, sf_dir)))
+    return filter_ignored_paths(corpus_files(spark, sf_dir))
 
 
 def _discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +63,12 @@ def _discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _audit(spark: SparkSession, sf_dir: str, **options) -> Audit:
-    return Audit(corpus_files(spark, sf_dir), **options)
+    if any(isinstance(v, DataFrame) for v in options.values()):
+        return Audit(corpus_files(spark, sf_dir), **options)
+    key = (spark.sparkContext.applicationId, sf_dir, repr(sorted(options.items())))
+    if key not in _AUDITS:
+        _AUDITS[key] = Audit(corpus_files(spark, sf_dir), **options)
+    return _AUDITS[key]
 
 
 def _only(families: set[str]) -> list[int]:
@@ -71,6 +78,12 @@ def _only(families: set[str]) -> list[int]:
 # --- sources and file predicates ----------------------------------------------------------
 
 
+@query
+def files_by_size(spark, sf_dir):
+    """The size filter alone, at a length that the corpus has files on both sides of."""
+    return filter_size(corpus_files(spark, sf_dir), 2000).select("repo_id", "path", "length")
+
+
 @query
 def corpus(spark, sf_dir):
     return corpus_files(spark, sf_dir).select("repo_id", "path", "length", F.md5("content").alias("content_md5"))
@@ -194,7 +207,7 @@ def secrets_in_documents(spark, sf_dir):
         F.octet_length("text").cast("long").alias("length"),
         F.col("text").alias("content"),
     )
-    return FD.dedup_findings(family_findings(filter_size(files), family_rules("secret"))).select(*SHORT)
+    return FD.dedup_findings(family_findings(files, family_rules("secret"))).select(*SHORT)
 
 
 @query
@@ -208,7 +221,7 @@ def config_in_pages(spark, sf_dir):
         F.col("html").alias("content"),
     )
     chosen = _only({"config", "secret", "cfg"})
-    return FD.dedup_findings(family_findings(filter_size(files), chosen)).select(*SHORT)
+    return FD.dedup_findings(family_findings(files, chosen)).select(*SHORT)
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import batched
 
@@ -21,6 +22,9 @@ POLICY_SCHEMA = (
 )
 
 
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
 def _hidden(name: str) -> bool:
     """Names that Spark's file listing leaves out."""
     return name.startswith((".", "_"))
@@ -40,7 +44,7 @@ def _walk_hidden(filesystem: pafs.FileSystem, root: str, repo_id: str) -> Iterat
                     yield repo_id, path, info.size
 
 
-def scan_hidden_files(spark: SparkSession, root: str, max_bytes: int | None = V.MAX_FILE_BYTES) -> DataFrame:
+def scan_hidden_files(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
     """Dot and underscore files below ``root/<repo_id>/``, which the built-in reader skips.
 
     Directories are listed by tasks, one row per repository; the found names are
@@ -91,18 +95,19 @@ def scan_hidden_files(spark: SparkSession, root: str, max_bytes: int | None = V.
 
 
 def scan_files(
-    spark: SparkSession, root: str, max_bytes: int | None = V.MAX_FILE_BYTES, hidden: bool = True
+    spark: SparkSession, root: str, max_bytes: int | None = None, hidden: bool = True
 ) -> DataFrame:
     """Every file below ``root/<repo_id>/`` as (repo_id, path, length, content).
 
-    The size limit is pushed into the file listing, so large files are not
-    opened. Bytes that are no UTF-8 become replacement characters.
+    Files of any size are read; a limit, where given, is pushed into the file listing,
+    so larger files are not opened. Bytes that are no UTF-8 become replacement characters.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     if max_bytes is not None:
         raw = raw.filter(F.col("length") <= max_bytes)
-    base = root.rstrip("/") + "/"
-    relative = F.substring_index(F.col("path"), base, -1)
+    # Paths come with a scheme, the root may not: what follows both is cut by length, as the root's name may occur again.
+    base = re.sub("/+", "/", re.sub(_SCHEME, "", root)).rstrip("/") + "/"
+    relative = F.expr(f"substring(regexp_replace(path, '{_SCHEME}', ''), {len(base) + 1})")
     repo = F.substring_index(relative, "/", 1)
     visible = raw.select(
         repo.alias("repo_id"),

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from auditloom.operators.baseline import new_findings, read_baseline
 from auditloom.operators.digest import rule_hits
 from auditloom.operators.findings import to_findings
-from auditloom.sources.files import filter_ignored_paths, filter_size
+from auditloom.sources.files import filter_ignored_paths
 
 FILES_SCHEMA = "repo_id string, path string, length long, content string, arrived_at timestamp"
 
@@ -31,7 +31,7 @@ def read_file_stream(spark: SparkSession, path: str, files_per_trigger: int = 10
 
 def stream_findings(arriving: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Line and file rule findings of arriving files, once per fingerprint within ``lateness``."""
-    files = filter_size(filter_ignored_paths(arriving)).withWatermark("arrived_at", lateness)
+    files = filter_ignored_paths(arriving).withWatermark("arrived_at", lateness)
     digest = rule_hits(files, keep=["arrived_at"])
     hits = digest.select("repo_id", "path", "arrived_at", F.explode_outer("hits").alias("h")).select(
         "repo_id", "path", "arrived_at", "h.line", "h.text", F.explode_outer("h.ords").alias("ord")

@@ -97,6 +97,8 @@ tokens AS (
 """
 ORACLES["suppressions"] = f"WITH {CORPUS}, {TOKENS} SELECT repo_id, token FROM tokens"
 
+ORACLES["files_by_size"] = f"WITH {CORPUS} SELECT repo_id, path, length FROM source WHERE length <= 2000"
+
 ORACLES["file_roles"] = f"""WITH {CORPUS}
 SELECT repo_id, path, ext, {CODE} AS is_code,
   {has_any('path', 'api/', 'routes/', 'controllers/', 'views.py')} OR {ends_any('path', 'route.ts', 'route.js')} AS api_path,

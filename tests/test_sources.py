@@ -4,7 +4,7 @@ import datetime as dt
 
 from auditloom.operators.baseline import write_baseline
 from auditloom.operators.rules import family_rules
-from auditloom.plans.audit import family_findings
+from auditloom.plans.audit import Audit, family_findings
 from auditloom.sources.files import (
     filter_extension,
     filter_gitignored,
@@ -39,13 +39,19 @@ def test_scan_files(spark, tmp_path):
     tree(tmp_path)
     (tmp_path / "r1" / "logo.png").write_bytes(b"\x89PNG\xff\xfe ok")
     (tmp_path / "r2" / ".bin").write_bytes(b"a\xff")
+    again = tmp_path / "r2" / str(tmp_path).lstrip("/") / "with blank.js"
+    again.parent.mkdir(parents=True)
+    again.write_text("eval(z);")
     files = scan_files(spark, str(tmp_path))
     texts = {(r.repo_id, r.path): r.content for r in files.collect()}
     assert texts["r1", "logo.png"] == "\ufffdPNG\ufffd\ufffd ok" and texts["r2", ".bin"] == "a\ufffd"
     assert texts["r2", ".github/workflows/ci.yml"] == "uses: a/b@v1" and ("r2", ".git/config") not in texts
     paths = {(r.repo_id, r.path) for r in files.collect()}
-    assert ("r1", "src/a.js") in paths and ("r1", "big.js") not in paths
-    assert "LessThanOrEqual(length" in files._jdf.queryExecution().executedPlan().toString()
+    assert ("r1", "src/a.js") in paths and ("r1", "big.js") in paths
+    assert ("r2", str(again.relative_to(tmp_path / "r2"))) in paths
+    limited = scan_files(spark, str(tmp_path), 1024 * 1024)
+    assert ("r1", "big.js") not in {(r.repo_id, r.path) for r in limited.collect()}
+    assert "LessThanOrEqual(length" in limited._jdf.queryExecution().executedPlan().toString()
     kept = {r.path for r in filter_ignored_paths(files).collect()}
     assert "node_modules/x/b.js" not in kept
     assert {r.path for r in filter_extension(files, [".py", "Dockerfile"]).collect()} == {
@@ -90,3 +96,16 @@ def test_incremental_audit(spark, make_files, tmp_path):
     query.awaitTermination(120)
     got = sorted((r.repo_id, r.file, r.rule_id) for r in spark.read.parquet(out).collect())
     assert got == [("r", "a.js", "CODE-001"), ("r", "b.js", "CODE-002")]
+
+
+def test_large_lockfile(spark, tmp_path):
+    """A lockfile above any former limit is read: the inventory is whole and no lockfile is missed."""
+    root = tmp_path / "r"
+    root.mkdir()
+    (root / "package.json").write_text('{"dependencies": {"p1": "1.0.0"}}')
+    entries = ",".join(f'"node_modules/p{i}": {{"version": "1.0.{i}", "resolved": "{"x" * 100}"}}' for i in range(9000))
+    (root / "package-lock.json").write_text(f'{{"packages": {{{entries}}}}}')
+    assert (root / "package-lock.json").stat().st_size > 1024 * 1024
+    audit = Audit(scan_files(spark, str(tmp_path)))
+    assert audit.inventory.count() >= 9000
+    assert "PKG-001" not in {r.rule_id for r in audit.findings.select("rule_id").collect()}
