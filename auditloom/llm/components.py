@@ -17,11 +17,9 @@ def components(edges: DataFrame) -> DataFrame:
     combinable minimum, so no neighbourhood is held by one task. Each round is a written table.
     """
     edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct())
-    placed = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    placed = materialize(placed.withColumn("root", F.col("node")))
-    turn = 0
+    nodes, steps = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), []
     while not edges.isEmpty():
-        turn += 1
+        turn = len(steps) + 1
         rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("at"))  # noqa: B023, E731
         seen = edges.select("a", "b").union(edges.select("b", "a"))
         moves = seen.groupBy("a").agg(F.min(F.least(rank("a"), rank("b"))).alias("m")).select("a", F.col("m.at").alias("to"))
@@ -30,6 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         right = moves.select(F.col("a").alias("b"), F.col("to").alias("tb"))
         moved = edges.join(left, "a").join(right, "b").where("ta != tb")
         edges = materialize(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
-        step = moves.select(F.col("a").alias("root"), "to")
-        placed = materialize(placed.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
-    return placed
+        steps.append(moves.select(F.col("a").alias("root"), "to"))
+    placed = nodes.withColumn("root", F.col("node"))
+    for step in steps:
+        placed = placed.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return materialize(placed)

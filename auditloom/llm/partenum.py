@@ -33,8 +33,8 @@ from auditloom.llm.words import SPACED, mix64, shingle_hashes, word_slices
 from auditloom.session import materialize
 
 WIDTH = 5
-#: Refined meetings up to this size are compared in full first; what is left of larger ones when those are linked.
-SMALL = 32
+#: Meetings up to this size are compared in full across components; members of larger ones meet again by rare shingles.
+SMALL = 12
 #: (n2, k2) of small and of large k.
 FINE, COARSE = (3, 1), (1, 0)
 FINE_UP_TO = 8
@@ -298,9 +298,10 @@ def _mixed(members: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def _rare_shingles(crowd: DataFrame, width: int) -> DataFrame:
-    """key, set_id: of each set, its rarest shingles among the crowd's sets (set_id, text): a fifth and one more, but those of no other set.
+    """key, set_id, many: of each set, its rarest shingles among the crowd's sets (set_id, text): a fifth and one more, but those of no other set.
 
-    In one order of all shingles, sets that leave more than a fifth of either out share one of these.
+    In one order of all shingles, sets of a similar pair share one of these. many is how many
+    shingles of the set any other set has at all, the most that it can share.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,15 +319,20 @@ def _rare_shingles(crowd: DataFrame, width: int) -> DataFrame:
     shared = rows.join(common, "key")
     own = Window.partitionBy("set_id")
     ranked = shared.withColumns({"rank": F.row_number().over(own.orderBy("n", "key")), "many": F.count("*").over(own)})
-    return ranked.where("rank <= size div 5 + 1 - (size - many)").select("key", "set_id")
+    return ranked.where("rank <= size div 5 + 1 - (size - many)").select("key", "set_id", "many")
 
 
 def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the members of each meeting that lie in different components and whose sizes allow a link."""
+    """Pairs (a, b) of the members of each meeting that lie in different components and whose sizes allow a link.
+
+    many, where given, is the most that a member can share: a link shares 4/9 of both sizes or more.
+    """
     sized = members.join(sets.select("set_id", "n_shingles"), "set_id")
-    one = sized.select("key", F.col("set_id").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"))
-    other = sized.select("key", F.col("set_id").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"))
-    return one.join(other, "key").where("a < b and ra != rb and 4 * greatest(na, nb) <= 5 * least(na, nb)").select("a", "b").distinct()
+    sized = sized if "many" in members.columns else sized.withColumn("many", F.col("n_shingles"))
+    one = sized.select("key", F.col("set_id").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"), F.col("many").alias("ma"))
+    other = sized.select("key", F.col("set_id").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"), F.col("many").alias("mb"))
+    fits = "a < b and ra != rb and 4 * greatest(na, nb) <= 5 * least(na, nb) and 9 * least(ma, mb) >= 4 * (na + nb)"
+    return one.join(other, "key").where(fits).select("a", "b").distinct()
 
 
 def link_sets(docs: DataFrame, sets: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -343,17 +349,25 @@ def link_sets(docs: DataFrame, sets: DataFrame, width: int = WIDTH) -> DataFrame
     links = materialize(verified(likely, texts, width))
     placed = components(links)
     members = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("set_id"))
-    crowd = materialize(_mixed(members, placed).select("set_id").distinct())
+    mixed = materialize(_mixed(members, placed))
+
+    def more_links(members: DataFrame, texts: DataFrame | None) -> None:
+        nonlocal links, placed
+        pairs = materialize(possible(_across(members, sets), sets))
+        if pairs.isEmpty():
+            return
+        texts = texts_of(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b"))) if texts is None else texts
+        links = materialize(links.union(verified(pairs, texts, width)))
+        placed = components(links)
+
+    more_links(mixed.where(F.col("n") <= SMALL), None)
+    crowd = materialize(_mixed(mixed.where(F.col("n") > SMALL).select("key", "set_id"), placed).select("set_id").distinct())
     if crowd.isEmpty():
         return placed
     texts = texts_of(crowd)
     rare = materialize(_mixed(_rare_shingles(texts, width), placed))
-    for small in (True, False):
-        members = rare.where(F.col("n") <= SMALL) if small else _mixed(rare.where(F.col("n") > SMALL).select("key", "set_id"), placed)
-        more = materialize(verified(possible(_across(members, sets), sets), texts, width))
-        if not more.isEmpty():
-            links = materialize(links.union(more))
-            placed = components(links)
+    more_links(rare.where(F.col("n") <= SMALL), texts)
+    more_links(_mixed(rare.where(F.col("n") > SMALL).select("key", "set_id", "many"), placed), texts)
     return placed
 
 
