@@ -301,7 +301,8 @@ def _rare_shingles(crowd: DataFrame, width: int) -> DataFrame:
     """key, set_id, many: of each set, its rarest shingles among the crowd's sets (set_id, text): a fifth and one more, but those of no other set.
 
     In one order of all shingles, sets of a similar pair share one of these. many is how many
-    shingles of the set any other set has at all, the most that it can share.
+    shingles of the set, from this one on, any other set has at all: the most that it can
+    share with a set whose first shingle in common with it is this one.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,13 +320,14 @@ def _rare_shingles(crowd: DataFrame, width: int) -> DataFrame:
     shared = rows.join(common, "key")
     own = Window.partitionBy("set_id")
     ranked = shared.withColumns({"rank": F.row_number().over(own.orderBy("n", "key")), "many": F.count("*").over(own)})
-    return ranked.where("rank <= size div 5 + 1 - (size - many)").select("key", "set_id", "many")
+    return ranked.where("rank <= size div 5 + 1 - (size - many)").select("key", "set_id", F.expr("many - rank + 1").alias("many"))
 
 
 def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of the members of each meeting that lie in different components and whose sizes allow a link.
 
-    many, where given, is the most that a member can share: a link shares 4/9 of both sizes or more.
+    many, where given, is the most that a member can share if the key is the first that the two have in common:
+    a link shares 4/9 of both sizes or more, so it passes at that key at the latest.
     """
     sized = members.join(sets.select("set_id", "n_shingles"), "set_id")
     sized = sized if "many" in members.columns else sized.withColumn("many", F.col("n_shingles"))
