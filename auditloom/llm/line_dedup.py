@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.llm.common import bucket_count, running_total
@@ -165,17 +165,34 @@ def analysis(docs: DataFrame, min_lines: int = MIN_LINES) -> tuple[DataFrame, Da
     return report, deleted
 
 
-def without_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """``docs`` with later copies of repeated line runs taken out of ``text``; rows equal in id and text share the earliest's lines."""
+def line_deletions(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """doc_id, __order, __text, __first (the earliest of the rows equal in id and text), n_rows (of these) and lines (deleted, from 0) of each kind of row that loses lines.
+
+    Of rows equal in id and text every later one is a copy of the first as a whole, so they all lose the same lines.
+    """
     report, deleted = analysis(docs, min_lines)
+    lines = deleted.groupBy("__base").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    equal = report.groupBy("__order", "__text").agg(F.min("__base").alias("__least"), F.count("*").alias("n_rows"))
+    gone = report.where("n_deleted > 0").select("doc_id", "__order", "__text", "__base").join(lines, "__base").join(equal, ["__order", "__text"])
+    kinds = gone.withColumn("__first", F.expr("__base = __least")).groupBy("__order", "__text", "__first")
+    return kinds.agg(F.first("doc_id").alias("doc_id"), F.first("n_rows").alias("n_rows"), F.min_by("lines", "__base").alias("lines"))
+
+
+def without_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """``docs`` with later copies of repeated runs of ``min_lines`` lines or more taken out of ``text``."""
+    gone = materialize(line_deletions(docs, min_lines))
     high = docs.agg(F.max("doc_id")).first()[0] or 0
-    gone = report.where("n_deleted > 0").select("__order", "__text", "__base").join(deleted, "__base")
-    gone = gone.groupBy("__order", "__text", "__base").agg(F.collect_set("line").alias("__gone"))
-    gone = gone.groupBy("__order", "__text").agg(F.min_by("__gone", "__base").alias("__gone"))
     order = F.coalesce(F.col("doc_id"), F.lit(high + 1)).cast("long")
-    rows = docs.withColumns({"__order": order, "__text": F.xxhash64("text")}).join(gone, ["__order", "__text"], "left")
-    kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(__gone, cast(i as bigint))), '\\n')")
-    return rows.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    packed = docs.select(order.alias("__order"), F.xxhash64("text").alias("__text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    # Only rows that have equals are numbered; all others are first.
+    several = gone.where("n_rows > 1").select("__order", "__text").distinct()
+    own = Window.partitionBy("__order", "__text").orderBy("__text")
+    numbered = packed.join(several, ["__order", "__text"], "left_semi").withColumn("__first", F.row_number().over(own) == 1)
+    alone = packed.join(several, ["__order", "__text"], "left_anti").withColumn("__first", F.lit(True))
+    rows = numbered.unionByName(alone).join(gone.select("__order", "__text", "__first", "lines"), ["__order", "__text", "__first"], "left")
+    kept = F.expr("array_join(filter(split(__row.text, '\\n'), (x, i) -> not array_contains(lines, cast(i as bigint))), '\\n')")
+    text = F.when(F.col("lines").isNull(), F.col("__row.text")).otherwise(kept)
+    return rows.select(*[text.alias(c) if c == "text" else F.col(f"__row.`{c}`") for c in docs.columns])
 
 
 def line_report(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:

@@ -32,6 +32,17 @@ def test_line_dedup_texts(docs):
     assert texts == {8: "start\nend", 11: "again", 2: "", 1: None}
 
 
+def test_line_dedup_equal_rows(docs):
+    """One of several rows equal in id and text keeps its lines; a later text equal in part loses that part."""
+    make = lambda rows: docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
+    told = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    twice = [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "x\na\nb\nc")]
+    assert told(line_dedup.without_repeated_lines(make(twice))) == [(1, ""), (1, "a\nb\nc"), (2, "x")]
+    part = [(1, "a\nb\nc"), (2, "a\nb\nc\nd")] + [(2, "a\nb\nc\nd")] * 2 + [(None, "p\nq\nr")] * 2
+    want = [(1, "a\nb\nc"), (2, ""), (2, ""), (2, "d"), (None, ""), (None, "p\nq\nr")]
+    assert told(line_dedup.without_repeated_lines(make(part), 3)) == sorted(want, key=repr)
+
+
 def test_line_dedup_empty(no_docs):
     assert line_dedup.line_report(no_docs).collect() == []
 
