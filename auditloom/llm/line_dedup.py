@@ -8,7 +8,8 @@ the suffix array whose longest common prefix is h or more. A round orders each
 group by the ranks h places on and doubles h; places that are alone, or whose run
 of repeated lines is used up, have their final rank. Longest common prefixes of neighbours in the
 final order come from the ranks of all rounds, largest step first. Every place of an interval
-of MIN_LINES or more but the earliest is a later copy, and its lines are deleted.
+of enough lines but the earliest is a later copy, and its lines are deleted: runs of any
+length in without_repeated_lines, those of MIN_LINES or more in the counts of line_report.
 """
 
 from __future__ import annotations
@@ -165,7 +166,7 @@ def analysis(docs: DataFrame, min_lines: int = MIN_LINES) -> tuple[DataFrame, Da
     return report, deleted
 
 
-def line_deletions(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def line_deletions(docs: DataFrame, min_lines: int = 1) -> DataFrame:
     """doc_id, __order, __text, __first (the earliest of the rows equal in id and text), n_rows (of these) and lines (deleted, from 0) of each kind of row that loses lines.
 
     Of rows equal in id and text every later one is a copy of the first as a whole, so they all lose the same lines.
@@ -178,8 +179,8 @@ def line_deletions(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return kinds.agg(F.first("doc_id").alias("doc_id"), F.first("n_rows").alias("n_rows"), F.min_by("lines", "__base").alias("lines"))
 
 
-def without_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """``docs`` with later copies of repeated runs of ``min_lines`` lines or more taken out of ``text``."""
+def without_repeated_lines(docs: DataFrame, min_lines: int = 1) -> DataFrame:
+    """``docs`` with later copies of repeated runs of ``min_lines`` lines or more taken out of ``text``; by default of any length."""
     gone = materialize(line_deletions(docs, min_lines))
     high = docs.agg(F.max("doc_id")).first()[0] or 0
     order = F.coalesce(F.col("doc_id"), F.lit(high + 1)).cast("long")

@@ -43,6 +43,12 @@ def test_line_dedup_equal_rows(docs):
     assert told(line_dedup.without_repeated_lines(make(part), 3)) == sorted(want, key=repr)
 
 
+def test_line_dedup_short_runs(docs):
+    """A repeated run of one or two lines, or a whole short text, goes too."""
+    rows = docs.sparkSession.createDataFrame([(1, "a\nb"), (2, "a\nb"), (3, "x\nb\ny")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.without_repeated_lines(rows).collect()} == {1: "a\nb", 2: "", 3: "x\ny"}
+
+
 def test_line_dedup_empty(no_docs):
     assert line_dedup.line_report(no_docs).collect() == []
 
