@@ -387,13 +387,15 @@ def _matching(rows: DataFrame, width: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, detail: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id (detail: and text_hash, xxhash64 of the text) of every row.
+    """doc_id, n_shingles, component_id (detail: and set_id, class and text_hash) of every row.
 
     Two documents link when their sets of ``width``-word shingles have a Jaccard
     similarity of 0.8 or more; component_id is the smallest doc_id of those reachable.
     Null, empty and blank texts have no set and are alone. Rows with a null doc_id
     take the component of rows with an equal set, else null, and link nothing
-    themselves. Rows that share a doc_id are each placed by their own text.
+    themselves. Rows that share a doc_id are each placed by their own text. class is the
+    same for the rows of one component only, whatever their ids (null without a set);
+    text_hash is xxhash64 of the text.
     """
     digest = materialize(digests(docs, width))
     sets = digest.where("set_id != 0 and doc_id is not null").groupBy("set_id", "n_shingles")
@@ -402,24 +404,31 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, detail: bool = False) -
     roots = placed.join(sets.select(F.col("set_id").alias("node"), "doc_id"), "node")
     named = roots.groupBy("root").agg(F.min("doc_id").alias("least"))
     classes = sets.select("set_id", "doc_id").join(placed.withColumnRenamed("node", "set_id"), "set_id", "left").join(named, "root", "left")
-    classes = classes.select("set_id", F.coalesce("least", "doc_id").alias("component_id"))
+    classes = classes.select("set_id", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("root", "set_id").alias("class"))
     rows = digest.select("doc_id", "n_shingles", "set_id", "text_hash").join(classes, "set_id", "left")
-    rows = rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
-    return rows if detail else rows.drop("text_hash")
+    rows = rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set_id", "class", "text_hash")
+    return rows if detail else rows.drop("set_id", "class", "text_hash")
 
 
 def without_near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The rows of ``docs``, in its columns, that stand for their group: those whose doc_id is its component_id.
+    """One row of ``docs``, in its columns, for each component.
 
-    Of rows that share such an id the first by text, then by any order, stays where their texts belong to the group.
+    It has the component's smallest doc_id that no other component has too, else its smallest one: ids that
+    several texts share name several components, and none of them goes. Of a component's rows with that id
+    the first by text, then by any order, stays. Texts without a set are alone and stay, once for each id.
     Rows with a null doc_id stay unless a document with an id has an equal set.
     """
-    digest = near_duplicates(docs, width, detail=True)
-    keep = digest.where("doc_id = component_id or component_id is null").select(
-        F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none"), F.col("text_hash").alias("__hash")
-    )
-    # One text for each kept id; rows without an id keep every text.
-    keep = keep.groupBy("__id", "__none", F.when(F.col("__none"), F.col("__hash")).alias("__own")).agg(F.min("__hash").alias("__hash")).drop("__own")
+    digest = materialize(near_duplicates(docs, width, detail=True))
+    known = digest.where("doc_id is not null")
+    pairs = known.select("doc_id", F.col("set_id") != 0, F.coalesce("class", "text_hash")).toDF("doc_id", "__set", "class").distinct()
+    several = pairs.groupBy("doc_id").agg((F.count("*") > 1).alias("__several"))
+    named = pairs.where("__set").join(several, "doc_id").groupBy("class").agg(F.min(F.struct("__several", "doc_id")).alias("n"))
+    named = named.select("class", F.col("n.doc_id").alias("doc_id"))
+    standing = known.join(named, ["class", "doc_id"]).groupBy("class", "doc_id").agg(F.min("text_hash").alias("__hash")).select("doc_id", "__hash")
+    blank = known.where("set_id = 0").select("doc_id", F.col("text_hash").alias("__hash"))
+    unnamed = digest.where("doc_id is null and component_id is null").select("doc_id", F.col("text_hash").alias("__hash"))
+    keep = standing.union(blank).union(unnamed).distinct()
+    keep = keep.select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none"), "__hash")
     packed = docs.select(
         F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none"), F.xxhash64("text").alias("__hash"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),

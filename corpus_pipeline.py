@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one whose id names it. Of rows that share that id one stays; rows without an id stay."""
+    """One document of each near-duplicate group, by its smallest id that no other group has, else its smallest; rows without an id stay."""
     ship_package(spark)
     return partenum.without_near_duplicates(docs)
 

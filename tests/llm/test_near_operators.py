@@ -89,6 +89,15 @@ def test_without_near_duplicates(docs):
     assert {4, 1, 2, 3}.issubset(ids) and not {5, 6}.intersection(ids) and len(ids) == len(set(ids))
 
 
+def test_without_near_duplicates_shared_ids(spark, docs):
+    """Different texts under one id are different groups; each keeps a document."""
+    kept = sorted((r.doc_id, r.text.lower()) for r in partenum.without_near_duplicates(docs.where("doc_id in (9, 12)")).collect())
+    assert kept == [(9, "another text"), (12, "one two three")]
+    rows = [(9, "one two three"), (9, "another text"), (9, "another text"), (9, ""), (9, None), (3, "ONE two three"), (3, "third text")]
+    kept = partenum.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r.text).lower() for r in kept) == ["", "another text", "none", "one two three", "third text"]
+
+
 def test_repeated_passages(spark, docs, no_docs):
     rng = random.Random(4)
     passage, twice = words(rng, 60), words(rng, 55)
