@@ -118,6 +118,34 @@ def test_repeated_passages(spark, docs, no_docs):
     assert compact_windows.repeated_passages(no_docs).collect() == []
 
 
+def test_repeated_passages_crowd(spark):
+    """Sixty edited variants of a passage in different surroundings, and crowds that share a few words only: all variants are joined."""
+    rng = random.Random(12)
+    passage, rows = words(rng, 80), []
+    for k in range(60):
+        own = list(passage)
+        for place in rng.sample(range(8, 72), rng.choice((0, 1, 1, 2))):
+            own[place] = f"new{rng.random()}"
+        rows.append((k, words(rng, 60) + own + words(rng, 60)))
+    low = words(rng, 12)
+    rows += [(100 + k, words(rng, 60) + low + words(rng, 60)) for k in range(30)]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = compact_windows.repeated_passages(table).collect()
+    shingles = {i: {tuple(w[j : j + 5]) for j in range(60, 60 + 76)} for i, w in rows if i < 60}
+
+    def groups(pairs):
+        low = {i: i for i in shingles}
+        for _ in shingles:
+            for x, y in pairs:
+                low[x] = low[y] = min(low[x], low[y])
+        return low
+
+    want = [(x, y) for x in shingles for y in shingles if x < y and len(shingles[x] & shingles[y]) >= 0.8 * len(shingles[x] | shingles[y])]
+    got = [(r.doc_id, r.other_doc_id) for r in found]
+    joined = groups(got)
+    assert len(want) > 100 and all(max(p) < 60 for p in got) and all(joined[x] == joined[y] for x, y in want)
+
+
 def test_compact_windows_cover_all_runs():
     """Each run of WIDTH values or more lies in exactly the node of its least value."""
     rng = np.random.default_rng(1)
