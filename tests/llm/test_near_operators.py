@@ -146,6 +146,17 @@ def test_repeated_passages_crowd(spark):
     assert len(want) > 100 and all(max(p) < 60 for p in got) and all(joined[x] == joined[y] for x, y in want)
 
 
+def test_passages_with_words_put_in():
+    """Twelve words in the middle of a passage of 94, in either text: neither half is long enough by itself."""
+    rng = np.random.default_rng(5)
+    whole = rng.integers(1, 2**62, 90).astype(np.uint64)
+    longer = np.concatenate([whole[:43], rng.integers(1, 2**62, 16).astype(np.uint64), whole[47:]])
+    for a, b, d in ((whole, longer, 12), (longer, whole, -12)):
+        meets = [(0, 0, 50, 1), (d, 0, len(a) - 1, 2)]
+        (p,) = compact_windows._passages(a, b, meets, 46, 2)
+        assert p[:4] == (0, len(a), 0, len(b)) and p[4] == 86 / 106
+
+
 def test_compact_windows_cover_all_runs():
     """Each run of WIDTH values or more lies in exactly the node of its least value."""
     rng = np.random.default_rng(1)
