@@ -132,3 +132,60 @@ WITH RECURSIVE docs AS (
 SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, (SELECT min(low) FROM reach r WHERE r.at = d.doc_id) AS component_id
 FROM docs d LEFT JOIN sizes s USING (doc_id)
 """
+
+ORACLES["op11_prefix_trie"] = r"""
+WITH table_of AS (
+  SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c
+  FROM range(256) t(i)
+), crc AS (SELECT list(c ORDER BY i) AS t FROM table_of),
+ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+shared AS (
+  SELECT conv_id, xor(list_reduce(
+    list_prepend(4294967295, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ord(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+    lambda c, x: xor(t[1 + (xor(c, x) & 255)], c >> 8)), 4294967295) % 4 AS h
+  FROM ids, crc
+), seqs AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS s FROM conversations GROUP BY conv_id
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.s[1:h], []), c.s[h + 1:]) AS s
+  FROM seqs c JOIN shared USING (conv_id) LEFT JOIN seqs b ON b.conv_id = c.conv_id - c.conv_id % 20
+), prefixes AS (
+  SELECT conv_id, d, len(s) AS n, sha256(to_json(s[1:d])::VARCHAR) AS key, sha256(to_json(s[1:d - 1])::VARCHAR) AS above,
+    CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(s[d].t, '[^\x20\x09-\x0D]+')) END AS words
+  FROM (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT d, key, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words, max(above) AS above,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE d = n), '')) AS ends_sha256
+  FROM prefixes GROUP BY d, key
+), children AS (SELECT above AS key, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+below AS (
+  SELECT p.d, p.key, count(*) FILTER (WHERE c.n IS NULL) AS n_leaves, sum((o.n_convs - 1) * o.words) AS saved
+  FROM nodes o LEFT JOIN children c ON c.key = o.key AND c.d = o.d JOIN prefixes p ON p.conv_id = o.conv_id AND p.d <= o.d
+  GROUP BY p.d, p.key
+)
+SELECT o.conv_id, o.d AS depth, u.conv_id AS parent_conv_id, o.n_convs, coalesce(c.n, 0) AS n_children, b.n_leaves,
+  b.saved::BIGINT AS saved_tokens, o.ends_sha256
+FROM nodes o JOIN below b ON b.d = o.d AND b.key = o.key
+LEFT JOIN children c ON c.d = o.d AND c.key = o.key LEFT JOIN nodes u ON u.d = o.d - 1 AND u.key = o.above
+"""
+
+ORACLES["op13_fill_middle"] = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, 'null')) AS x FROM documents
+), cut AS (
+  SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS ls, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2,
+    ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4
+  FROM drawn
+), placed AS (
+  SELECT *, len(ls) AS n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+      WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM cut
+), parts AS (
+  SELECT *, array_to_string(ls[1:a], '') AS p, array_to_string(ls[a + 1:b], '') AS m, array_to_string(ls[b + 1:], '') AS s FROM placed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(p || m || s) AS restored_sha256
+FROM parts
+"""

@@ -6,8 +6,23 @@ import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from auditloom.llm import compact_windows, ctw, decontaminate, forest, line_dedup, mixing, nbsvm, partenum, shard, token_counts
+from pyspark.sql import functions as F
+
+from auditloom.llm import (
+    compact_windows,
+    ctw,
+    decontaminate,
+    fill_middle,
+    forest,
+    line_dedup,
+    mixing,
+    nbsvm,
+    partenum,
+    piece_codec,
+    prefix_trie,
+    shard,
+    token_counts,
+)
 from auditloom.llm.common import ship_package, table
 from auditloom.llm.oracles import ORACLES  # noqa: F401
 
@@ -78,3 +93,36 @@ def op8_quality(spark, sf_dir):
 @query
 def op10_passages(spark, sf_dir):
     return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_piece_codec(spark, sf_dir):
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = piece_codec.decode(piece_codec.encode(table(spark, sf_dir, "documents"), model), model)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op13_fill_middle(spark, sf_dir):
+    cut = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
