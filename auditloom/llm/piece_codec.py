@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,23 +22,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SPACE = "▁"
-#: Segments and neighbours that a worker keeps; beyond that it starts afresh, which changes speed only.
-KEPT_SEGMENTS = 1_000_000
-KEPT_PAIRS = 1_000_000
+#: Segments of a generation and neighbours that a worker keeps; beyond that older ones go, which changes speed only.
+KEPT_SEGMENTS = 150_000
+KEPT_PAIRS = 300_000
 _LOADED: dict[str, PieceCodec] = {}
 
 
 class _Segments(dict):
-    """Ids of segments, as bytes of 32-bit integers."""
+    """Ids of segments, as bytes of 32-bit integers, in two generations: a full young one becomes the old one, and what is met again is young again."""
 
     def __init__(self, codec: PieceCodec):
-        self.codec = codec
+        self.codec, self.old = codec, {}
 
     def __missing__(self, segment: str) -> bytes:
+        ids = self.old.get(segment)
+        if ids is None:
+            codec = self.codec
+            ids = array("i", [i for token in codec.tokens(segment) for i in codec.ids_of(token)]).tobytes()
         if len(self) >= KEPT_SEGMENTS:
+            self.old = dict(self)
             self.clear()
-        codec = self.codec
-        self[segment] = ids = array("i", [i for token in codec.tokens(segment) for i in codec.ids_of(token)]).tobytes()
+        self[segment] = ids
         return ids
 
 
@@ -45,7 +50,6 @@ class PieceCodec:
     """One sentencepiece BPE model with byte fallback, identity normalisation and a space put in front."""
 
     def __init__(self, model_file: str):
-        import ahocorasick
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -69,16 +73,22 @@ class PieceCodec:
         self.spaced = {i for p, i in self.id.items() if p.startswith(SPACE)}
         self.is_byte = set(self.byte_id.values())
         self.silent = {i for i in every if not self.written[i]}
-        #: Pieces read from their ends, so that a match that ends at a place of the turned text starts there in the text.
-        self.matcher = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for piece in self.id:
-            self.matcher.add_word(piece[::-1])
-        self.matcher.make_automaton()
         self.shorter: dict[str, str | None] = {}
         self.apart: dict[tuple[str | None, str], bool] = {}
         self.segments = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n").findall
         self.known = _Segments(self)
 
+    @cached_property
+    def matcher(self):
+        """Pieces read from their ends, so that a match that ends at a place of the turned text starts there in the text."""
+        import ahocorasick
+
+        matcher = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for piece in self.id:
+            matcher.add_word(piece[::-1])
+        matcher.make_automaton()
+        return matcher
+
     def stay_apart(self, left: str | None, right: str) -> bool:
         """Whether merging the joined text again gives back the two; with no left, whether ``right`` comes back whole.
 
