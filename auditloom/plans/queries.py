@@ -5,6 +5,7 @@ Results are flat: arrays are joined to text, counts are BIGINT, lines are INT.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,7 @@ from auditloom.operators.repo_rules import facts_of, repo_hits
 from auditloom.operators.roles import file_flags, with_names
 from auditloom.operators.rules import FAMILIES, RULES, Rule, family_rules
 from auditloom.plans.audit import Audit, family_findings
-from auditloom.session import spread
+from auditloom.session import shared_dir, spread
 from auditloom.sources.corpus import corpus_files
 from auditloom.sources.files import (
     filter_extension,
@@ -39,7 +40,10 @@ from auditloom.sources.files import (
     gitignore_patterns,
     load_policies,
     load_suppressions,
+    scan_files,
 )
+from auditloom.sources.tree import write_tree
+from auditloom.streaming.incremental import read_file_stream, start_incremental_audit
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,6 +93,18 @@ def corpus(spark, sf_dir):
     return corpus_files(spark, sf_dir).select("repo_id", "path", "length", F.md5("content").alias("content_md5"))
 
 
+def _new_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/auditloom-{uuid.uuid4().hex}"
+
+
+@query
+def scanned_tree(spark, sf_dir):
+    """The corpus written as a tree of files, then listed and read by tasks."""
+    root = _new_folder(spark)
+    write_tree(corpus_files(spark, sf_dir), root)
+    return scan_files(spark, root).select("repo_id", "path", "length", F.md5("content").alias("content_md5"))
+
+
 @query
 def lines(spark, sf_dir):
     return explode_lines(_files(spark, sf_dir))
@@ -380,6 +396,23 @@ def baseline_status(spark, sf_dir):
     return B.baseline_status(a.unique, a.active, a.filtered, _high(a))
 
 
+@query
+def incremental(spark, sf_dir):
+    """The corpus as a stream of micro-batches; every file comes again, a month late, and no finding is told twice."""
+    folder, files = _new_folder(spark), corpus_files(spark, sf_dir)
+    for days in (40, 10):
+        arrived = files.withColumn("arrived_at", F.timestamp_seconds(F.lit(days * 86_400) + F.crc32("path") % 3600))
+        arrived.write.mode("append").parquet(f"{folder}/inbox")
+    each = max(1, spark.sparkContext.defaultParallelism // 2)
+    stream = start_incremental_audit(
+        read_file_stream(spark, f"{folder}/inbox", each),
+        lambda new, number: new.write.mode("overwrite").parquet(f"{folder}/new/batch={number}"),
+        f"{folder}/checkpoint",
+    )
+    stream.awaitTermination()
+    return spark.read.parquet(f"{folder}/new").select(*SHORT)
+
+
 # --- environment and dependencies ---------------------------------------------------------------------
 
 

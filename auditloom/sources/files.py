@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from itertools import batched
+from collections.abc import Iterable
 
-import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +11,7 @@ from auditloom.functions.regex import strip
 from auditloom.operators import fixed_values as V
 from auditloom.operators.digest import split_lines
 from auditloom.operators.roles import basename, extension
+from auditloom.sources.tree import list_tree, read_listed
 
 POLICY_SCHEMA = (
     "ignoredPaths array<string>, failThreshold string, enabledRules array<string>, disabledRules array<string>,"
@@ -22,100 +19,22 @@ POLICY_SCHEMA = (
 )
 
 
-_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
-
-
-def _hidden(name: str) -> bool:
-    """Names that Spark's file listing leaves out."""
-    return name.startswith((".", "_"))
-
-
-def _walk_hidden(filesystem: pafs.FileSystem, root: str, repo_id: str) -> Iterator[tuple[str, str, int]]:
-    pending = [f"{root}/{repo_id}"]
-    while pending:
-        for info in filesystem.get_file_info(pafs.FileSelector(pending.pop())):
-            if info.base_name in V.DEFAULT_IGNORED:
-                continue
-            if info.type == pafs.FileType.Directory:
-                pending.append(info.path)
-            elif info.type == pafs.FileType.File:
-                path = info.path[len(root) + len(repo_id) + 2 :]
-                if any(_hidden(part) for part in path.split("/")):
-                    yield repo_id, path, info.size
-
-
-def scan_hidden_files(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
-    """Dot and underscore files below ``root/<repo_id>/``, which the built-in reader skips.
-
-    Directories are listed by tasks, one row per repository; the found names are
-    then spread over all tasks for reading. Default ignored directories are not
-    entered.
-    """
-    filesystem, base = pafs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
-    base = base.rstrip("/")
-    repos = [
-        (i.base_name,)
-        for i in filesystem.get_file_info(pafs.FileSelector(base))
-        if i.type == pafs.FileType.Directory
-    ]
-    parts = spark.sparkContext.defaultParallelism
-
-    def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for repo_id in batch["repo_id"]:
-                for rows in batched(_walk_hidden(filesystem, base, repo_id), 10_000):
-                    yield pd.DataFrame(rows, columns=["repo_id", "path", "length"])
-
-    def read(repo_id: str, path: str) -> str | None:
-        try:
-            with filesystem.open_input_stream(f"{base}/{repo_id}/{path}") as f:
-                return f.read().decode("utf-8", errors="replace")
-        except OSError:
-            return None  # unreadable files are skipped
-
-    def reading(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            # a batch holds many names; hand texts on in portions of bounded size
-            portion = (batch["length"].cumsum() // READ_PORTION_BYTES).to_numpy()
-            for _, part in batch.groupby(portion):
-                yield part.assign(content=[read(r, p) for r, p in zip(part["repo_id"], part["path"])])
-
-    names = (
-        spark.createDataFrame(repos, "repo_id string")
-        .repartition(parts, "repo_id")
-        .mapInPandas(listing, "repo_id string, path string, length long")
-    )
-    if max_bytes is not None:
-        names = names.filter(F.col("length") <= max_bytes)
-    return (
-        names.repartition(parts, "repo_id", "path")
-        .mapInPandas(reading, "repo_id string, path string, length long, content string")
-        .filter(F.col("content").isNotNull())
-    )
-
-
 def scan_files(
-    spark: SparkSession, root: str, max_bytes: int | None = None, hidden: bool = True
+    spark: SparkSession, root: str, max_bytes: int | None = None, hidden: bool = True, prune: Iterable[str] = ()
 ) -> DataFrame:
     """Every file below ``root/<repo_id>/`` as (repo_id, path, length, content).
 
-    Files of any size are read; a limit, where given, is pushed into the file listing,
-    so larger files are not opened. Bytes that are no UTF-8 become replacement characters.
+    Names are listed by tasks that take directories, see :func:`list_tree`. Files of any
+    size are read; a limit, where given, is pushed into the listing's read, so larger files
+    are not opened. ``hidden=False`` leaves out dot and underscore files; directories named in
+    ``prune`` are not even listed. Bytes that are no UTF-8 become replacement characters.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    listed = list_tree(spark, root, prune)
     if max_bytes is not None:
-        raw = raw.filter(F.col("length") <= max_bytes)
-    # Paths come with a scheme, the root may not: what follows both is cut by length, as the root's name may occur again.
-    base = re.sub("/+", "/", re.sub(_SCHEME, "", root)).rstrip("/") + "/"
-    relative = F.expr(f"substring(regexp_replace(path, '{_SCHEME}', ''), {len(base) + 1})")
-    repo = F.substring_index(relative, "/", 1)
-    visible = raw.select(
-        repo.alias("repo_id"),
-        F.substring(relative, F.length(repo) + 2, F.length(relative)).alias("path"),
-        "length",
-        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
-    )
-    return visible.unionByName(scan_hidden_files(spark, root, max_bytes)) if hidden else visible
+        listed = listed.filter(F.col("length") <= max_bytes)
+    if not hidden:
+        listed = listed.filter(~F.col("path").rlike("(^|/)[._]"))
+    return read_listed(listed, root)
 
 
 def read_files_table(spark: SparkSession, path: str) -> DataFrame:
@@ -146,7 +65,6 @@ def _clean_pattern(pattern: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.replace(pattern, F.lit("\\"), F.lit("/")), "^/", ""), "/\\z", "")
 
 
-READ_PORTION_BYTES = 32 * 1024 * 1024
 BROADCAST_ROWS = 100_000
 BROADCAST_CHARS = 64 * 1024 * 1024
 ROOT_FILES = (

@@ -39,6 +39,7 @@ def _o(rule_id: str, entry: int = 0) -> int:
 # --- sources and file predicates ------------------------------------------------------------
 
 ORACLES["corpus"] = f"WITH {CORPUS} SELECT repo_id, path, length, md5(content) AS content_md5 FROM source"
+ORACLES["scanned_tree"] = ORACLES["corpus"]
 ORACLES["lines"] = rf"""WITH {CORPUS}
 SELECT repo_id, path, unnest(string_split_regex(content, '\r?\n')) AS text,
   generate_subscripts(string_split_regex(content, '\r?\n'), 1)::INT AS line FROM files"""
@@ -592,6 +593,8 @@ ORACLES["config_in_pages"] = _natural(
 files AS (SELECT *, {_NAMED} FROM natural_files WHERE length <= 1048576)""",
     {"config", "secret", "cfg"},
 )
+ORACLES["incremental"] = f"""{family_sql({i for i, r in enumerate(RULES) if r.scope != 'repo'})}
+QUALIFY row_number() OVER (PARTITION BY repo_id, fingerprint ORDER BY coalesce(line, 0), ord, snippet) = 1"""
 ORACLES["custom_rule"] = rf"""WITH {CORPUS}, {LINES},
 s AS (SELECT *, {mask_sql('t')} AS snippet FROM ln WHERE {CODE} AND contains(text, 'settings'))
 SELECT repo_id, 'USER-001' AS rule_id, 'LOW' AS severity, 'HIGH' AS confidence, path AS file, line, snippet,
