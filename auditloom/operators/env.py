@@ -102,32 +102,49 @@ def first_names(names: DataFrame, count: int = 3) -> DataFrame:
     )
 
 
-def name_list_hits(names: DataFrame, path: DataFrame | str, rule_id: str, label: str) -> DataFrame:
-    """One hit per repository standing for a set of names.
+def set_identity(names: DataFrame) -> DataFrame:
+    """(repo_id, n, identity): how many names a repository has, and a digest that tells their set.
 
-    The set may be large, so its identity is a count and an order-free digest
-    that combine before the shuffle; the text shows the first three names.
+    A hash tree of two levels: names fall into 4,096 ranges of their SHA-256, each range's
+    digests are hashed in order, then the ranges. Sets are equal where identities are, to
+    the strength of SHA-256, and no task holds more than a range of one repository.
     """
-    digest = F.conv(F.substring(F.sha2("name", 256), 1, 15), 16, 10).cast("long")
-    where = F.lit(path) if isinstance(path, str) else F.col("path")
-    grouped = names.groupBy("repo_id").agg(
-        F.count("*").alias("n"),
-        F.bit_xor(digest).alias("x"),
-        F.min(where).alias("path"),
-    )
-    return grouped.join(first_names(names.select("repo_id", "name")), "repo_id").select(
-        "repo_id",
-        "path",
-        F.lit(1).alias("line"),
-        F.concat(F.lit(label + ": "), F.col("first"), F.lit(" ("), F.col("n").cast("string"), F.lit(" in all)")).alias("text"),
-        F.lit(ordinals(rule_id)[0]).alias("ord"),
-        F.concat_ws(":", F.col("n").cast("string"), F.col("x").cast("string")).alias("fp_text"),
+    digest = F.sha2("name", 256)
+
+    def rolled(parts: Column) -> Column:
+        return F.sha2(F.array_join(F.array_sort(F.collect_list(parts)), ""), 256)
+
+    ranges = (
+        names.select("repo_id", digest.alias("d"))
+        .distinct()
+        .groupBy("repo_id", F.substring("d", 1, 3).alias("range"))
+        .agg(F.count("*").alias("n"), rolled(F.col("d")).alias("rolled"))
     )
+    return ranges.groupBy("repo_id").agg(F.sum("n").alias("n"), rolled(F.concat("range", "rolled")).alias("identity"))
+
+
+def env_evidence(names: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo_id, rule_id, file, name): every name that CONFIG-005 and CONFIG-007 stand on, a row each."""
+    undocumented = undocumented_env(names, files).select("repo_id", F.lit(".env.example").alias("path"), "name")
+    listed = missing_env(names, files).select("repo_id", F.lit("CONFIG-005").alias("rule_id"), F.col("path").alias("file"), "name")
+    return listed.unionByName(undocumented.select("repo_id", F.lit("CONFIG-007").alias("rule_id"), F.col("path").alias("file"), "name"))
 
 
 def env_hits(names: DataFrame, files: DataFrame) -> DataFrame:
-    undocumented = name_list_hits(
-        undocumented_env(names, files), ".env.example", "CONFIG-007", "Undocumented variables"
-    )
-    missing = missing_env(names, files)
-    return undocumented.unionByName(name_list_hits(missing, missing, "CONFIG-005", "Missing variables"))
+    """One hit per repository and rule; the text shows the first three names, :func:`env_evidence` has all."""
+    labels = {"CONFIG-005": "Missing variables", "CONFIG-007": "Undocumented variables"}
+    listed = env_evidence(names, files)
+    hits = []
+    for rule_id, label in labels.items():
+        own = listed.filter(F.col("rule_id") == rule_id)
+        shown = first_names(own.select("repo_id", "name"))
+        where = own.groupBy("repo_id").agg(F.min("file").alias("path"))
+        text = F.concat(F.lit(label + ": "), F.col("first"), F.lit(" ("), F.col("n").cast("string"), F.lit(" in all)"))
+        joined = set_identity(own).join(shown, "repo_id").join(where, "repo_id")
+        hits.append(
+            joined.select(
+                "repo_id", "path", F.lit(1).alias("line"), text.alias("text"),
+                F.lit(ordinals(rule_id)[0]).alias("ord"), F.col("identity").alias("fp_text"),
+            )
+        )
+    return hits[0].unionByName(hits[1])

@@ -32,6 +32,10 @@ FINDING_COLUMNS = (
 )
 
 
+#: Rules whose finding stands for a set of names, told in full by :func:`finding_evidence`.
+SET_RULES = ("CONFIG-005", "CONFIG-007")
+
+
 def severity_rank(severity: Column) -> Column:
     return F.element_at(constant_map(V.SEVERITY_RANK), severity)
 
@@ -274,8 +278,43 @@ def find_by_id(findings: DataFrame, wanted: str) -> DataFrame:
     )
 
 
-def explain(findings: DataFrame) -> DataFrame:
-    """(repo_id, fingerprint, position, section, body): the record shown for a finding."""
+def finding_evidence(findings: DataFrame, named: DataFrame) -> DataFrame:
+    """(repo_id, fingerprint, item, file, line, snippet): what each finding stands on.
+
+    ``named`` (repo_id, rule_id, file, name) holds the names of findings that stand for a
+    set of them; those have a row for each name, of which a repository may have any
+    number. Every other finding has its own place, with an empty item.
+    """
+    of_sets = F.col("rule_id").isin(*SET_RULES)
+    sets = findings.filter(of_sets).select("repo_id", "rule_id", "fingerprint")
+    each = named.join(sets, ["repo_id", "rule_id"]).select(
+        "repo_id", "fingerprint", F.col("name").alias("item"), "file", F.lit(1).alias("line"), F.col("name").alias("snippet")
+    )
+    single = findings.filter(~of_sets).select("repo_id", "fingerprint", F.lit("").alias("item"), "file", "line", "snippet")
+    return single.unionByName(each)
+
+
+def flow_steps(findings: DataFrame, flows: DataFrame) -> DataFrame:
+    """(repo_id, fingerprint, how): the flows that end on a finding's line, one text; a line holds few."""
+    step = F.format_string(
+        "%s: %s at %s:%d is set from %s, and at %s:%d reaches %s",
+        "kind", "variable", "file", "source_line", "source_expr", "file", "sink_line", "sink_expr",
+    )
+    ending = flows.select("repo_id", "file", F.col("sink_line").alias("line"), step.alias("step"))
+    return (
+        findings.select("repo_id", "fingerprint", "file", "line")
+        .join(ending, ["repo_id", "file", "line"])
+        .groupBy("repo_id", "fingerprint")
+        .agg(F.array_join(F.array_sort(F.collect_set("step")), "\n").alias("how"))
+    )
+
+
+def explain(findings: DataFrame, flows: DataFrame | None = None) -> DataFrame:
+    """(repo_id, fingerprint, position, section, body): the record shown for a finding.
+
+    With ``flows`` of the audited files, HOW tells the flows that end on the finding's line;
+    where none does, the section is left out.
+    """
     place = F.concat(F.coalesce(F.col("file"), F.lit("unknown")), F.lit(":"), F.coalesce(F.col("line"), F.lit(1)))
     label = F.when(F.col("subcategory").isNull(), F.col("category")).otherwise(
         F.concat(F.col("category"), F.lit(" ("), F.col("subcategory"), F.lit(")"))
@@ -293,9 +332,13 @@ def explain(findings: DataFrame) -> DataFrame:
         ("IMPACT", F.col("impact")),
         ("FIX", F.col("remediation")),
     ]
+    told = enrich_findings(findings)
+    if flows is not None:
+        told = told.join(flow_steps(findings, flows), ["repo_id", "fingerprint"], "left")
+        sections.insert(next(i for i, (n, _) in enumerate(sections) if n == "IMPACT"), ("HOW", F.col("how")))
     packed = F.array(*[F.struct(F.lit(n).alias("section"), body.alias("body")) for n, body in sections])
+    packed = F.filter(packed, lambda s: (s["section"] != "HOW") | s["body"].isNotNull())
     return (
-        enrich_findings(findings)
-        .select("repo_id", "fingerprint", F.posexplode(packed).alias("position", "s"))
+        told.select("repo_id", "fingerprint", F.posexplode(packed).alias("position", "s"))
         .select("repo_id", "fingerprint", "position", "s.section", "s.body")
     )

@@ -12,14 +12,17 @@ from auditloom.operators.rules import ordinals
 from auditloom.session import materialize
 
 
+def module_facts() -> dict[str, Column]:
+    """What the graph needs to know of a file's path and content."""
+    return {
+        "is_module": F.col("path").rlike(java_pattern(V.MODULE_PATH)),
+        "db": has(F.col("content"), V.GRAPH_DB),
+        "net": has(F.col("content"), V.GRAPH_NETWORK),
+    }
+
+
 def _module_facts(files: DataFrame) -> DataFrame:
-    return files.select(
-        "repo_id",
-        "path",
-        F.col("path").rlike(java_pattern(V.MODULE_PATH)).alias("is_module"),
-        has(F.col("content"), V.GRAPH_DB).alias("db"),
-        has(F.col("content"), V.GRAPH_NETWORK).alias("net"),
-    )
+    return files.select("repo_id", "path", *[c.alias(n) for n, c in module_facts().items()])
 
 
 def _node(node_id: Column, kind: str, name: Column, line: Column | None = None) -> Column:
@@ -115,8 +118,13 @@ def graph_edges(files: DataFrame, routes: DataFrame) -> DataFrame:
 
 def graph_summary(files: DataFrame, routes: DataFrame) -> DataFrame:
     """Per repository: files, modules, routes, modules with database or network use."""
+    return summary_of(_module_facts(files), routes)
+
+
+def summary_of(facts: DataFrame, routes: DataFrame) -> DataFrame:
+    """:func:`graph_summary` from stored :func:`module_facts` of each file."""
     module = F.col("is_module")
-    per_file = _module_facts(files).select(
+    per_file = facts.select(
         "repo_id",
         F.lit(1).alias("f"),
         module.cast("int").alias("m"),

@@ -1,95 +1,109 @@
-"""JSON and SARIF reports as rows.
-
-A report of one repository is a set of rows (repo_id, section, part, parts,
-json). Parts hold a bounded number of entries, so a repository with very many
-findings becomes many rows instead of one that no task could hold. Nothing is
-left out: the parts of a section together are the whole section.
-"""
+"""JSON and SARIF reports: one document a repository, in pieces of text (see :mod:`documents`)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.functions.text import strip_ansi
+from auditloom.operators.documents import clean, entries, object_json, one, pieces
 from auditloom.operators.findings import enrich_findings, sarif_level
-from auditloom.sources.files import small_side
 
-PART_ROWS = 5000
+TOOL, VERSION = "auditloom", "0.1.0"
 SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
 
 
-def with_parts(df: DataFrame, key: Column, part_rows: int) -> DataFrame:
-    """Add ``part`` and ``parts`` per repository, spreading rows by a hash of ``key``."""
-    sizes = df.groupBy("repo_id").agg(F.ceil(F.count("*") / F.lit(part_rows)).cast("int").alias("parts"))
-    hashed = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
-    return df.join(small_side(sizes), "repo_id").withColumn("part", F.pmod(hashed, F.col("parts")).cast("int"))
-
-
-def clean(df: DataFrame) -> DataFrame:
-    """Strip terminal colour codes from every text column."""
-    text = {n: strip_ansi(F.col(n)) for n, t in df.dtypes if t == "string"}
-    return df.withColumns(text) if text else df
-
-
-def section(df: DataFrame, name: str, key: Column, part_rows: int = PART_ROWS) -> DataFrame:
-    """Rows of ``df`` as JSON arrays of at most about ``part_rows`` entries."""
-    fields = [c for c in df.columns if c != "repo_id"]
-    keyed = with_parts(clean(df).withColumn("__key", key), F.col("__key"), part_rows)
-    entry = F.struct("__key", F.struct(*fields).alias("e"))
-    return (
-        keyed.groupBy("repo_id", "part", "parts")
-        .agg(F.array_sort(F.collect_list(entry)).alias("all"))
-        .select(
-            "repo_id",
-            F.lit(name).alias("section"),
-            "part",
-            "parts",
-            F.to_json(F.transform("all", lambda x: x["e"])).alias("json"),
-        )
-    )
+def joined(*parts: Column | str) -> Column:
+    """A key of several values that sorts as they do; null counts as empty."""
+    return F.concat_ws("\u0001", *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts])
 
 
-def single(df: DataFrame, name: str) -> DataFrame:
-    """One JSON object per repository."""
-    fields = [c for c in df.columns if c != "repo_id"]
-    return clean(df).select(
-        "repo_id",
-        F.lit(name).alias("section"),
-        F.lit(0).alias("part"),
-        F.lit(1).alias("parts"),
-        F.to_json(F.struct(*fields)).alias("json"),
-    )
+def place_key(*rest: str) -> Column:
+    return joined("file", F.lpad(F.coalesce(F.col("line"), F.lit(0)).cast("string"), 9, "0"), *rest)
+
+
+def finding_entries(findings: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Entries of findings, worst first; each holds the list of all its evidence, however long."""
+    told = clean(enrich_findings(findings).drop("ord"))
+    key = joined(9 - F.col("severity_rank"), place_key("fingerprint"))
+    told = told.withColumns({"__key": key, "__json": object_json(told)})
+    part = {"section": F.lit("findings"), "item": F.lit("")}
+    opened = F.concat(F.expr("left(__json, length(__json) - 1)"), F.lit(',"evidence":['))
+    begin = told.withColumns({**part, "sub": F.lit(0), "entry": F.col("__json"), "text": opened})
+    end = told.withColumns({**part, "sub": F.lit(2), "entry": F.lit(None).cast("string"), "text": F.lit("]}")})
+    shown = clean(evidence)
+    shown = shown.withColumn("__proof", F.to_json(F.struct("file", "line", "snippet")))
+    least = shown.groupBy("repo_id", "fingerprint").agg(F.min("item").alias("__least"))
+    keyed = told.select("repo_id", "fingerprint", "__key").join(shown, ["repo_id", "fingerprint"]).join(least, ["repo_id", "fingerprint"])
+    comma = F.when(F.col("item") > F.col("__least"), F.lit(",")).otherwise(F.lit(""))
+    proof = keyed.withColumns({"section": F.lit("evidence"), "sub": F.lit(1), "entry": F.col("__proof"), "text": F.concat(comma, "__proof")})
+    rows = [f.select("repo_id", F.col("__key").alias("key"), "sub", "item", "section", "entry", "text") for f in (begin, proof, end)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 def json_report(
+    repos: DataFrame,
     findings: DataFrame,
-    scored: DataFrame,
+    evidence: DataFrame,
     manifests: DataFrame,
     items: DataFrame,
+    frameworks: DataFrame,
+    dependency_counts: DataFrame,
     inventory: DataFrame,
     routes: DataFrame,
+    graph: DataFrame,
+    baseline: DataFrame,
+    scores: DataFrame,
+    explanations: DataFrame,
+    readiness: DataFrame,
+    categories: DataFrame,
     analyzers: DataFrame,
     gates: DataFrame,
-    part_rows: int = PART_ROWS,
+    metadata: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    from auditloom.operators.scoring import score_report
-
-    summary = score_report(scored).join(gates, "repo_id")
-    hashed = F.concat_ws("\u0001", "name", "version", "type")
-    parts = [
-        single(manifests, "project"),
-        single(summary, "summary"),
-        section(items, "technologies", F.concat_ws("\u0001", "kind", "value"), part_rows),
-        section(inventory, "dependencies", hashed, part_rows),
-        section(routes, "routes", F.concat_ws("\u0001", "file", "route_id", F.col("line").cast("string")), part_rows),
-        section(enrich_findings(findings).drop("ord"), "findings", F.col("fingerprint"), part_rows),
-        section(analyzers, "analyzers", F.col("analyzer"), part_rows),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Pieces of one JSON document for each repository, with every section; ``metadata`` is told with the gate's outcome."""
+    told = {"tool": TOOL, "version": VERSION, **(metadata or {})}
+    meta = gates.withColumns({k: F.lit(v) for k, v in told.items()})
+    summary = ["overall_score", "status", *[c for c in scores.columns if c.endswith("_count")]]
+    return pieces(
+        repos,
+        [
+            '{"project":',
+            ("project", one(manifests)),
+            ',"scan_metadata":',
+            ("scan_metadata", one(meta)),
+            ',"technologies":[',
+            entries(items, "technologies", joined("kind", "value")),
+            '],"frameworks":[',
+            entries(frameworks, "frameworks", joined("name", "version")),
+            '],"dependency_counts":',
+            ("dependency_counts", one(dependency_counts)),
+            ',"dependencies":[',
+            entries(inventory, "dependencies", joined("name", "version", "type", "source_file")),
+            '],"routes":[',
+            entries(routes, "routes", place_key("route_id")),
+            '],"graph_summary":',
+            ("graph_summary", one(graph)),
+            ',"baseline_status":',
+            ("baseline_status", one(baseline)),
+            ',"findings":[',
+            finding_entries(findings, evidence),
+            '],"scores":',
+            ("scores", one(scores)),
+            ',"explanations":[',
+            entries(explanations, "explanations", joined("dimension", "fingerprint")),
+            '],"readiness":',
+            ("readiness", one(readiness)),
+            ',"categories":[',
+            entries(categories, "categories", joined("category")),
+            '],"analyzers":[',
+            entries(analyzers, "analyzers", joined("analyzer")),
+            '],"summary":',
+            ("summary", one(scores.select("repo_id", *summary))),
+            "}",
+        ],
+    )
 
 
 def sarif_results(findings: DataFrame) -> DataFrame:
@@ -129,60 +143,85 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
     return described.groupBy("repo_id", "rule_id").agg(F.min_by("r", "o").alias("r")).select("repo_id", "rule_id", "r.*")
 
 
-def sarif_report(findings: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """(repo_id, part, parts, sarif): complete SARIF 2.1.0 logs, several for a very large repository."""
-    fp = F.col("fingerprint")
-    results = with_parts(sarif_results(clean(findings)), fp, part_rows)
-    result = F.struct(
-        F.col("rule_id").alias("ruleId"),
-        F.struct(F.col("message").alias("text")).alias("message"),
-        F.col("level"),
-        F.array(
+def numbered_rules(findings: DataFrame) -> DataFrame:
+    """:func:`sarif_rules` with rule_index, a rule's place in its repository's log; as many rows a repository as rules, so few."""
+    place = F.row_number().over(Window.partitionBy("repo_id").orderBy("rule_id")) - 1
+    return sarif_rules(findings).withColumn("rule_index", place)
+
+
+def sarif_report(repos: DataFrame, findings: DataFrame) -> DataFrame:
+    """Pieces of one SARIF 2.1.0 log for each repository.
+
+    Rules are numbered first; results then name their rule by its number and stand in
+    the order of place, rule and fingerprint.
+    """
+    findings = clean(findings)
+    numbered = numbered_rules(findings)
+    rules = numbered.select(
+        "repo_id",
+        F.lpad(F.col("rule_index").cast("string"), 9, "0").alias("key"),
+        F.to_json(
             F.struct(
-                F.struct(
-                    F.struct(F.col("uri").alias("uri")).alias("artifactLocation"),
-                    F.struct(F.col("start_line").alias("startLine")).alias("region"),
-                ).alias("physicalLocation")
+                F.col("rule_id").alias("id"),
+                F.col("name"),
+                F.struct(F.col("short_description").alias("text")).alias("shortDescription"),
+                F.struct(F.col("full_description").alias("text")).alias("fullDescription"),
+                F.struct(F.col("level")).alias("defaultConfiguration"),
+                F.struct(F.col("help").alias("text")).alias("help"),
             )
-        ).alias("locations"),
-        F.struct(fp.alias("primaryLocationLineHash")).alias("partialFingerprints"),
-    )
-    grouped = results.groupBy("repo_id", "part", "parts").agg(
-        F.array_sort(F.collect_list(F.struct("uri", "start_line", "rule_id", "fingerprint", result.alias("r")))).alias("rs"),
-        F.collect_set("rule_id").alias("ids"),
-    )
-    rule = F.struct(
-        F.col("rule_id").alias("id"),
-        F.col("name"),
-        F.struct(F.col("short_description").alias("text")).alias("shortDescription"),
-        F.struct(F.col("full_description").alias("text")).alias("fullDescription"),
-        F.struct(F.col("level")).alias("defaultConfiguration"),
-        F.struct(F.col("help").alias("text")).alias("help"),
-    )
-    # at most one entry per catalog rule, so this list is bounded
-    rules = sarif_rules(clean(findings)).groupBy("repo_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("rule_id").alias("id"), rule.alias("r")))).alias("rules")
+        ).alias("entry"),
+        F.lit("rules").alias("section"),
     )
-    used = F.filter("rules", lambda x: F.array_contains(F.col("ids"), x["id"]))
-    log = F.struct(
-        F.lit(SARIF_SCHEMA).alias("$schema"),
-        F.lit("2.1.0").alias("version"),
-        F.array(
+    told = sarif_results(findings).join(numbered.select("repo_id", "rule_id", "rule_index"), ["repo_id", "rule_id"])
+    results = told.select(
+        "repo_id",
+        joined("uri", F.lpad(F.col("start_line").cast("string"), 9, "0"), "rule_id", "fingerprint").alias("key"),
+        F.to_json(
             F.struct(
-                F.struct(
+                F.col("rule_id").alias("ruleId"),
+                F.col("rule_index").alias("ruleIndex"),
+                F.struct(F.col("message").alias("text")).alias("message"),
+                F.col("level"),
+                F.array(
                     F.struct(
-                        F.lit("auditloom").alias("name"),
-                        F.lit("0.1.0").alias("semanticVersion"),
-                        F.transform(used, lambda x: x["r"]).alias("rules"),
-                    ).alias("driver")
-                ).alias("tool"),
-                F.transform("rs", lambda x: x["r"]).alias("results"),
+                        F.struct(
+                            F.struct(F.col("uri").alias("uri")).alias("artifactLocation"),
+                            F.struct(F.col("start_line").alias("startLine")).alias("region"),
+                        ).alias("physicalLocation")
+                    )
+                ).alias("locations"),
+                F.struct(F.col("fingerprint").alias("primaryLocationLineHash")).alias("partialFingerprints"),
             )
-        ).alias("runs"),
+        ).alias("entry"),
+        F.lit("results").alias("section"),
+    )
+    rules, results = (r.withColumns({"sub": F.lit(0), "item": F.lit(""), "text": F.col("entry")}) for r in (rules, results))
+    head = f'{{"$schema":"{SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{TOOL}","semanticVersion":"{VERSION}","rules":['
+    return pieces(repos, [head, rules, ']}},"results":[', results, "]}]}"])
+
+
+#: What a log's entries say, for reading them back as rows.
+SARIF_ENTRY = (
+    "id string, name string, fullDescription struct<text:string>, defaultConfiguration struct<level:string>, help struct<text:string>,"
+    " ruleId string, ruleIndex int, message struct<text:string>, level string,"
+    " locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>,"
+    " partialFingerprints struct<primaryLocationLineHash:string>"
+)
+
+
+def sarif_rows(log: DataFrame) -> DataFrame:
+    """Rules and results of the pieces of logs, as flat rows."""
+    e = F.from_json("entry", SARIF_ENTRY)
+    parsed = log.where("entry is not null").select("repo_id", "section", "key", e.alias("e"))
+    place = F.get(F.col("e.locations"), F.lit(0))["physicalLocation"]
+    return parsed.select(
+        "repo_id",
+        "section",
+        F.coalesce("e.ruleIndex", F.col("key").try_cast("int")).alias("rule_index"),
+        F.coalesce("e.id", "e.ruleId").alias("rule_id"),
+        F.coalesce("e.defaultConfiguration.level", "e.level").alias("level"),
+        F.coalesce("e.help.text", "e.message.text").alias("text"),
+        F.coalesce("e.name", place["artifactLocation"]["uri"]).alias("place"),
+        place["region"]["startLine"].alias("start_line"),
+        F.coalesce("e.fullDescription.text", "e.partialFingerprints.primaryLocationLineHash").alias("told"),
     )
-    return grouped.join(small_side(rules), "repo_id").select("repo_id", "part", "parts", F.to_json(log).alias("sarif"))
-
-
-def write_report(report: DataFrame, path: str) -> None:
-    """One folder per repository, one JSON text per line."""
-    report.repartition("repo_id", "part").write.mode("overwrite").partitionBy("repo_id").json(path)

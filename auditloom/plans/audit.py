@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -10,20 +10,23 @@ from pyspark.sql import functions as F
 
 from auditloom.operators import fixed_values as V
 from auditloom.operators import scoring
-from auditloom.operators.baseline import new_findings
-from auditloom.operators.dependencies import dependencies, dependency_hits
+from auditloom.operators.baseline import baseline_status, new_findings
+from auditloom.operators.custom import Analyzer, custom_status, run_custom
+from auditloom.operators.dependencies import dependencies, dependency_counts, dependency_hits
 from auditloom.operators.digest import explode_hits, rule_hits
-from auditloom.operators.env import documented_names, env_hits, env_names, referenced_names
+from auditloom.operators.env import documented_names, env_evidence, env_hits, env_names, referenced_names
 from auditloom.operators.findings import (
     dedup_findings,
     filter_category,
     filter_min_severity,
     filter_rules,
+    finding_evidence,
     to_findings,
 )
-from auditloom.operators.graph import correlate_routes
-from auditloom.operators.manifest import manifest
+from auditloom.operators.graph import correlate_routes, module_facts, summary_of
+from auditloom.operators.manifest import frameworks, manifest, manifest_items
 from auditloom.operators.repo_rules import file_facts, repo_facts, repo_hits
+from auditloom.operators.reports import json_report, sarif_report
 from auditloom.operators.routes import may_route, routes
 from auditloom.operators.rules import Rule
 from auditloom.operators.suppress import suppress
@@ -47,7 +50,9 @@ class Audit:
     Contents are read once: ``digest`` holds one row per file with its rule hits
     and facts, and keeps the text only of the few files later steps look into
     (root manifests, files with routes or inline markers). With ``durable`` it is
-    written to shared storage, and everything after it reads that small table.
+    written to shared storage, and everything after it reads that small table. So are
+    the frames that several results start from: repositories, manifests, inventory, routes
+    and active findings.
     """
 
     def __init__(
@@ -59,6 +64,7 @@ class Audit:
         min_severity: str | None = None,
         baseline: DataFrame | None = None,
         durable: bool = True,
+        analyzers: Mapping[str, Analyzer] | None = None,
     ):
         self.source = source
         self.use_policies = use_policies
@@ -67,6 +73,7 @@ class Audit:
         self.min_severity = min_severity
         self.baseline = baseline
         self.durable = durable
+        self.custom_analyzers = dict(analyzers or {})
 
     def _settle(self, df: DataFrame) -> DataFrame:
         return materialize(df) if self.durable else df
@@ -92,6 +99,7 @@ class Audit:
             "referenced": referenced_names(),
             "kept_text": F.when(root | marked | may_route(), F.col("content")),
             **file_facts(),
+            **module_facts(),
         }
         return self._settle(rule_hits(kept, user_rules=self.user_rules, keep=["length"], extra=extra))
 
@@ -112,19 +120,19 @@ class Audit:
 
     @cached_property
     def repos(self) -> DataFrame:
-        return self.source.select("repo_id").distinct()
+        return self._settle(self.source.select("repo_id").distinct())
 
     @cached_property
     def manifests(self) -> DataFrame:
-        return manifest(self.discovered)
+        return self._settle(manifest(self.discovered))
 
     @cached_property
     def inventory(self) -> DataFrame:
-        return dependencies(self.texts)
+        return self._settle(dependencies(self.texts))
 
     @cached_property
     def routes(self) -> DataFrame:
-        return routes(self.texts)
+        return self._settle(routes(self.texts))
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -132,9 +140,22 @@ class Audit:
         scope = self.digest.filter("in_scope")
         hits = explode_hits(scope).withColumn("fp_text", F.lit(None).cast("string"))
         hits = hits.unionByName(repo_hits(repo_facts(scope), self.manifests))
-        names = env_names(self.digest.select("repo_id", "documented", "referenced"))
-        hits = hits.unionByName(dependency_hits(self.inventory)).unionByName(env_hits(names, self.texts))
-        return self._settle(to_findings(hits, self.user_rules))
+        hits = hits.unionByName(dependency_hits(self.inventory)).unionByName(env_hits(self.names, self.texts))
+        found = self._settle(to_findings(hits, self.user_rules))
+        custom = self.custom[0]
+        return found if custom is None else found.unionByName(custom)
+
+    @cached_property
+    def names(self) -> DataFrame:
+        """Environment names of each repository, documented or referenced."""
+        return env_names(self.digest.select("repo_id", "documented", "referenced"))
+
+    @cached_property
+    def custom(self) -> tuple[DataFrame | None, DataFrame | None]:
+        """Findings and states of the custom analyzers, each run apart over the audited files."""
+        if not self.custom_analyzers:
+            return None, None
+        return run_custom(filter_ignored_paths(self.source, self.policies if self.use_policies else None), self.custom_analyzers)
 
     @cached_property
     def correlated(self) -> DataFrame:
@@ -147,7 +168,7 @@ class Audit:
     @cached_property
     def active(self) -> DataFrame:
         kept = suppress(self.unique, self.texts, load_suppressions(self.texts))
-        return filter_rules(kept, self.policies) if self.use_policies else kept
+        return self._settle(filter_rules(kept, self.policies) if self.use_policies else kept)
 
     @cached_property
     def filtered(self) -> DataFrame:
@@ -173,7 +194,35 @@ class Audit:
 
     @cached_property
     def analyzers(self) -> DataFrame:
-        return scoring.analyzer_status(self.raw, self.repos)
+        found, states = self.custom
+        built_in = scoring.analyzer_status(self.raw, self.repos)
+        return built_in if states is None else built_in.unionByName(custom_status(found, states, self.repos))
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        """What each reported finding stands on, every name of a set of names included."""
+        return finding_evidence(self.findings, env_evidence(self.names, self.texts))
+
+    @cached_property
+    def graph(self) -> DataFrame:
+        return summary_of(self.digest.select("repo_id", "path", *module_facts()), self.routes)
+
+    @cached_property
+    def baseline_counts(self) -> DataFrame:
+        return baseline_status(self.unique, self.active, self.filtered, self.baseline)
+
+    def json_report(self, metadata: Mapping[str, str] | None = None) -> DataFrame:
+        """Pieces of one JSON document for each repository, see :func:`reports.json_report`."""
+        return json_report(
+            self.repos, self.findings, self.evidence, self.manifests, manifest_items(self.discovered), frameworks(self.discovered),
+            dependency_counts(self.inventory), self.inventory, self.routes, self.graph, self.baseline_counts,
+            scoring.score_report(self.scored), scoring.contributions(self.findings), scoring.readiness(self.scored),
+            scoring.category_scores(self.scored), self.analyzers, self.gates, metadata,
+        )
+
+    def sarif_report(self) -> DataFrame:
+        """Pieces of one SARIF log for each repository."""
+        return sarif_report(self.repos, self.findings)
 
 
 def family_findings(files: DataFrame, selected: Iterable[int]) -> DataFrame:

@@ -15,6 +15,7 @@ from auditloom.functions.regex import java_pattern, strip
 from auditloom.functions.text import fingerprint, normalize_path, strip_ansi, with_masked_secret, with_masked_snippet
 from auditloom.operators import baseline as B
 from auditloom.operators import dependencies as D
+from auditloom.operators import documents as DOC
 from auditloom.operators import env as E
 from auditloom.operators import findings as FD
 from auditloom.operators import fixed_values as V
@@ -359,6 +360,19 @@ def enriched(spark, sf_dir):
     )
 
 
+@query
+def evidence(spark, sf_dir):
+    """What every finding stands on, with all names of CONFIG-005 and CONFIG-007."""
+    return _audit(spark, sf_dir).evidence
+
+
+@query
+def explain_flows(spark, sf_dir):
+    """The records of all findings that a flow ends on, with HOW."""
+    found, flows = _audit(spark, sf_dir).findings, FL.taint_flows(_files(spark, sf_dir))
+    return FD.explain(found.join(FD.flow_steps(found, flows), ["repo_id", "fingerprint"], "left_semi"), flows)
+
+
 @query
 def explain(spark, sf_dir):
     found = FD.find_by_id(_audit(spark, sf_dir).findings, "code-004")
@@ -513,11 +527,42 @@ def severity_share(spark, sf_dir):
     return S.severity_share(a.findings, a.repos)
 
 
+@query
+def gate_of_all(spark, sf_dir):
+    """The gate over every finding, by each repository's own threshold."""
+    a = _audit(spark, sf_dir)
+    return S.gate(a.findings, a.repos, load_policies(a.source))
+
+
+@query
+def severity_share_of_all(spark, sf_dir):
+    a = _audit(spark, sf_dir)
+    return S.severity_share(a.findings, a.repos)
+
+
+@query
+def baseline_status_without(spark, sf_dir):
+    """Counts where no baseline is given: nothing is known, suppressed findings still count."""
+    return _audit(spark, sf_dir).baseline_counts
+
+
 @query
 def analyzer_status(spark, sf_dir):
     return _audit(spark, sf_dir).analyzers
 
 
+def _broken(files: DataFrame) -> DataFrame:
+    """An analyzer that fails only when its rows are computed."""
+    return family_findings(files, family_rules("code")).withColumn("line", F.raise_error(F.lit("broken")).cast("int"))
+
+
+@query
+def custom_analyzers(spark, sf_dir):
+    """An audit with an analyzer of the user's and one that fails: states and counts of all."""
+    own = {"own": lambda files: family_findings(files, family_rules("code")), "broken": _broken}
+    return Audit(corpus_files(spark, sf_dir), analyzers=own).analyzers
+
+
 # --- discovery, routes, graph, flows -------------------------------------------------------------------------
 
 
@@ -607,10 +652,9 @@ def graph_summary(spark, sf_dir):
 
 @query
 def json_report(spark, sf_dir):
+    """Every field of every object of the repositories' documents."""
     a = _audit(spark, sf_dir)
-    return R.json_report(
-        a.findings, a.scored, a.manifests, M.manifest_items(a.discovered), a.inventory, a.routes, a.analyzers, a.gates
-    )
+    return DOC.flat(a.json_report())
 
 
 @query
@@ -625,4 +669,14 @@ def sarif_rules(spark, sf_dir):
 
 @query
 def sarif_report(spark, sf_dir):
-    return R.sarif_report(_audit(spark, sf_dir).findings)
+    """Rules and results of the repositories' logs, read back from their pieces."""
+    return R.sarif_rows(_audit(spark, sf_dir).sarif_report())
+
+
+@query
+def written_reports(spark, sf_dir):
+    """Both documents of each repository written as files: their lengths by kind."""
+    a, folder = _audit(spark, sf_dir), _new_folder(spark)
+    logs = DOC.write_documents(a.sarif_report(), f"{folder}/sarif", ".sarif").withColumn("kind", F.lit("sarif"))
+    told = DOC.write_documents(a.json_report(), f"{folder}/json").withColumn("kind", F.lit("json"))
+    return logs.unionByName(told).select("repo_id", "kind", "file", (F.col("bytes") > 0).alias("filled"))

@@ -157,9 +157,12 @@ missing AS (
 
 
 def _name_list(table: str, path: str, ord_: int, label: str) -> str:
-    return f"""SELECT repo_id, {path} AS path, 1 AS line,
+    ranges = f"""SELECT repo_id, sha256(name)[1:3] AS r, sha256(string_agg(sha256(name), '' ORDER BY sha256(name))) AS h FROM {table} GROUP BY ALL"""
+    return f"""SELECT t.repo_id, {path} AS path, 1 AS line,
   {q(label + ": ")} || array_to_string(list_sort(list(name))[1:3], ', ') || ' (' || count(*) || ' in all)' AS text, {ord_} AS ord,
-  count(*) || ':' || bit_xor(('0x' || sha256(name)[1:15])::BIGINT) AS fp_text FROM {table} GROUP BY repo_id"""
+  any_value(i.x) AS fp_text
+FROM {table} t JOIN (SELECT repo_id, sha256(string_agg(r || h, '' ORDER BY r)) AS x FROM ({ranges}) GROUP BY repo_id) i USING (repo_id)
+GROUP BY t.repo_id"""
 
 
 ENV_HITS = f"""
@@ -796,3 +799,108 @@ SELECT repo_id, rule_id, regexp_replace(rule_id, '[^a-zA-Z0-9]', '', 'g') AS nam
     || 'Remediation:' || chr(10) || remediation AS help
 FROM act JOIN prose USING (category)
 QUALIFY row_number() OVER (PARTITION BY repo_id, rule_id ORDER BY coalesce(file, ''), coalesce(line, 0), fingerprint) = 1"""
+
+_FIELDS = """rule_id, title, category, subcategory, analyzer, severity, severity_rank, confidence, file, line, snippet, fingerprint"""
+EVIDENCE = f"""
+evidence AS (
+  SELECT repo_id, fingerprint, '' AS item, file, line, snippet FROM act WHERE rule_id NOT IN ('CONFIG-005', 'CONFIG-007')
+  UNION ALL SELECT a.repo_id, a.fingerprint, u.name, '.env.example', 1, u.name FROM act a JOIN undocumented u USING (repo_id) WHERE a.rule_id = 'CONFIG-007'
+  UNION ALL SELECT a.repo_id, a.fingerprint, m.name, m.path, 1, m.name FROM act a JOIN missing m USING (repo_id) WHERE a.rule_id = 'CONFIG-005')
+"""
+ORACLES["evidence"] = f"WITH {FULL}, {EVIDENCE} SELECT repo_id, fingerprint, item, file, line, snippet FROM evidence"
+_KNOWN_NONE = """SELECT u.repo_id, coalesce(a.n, 0) AS total_findings, coalesce(a.n, 0) AS new_findings, u.n - coalesce(a.n, 0) AS suppressed_findings
+  FROM (SELECT repo_id, count(*) AS n FROM uniq GROUP BY repo_id) u LEFT JOIN (SELECT repo_id, count(*) AS n FROM act GROUP BY repo_id) a USING (repo_id)"""
+ORACLES["baseline_status_without"] = f"WITH {FULL} {_KNOWN_NONE}"
+ORACLES["gate_of_all"] = ORACLES["gate"].replace(TEST_PICKED, ALL_PICKED)
+ORACLES["severity_share_of_all"] = ORACLES["severity_share"].replace(TEST_PICKED, ALL_PICKED)
+_CODE_IDS = ", ".join(q(r) for r in dict.fromkeys(RULES[i].rule_id for i in family_rules("code")))
+ORACLES["custom_analyzers"] = f"""{ORACLES["analyzer_status"]}
+UNION ALL SELECT repo_id, 'own', 'completed', (SELECT count(*) FROM raw w WHERE w.repo_id = r.repo_id AND w.rule_id IN ({_CODE_IDS})) FROM repos r
+UNION ALL SELECT repo_id, 'broken', 'failed', 0 FROM repos"""
+_FLOWS_BODY = ORACLES["flows"].split(f"WITH {CORPUS}, {LINES},", 1)[1]
+_FLOW_CTES, _FLOW_SELECT = _FLOWS_BODY.rsplit("SELECT repo_id, 'flow-'", 1)
+_STEPS = """
+steps AS (
+  SELECT repo_id, file, sink_line AS line, string_agg(step, chr(10) ORDER BY step) AS how FROM (
+    SELECT DISTINCT repo_id, file, sink_line, kind || ': ' || variable || ' at ' || file || ':' || source_line || ' is set from ' || source_expr
+      || ', and at ' || file || ':' || sink_line || ' reaches ' || sink_expr AS step FROM flows)
+  GROUP BY ALL)"""
+_EXPLAINED = ORACLES["explain"].split(f"WITH {FULL}, {PROSE},", 1)[1]
+ORACLES["explain_flows"] = f"""WITH {FULL}, {PROSE}, {_FLOW_CTES.strip()}, flows AS (SELECT repo_id, 'flow-'{_FLOW_SELECT}),{_STEPS},
+one AS (
+  SELECT *, coalesce(file, 'unknown') || ':' || coalesce(line, 1) AS place, title || ' (' || category || ').' AS description
+  FROM act JOIN prose USING (category) JOIN steps USING (repo_id, file, line))
+SELECT{_EXPLAINED.split(" = 1)", 1)[1].split("SELECT", 1)[1]}""".replace("{'a': 'IMPACT'", "{'a': 'HOW', 'b': how}, {'a': 'IMPACT'")
+
+
+def _entries(section: str, rows: str, key: str = "''", item: str = "''") -> str:
+    return f"""SELECT repo_id, {q(section)} AS section, "key", item, field, "value" FROM (
+  UNPIVOT (SELECT repo_id, {key} AS "key", {item} AS item, COLUMNS(* EXCLUDE (repo_id))::VARCHAR FROM ({rows}))
+  ON COLUMNS(* EXCLUDE (repo_id, "key", item)) INTO NAME field VALUE "value")"""
+
+
+def _joined(*columns: str) -> str:
+    return " || chr(1) || ".join(f"coalesce(({c})::VARCHAR, '')" for c in columns)
+
+
+_LINE = "lpad(coalesce(line, 0)::VARCHAR, 9, '0')"
+_FINDING_KEY = _joined("9 - severity_rank", "file", _LINE, "fingerprint")
+_SEVERITY_COUNTS = ", ".join(f"{s.lower()}_count" for s in V.SEVERITIES)
+
+
+_REPORT = {
+    "project": ("SELECT * FROM manifests", "''"),
+    "scan_metadata": (
+        f"""SELECT repo_id, 'HIGH' AS fail_threshold, CASE WHEN w IS NULL THEN 0 WHEN w >= 3 THEN 2 ELSE 1 END AS exit_code, 'auditloom' AS tool, '0.1.0' AS version
+  FROM repos LEFT JOIN (SELECT repo_id, max(severity_rank) AS w FROM act GROUP BY repo_id) USING (repo_id)""",
+        "''",
+    ),
+    "frameworks": ("SELECT * FROM frameworks", _joined("name", "version")),
+    "dependencies": ("SELECT repo_id, name, version, type, source_file FROM inventory", _joined("name", "version", "type", "source_file")),
+    "routes": (
+        """SELECT repo_id, route_id, method, route_path, file, line, framework, authentication, "authorization", database, external_calls,
+  '[' || array_to_string(list_transform(ins, lambda i: '{"name":"' || string_split(i, '=')[1] || '","source":"' || string_split(i, '=')[2] || '"}'), ',') || ']' AS inputs,
+  CASE risk_flags WHEN '' THEN '[]' ELSE '["' || replace(risk_flags, ',', '","') || '"]' END AS risk_flags FROM routes""",
+        _joined("file", _LINE, "route_id"),
+    ),
+    "baseline_status": (_KNOWN_NONE, "''"),
+    "findings": (
+        f"SELECT repo_id, {_FIELDS}, title || ' (' || category || ').' AS description, impact, remediation FROM act JOIN prose USING (category)",
+        _FINDING_KEY,
+    ),
+    "scores": ("SELECT * FROM scored", "''"),
+    "explanations": (
+        "SELECT repo_id, fingerprint, rule_id, title, category, severity, confidence, dimension, points FROM contrib",
+        _joined("dimension", "fingerprint"),
+    ),
+    "summary": (f"SELECT repo_id, overall_score, status, {_SEVERITY_COUNTS} FROM scored", "''"),
+}
+_TWINS = {
+    "technologies": ("manifest_items", _joined("kind", "value")),
+    "dependency_counts": ("dependency_counts", "''"),
+    "graph_summary": ("graph_summary", "''"),
+    "readiness": ("readiness", "''"),
+    "categories": ("category_scores", _joined("category")),
+    "analyzers": ("analyzer_status", _joined("analyzer")),
+}
+_REPORT_ROWS = [_entries(name, rows, key) for name, (rows, key) in _REPORT.items()]
+_REPORT_ROWS += [_entries(name, f"SELECT * FROM ({ORACLES[twin]})", key) for name, (twin, key) in _TWINS.items()]
+_REPORT_ROWS.append(
+    _entries(
+        "evidence",
+        f"SELECT repo_id, file, line, snippet, {_joined("9 - severity_rank", "act_file", _LINE.replace("line", "act_line"), "fingerprint")} AS __key, item AS __item FROM ("
+        "SELECT e.*, a.severity_rank, a.file AS act_file, a.line AS act_line FROM evidence e JOIN act a USING (repo_id, fingerprint))",
+        "__key",
+        "__item",
+    ).replace('COLUMNS(* EXCLUDE (repo_id))', 'COLUMNS(* EXCLUDE (repo_id, __key, __item))')
+)
+ORACLES["json_report"] = f"""WITH {FULL}, {PROSE}, {EVIDENCE}, {ALL_PICKED}, {SCORED}
+{' UNION ALL '.join(_REPORT_ROWS)}"""
+ORACLES["sarif_report"] = f"""WITH {FULL}, {PROSE},
+rules AS ({ORACLES["sarif_rules"].split(PROSE, 1)[1]}),
+numbered AS (SELECT *, (row_number() OVER (PARTITION BY repo_id ORDER BY rule_id) - 1)::INT AS rule_index FROM rules)
+SELECT repo_id, 'rules' AS section, rule_index, rule_id, level, help AS text, name AS place, NULL::INT AS start_line, full_description AS told FROM numbered
+UNION ALL SELECT a.repo_id, 'results', n.rule_index, a.rule_id, {LEVEL.replace('severity', 'a.severity')}, a.title || ': ' || a.title || ' (' || a.category || ').',
+  coalesce(a.file, 'UNKNOWN'), coalesce(a.line, 1), a.fingerprint FROM act a JOIN numbered n USING (repo_id, rule_id)"""
+ORACLES["written_reports"] = f"""WITH {CORPUS}
+SELECT repo_id, kind, repo_id || '.' || kind AS file, true AS filled FROM (SELECT DISTINCT repo_id FROM source), (VALUES ('json'), ('sarif')) k(kind)"""

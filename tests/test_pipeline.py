@@ -2,6 +2,7 @@
 
 import json
 import re
+import time
 
 import pytest
 from pyspark.sql import Window
@@ -9,19 +10,18 @@ from pyspark.sql import functions as F
 
 from auditloom.operators import baseline as B
 from auditloom.operators import dependencies as D
+from auditloom.operators import documents as DOC
 from auditloom.operators import env as E
 from auditloom.operators import findings as FD
 from auditloom.operators import fixed_values as V
 from auditloom.operators import flows as FL
 from auditloom.operators import graph as G
-from auditloom.operators import reports as R
 from auditloom.operators import routes as RT
 from auditloom.operators import scoring as S
 from auditloom.operators import suppress as SP
 from auditloom.operators.custom import run_custom
 from auditloom.operators.digest import explode_hits, rule_hits
 from auditloom.plans.audit import Audit, family_findings
-from auditloom.plans.queries import QUERIES
 from auditloom.sources.corpus import corpus_files
 from auditloom.sources.files import filter_ignored_paths, load_policies
 from tests.conftest import SF_DIR
@@ -275,38 +275,95 @@ def test_env_names(spark, make_files):
     assert "Undocumented variables: V000, V001, V002 (300 in all)" in hits.values()
 
 
-def test_report_parts_hold_everything(spark):
-    a = Audit(corpus_files(spark, SF_DIR))
-    total = a.findings.count()
-    whole = R.sarif_report(a.findings).collect()
-    parts = R.sarif_report(a.findings, part_rows=10).collect()
-    assert len(parts) > len(whole) == a.findings.select("repo_id").distinct().count()
-    for rows in (whole, parts):
-        seen = []
-        for row in rows:
-            log = json.loads(row.sarif)
-            assert log["version"] == "2.1.0" and log["$schema"].endswith("sarif-schema-2.1.0.json")
-            run = log["runs"][0]
-            ids = {r["id"] for r in run["tool"]["driver"]["rules"]}
-            assert ids == {r["ruleId"] for r in run["results"]}
-            for r in run["results"]:
-                assert r["level"] in ("error", "warning", "note")
-                assert r["locations"][0]["physicalLocation"]["region"]["startLine"] >= 1
-                seen.append((row.repo_id, r["partialFingerprints"]["primaryLocationLineHash"]))
-        assert len(seen) == len(set(seen)) == total
-
-
-def test_json_report_sections(spark):
-    rows = QUERIES["json_report"](spark, SF_DIR).collect()
-    by_section: dict[str, list] = {}
-    for r in rows:
-        data = json.loads(r.json)
-        assert isinstance(data, dict if r.section in ("project", "summary") else list)
-        by_section.setdefault(r.section, []).extend(data if isinstance(data, list) else [data])
-    assert set(by_section) == {"project", "summary", "technologies", "dependencies", "routes", "findings", "analyzers"}
-    assert len(by_section["findings"]) == QUERIES["sorted_findings"](spark, SF_DIR).count()
-    for f in by_section["findings"]:
-        assert "sk_live_4eC39" not in f["snippet"] and "hunter22" not in f["snippet"]
+def test_env_evidence(spark, make_files):
+    """Every name is a row, and identities differ for sets that a count and a sum of hashes might not tell apart."""
+    names = "\n".join(f"process.env.V{i:03d}" for i in range(300))
+    files = make_files({("r", ".env.example"): "A=1", ("r", "a.js"): names, ("s", ".env.example"): "A=1\nB=2", ("s", ".env"): "Q=1"})
+    audit = Audit(files)
+    rows = audit.evidence.join(audit.findings.select("repo_id", "fingerprint", "rule_id"), ["repo_id", "fingerprint"]).collect()
+    assert sorted(r.snippet for r in rows if (r.repo_id, r.rule_id) == ("r", "CONFIG-007")) == [f"V{i:03d}" for i in range(300)]
+    assert sorted((r.file, r.item) for r in rows if r.rule_id == "CONFIG-005") == [(".env", "A"), (".env", "B")]
+    assert all(r.item == "" and r.snippet for r in rows if not r.rule_id.startswith("CONFIG-00"))
+    sets = [("a", n) for n in "xyz"] + [("b", n) for n in "zyx"] + [("c", n) for n in ("x", "yz")] + [("d", n) for n in "xyw"]
+    told = {r.repo_id: (r.n, r.identity) for r in E.set_identity(spark.createDataFrame(sets, "repo_id string, name string")).collect()}
+    assert told["a"] == told["b"] and len(set(told.values())) == 3
+
+
+@pytest.fixture(scope="module")
+def corpus_audit(spark):
+    return Audit(corpus_files(spark, SF_DIR))
+
+
+def test_sarif_logs(spark, corpus_audit, tmp_path):
+    """One log a repository, whole: rules once, results in order of place, each naming its rule by number."""
+    written = DOC.write_documents(corpus_audit.sarif_report(), str(tmp_path), ".sarif").collect()
+    assert sorted(r.repo_id for r in written) == sorted(r.repo_id for r in corpus_audit.repos.collect())
+    assert sorted(p.name for p in tmp_path.iterdir()) == sorted(r.file for r in written)
+    seen = []
+    for w in written:
+        assert (tmp_path / w.file).stat().st_size == w.bytes
+        log = json.loads((tmp_path / w.file).read_text())
+        assert log["version"] == "2.1.0" and log["$schema"].endswith("sarif-schema-2.1.0.json")
+        run = log["runs"][0]
+        rules = [r["id"] for r in run["tool"]["driver"]["rules"]]
+        assert rules == sorted(set(rules)) and {r["ruleId"] for r in run["results"]} == set(rules)
+        places = []
+        for r in run["results"]:
+            place = r["locations"][0]["physicalLocation"]
+            assert r["level"] in ("error", "warning", "note") and rules[r["ruleIndex"]] == r["ruleId"]
+            places.append((place["artifactLocation"]["uri"], place["region"]["startLine"]))
+            seen.append((w.repo_id, r["partialFingerprints"]["primaryLocationLineHash"]))
+        assert [p[0] for p in places] == sorted(p[0] for p in places) and min(p[1] for p in places) >= 1
+    assert len(seen) == len(set(seen)) == corpus_audit.findings.count()
+
+
+def test_json_documents(spark, corpus_audit, tmp_path):
+    written = DOC.write_documents(corpus_audit.json_report({"run": "7"}), str(tmp_path)).collect()
+    docs = {w.repo_id: json.loads((tmp_path / w.file).read_text()) for w in written}
+    found = corpus_audit.findings.collect()
+    assert set(docs) == {r.repo_id for r in corpus_audit.repos.collect()}
+    proof = corpus_audit.evidence.groupBy("repo_id", "fingerprint").count().collect()
+    for repo, doc in docs.items():
+        assert list(doc) == [
+            "project", "scan_metadata", "technologies", "frameworks", "dependency_counts", "dependencies", "routes", "graph_summary",
+            "baseline_status", "findings", "scores", "explanations", "readiness", "categories", "analyzers", "summary",
+        ]
+        assert doc["scan_metadata"]["run"] == "7" and doc["summary"]["status"] == doc["scores"]["status"]
+        assert sorted(f["fingerprint"] for f in doc["findings"]) == sorted(r.fingerprint for r in found if r.repo_id == repo)
+        ranks = [f["severity_rank"] for f in doc["findings"]]
+        assert ranks == sorted(ranks, reverse=True)
+        assert {f["fingerprint"]: len(f["evidence"]) for f in doc["findings"]} == {r.fingerprint: r["count"] for r in proof if r.repo_id == repo}
+        text = json.dumps(doc)
+        assert "sk_live_4eC39" not in text and "hunter22" not in text
+
+
+def test_document_pieces(spark, tmp_path):
+    """Empty lists, absent objects, one entry, many entries over several batches, odd names and characters."""
+    repos = spark.createDataFrame([("a/b",), ("none",), ("many",)], "repo_id string")
+    rows = [("a/b", "q\"\\ \u001b[1mé😀\n", 1)] + [("many", f"{i:06d}", i) for i in range(25_000)]
+    listed = spark.createDataFrame(rows, "repo_id string, name string, n int").repartition(5)
+    single = spark.createDataFrame([("many", None, 2)], "repo_id string, x string, y int")
+    layout = ['{"list":[', DOC.entries(listed, "list", F.col("name")), '],"one":', ("one", DOC.one(single)), "}"]
+    document = DOC.pieces(repos, layout)
+    written = {r.repo_id: r for r in DOC.write_documents(document, str(tmp_path / "out")).collect()}
+    docs = {repo: json.loads((tmp_path / "out" / w.file).read_text()) for repo, w in written.items()}
+    assert docs["none"] == {"list": [], "one": None} and docs["a/b"] == {"list": [{"name": "q\"\\ é😀\n", "n": 1}], "one": None}
+    assert [e["n"] for e in docs["many"]["list"]] == list(range(25_000)) and docs["many"]["one"] == {"y": 2}
+    assert written["a/b"].file == "a%2Fb.json" and len(list((tmp_path / "out").iterdir())) == 3
+    flat = DOC.flat(document).where("repo_id = 'a/b'").collect()
+    assert sorted((r.section, r.field, r.value) for r in flat) == [("list", "n", "1"), ("list", "name", "q\"\\ é😀\n")]
+
+
+def test_explain_how(spark, make_files):
+    files = make_files({("r", "a.js"): "const a = req.query.a;\nchild_process.exec('x' + a);\nchild_process.exec(other + 1);"})
+    found = FD.dedup_findings(family_findings(files, [i for i, r in enumerate(FD.RULES) if r.scope != "repo"]))
+    assert {r.line for r in found.collect()} == {2, 3}
+    told = FD.explain(found, FL.taint_flows(files)).collect()
+    hows = [r.body for r in told if r.section == "HOW"]
+    assert set(hows) == {"exec: a at a.js:1 is set from req.query.a, and at a.js:2 reaches child_process.exec('x' + a);"}
+    for one in {r.fingerprint for r in told}:
+        assert sorted(r.position for r in told if r.fingerprint == one) == list(range(sum(r.fingerprint == one for r in told)))
+    assert not [r for r in FD.explain(found).collect() if r.section == "HOW"]
 
 
 def test_failing_analyzer_does_not_stop_others(spark, make_files):
@@ -318,15 +375,38 @@ def test_failing_analyzer_does_not_stop_others(spark, make_files):
     def broken_run(f):
         return family_findings(f, FD_CODE).withColumn("line", F.raise_error(F.lit("boom")).cast("int"))
 
-    found, status = run_custom(
-        files, {"good": lambda f: family_findings(f, FD_CODE), "plan": broken_plan, "run": broken_run}
-    )
+    good = lambda f: family_findings(f, FD_CODE)
+    found, status = run_custom(files, {"good": good, "plan": broken_plan, "run": broken_run})
     assert {r.analyzer: (r.status, r.findings_count) for r in status.collect()} == {
         "good": ("completed", 1),
         "plan": ("failed", 0),
         "run": ("failed", 0),
     }
-    assert found.count() == 1
+    assert found.count() == 1 and "boom" in next(r.error for r in status.collect() if r.analyzer == "run")
+
+    def slow(f):
+        rows = family_findings(f, FD_CODE)
+        return rows.mapInPandas(lambda batches: ((time.sleep(60), b)[1] for b in batches), rows.schema)
+
+    found, status = run_custom(files, {"slow": slow, "good": good}, timeout=15)
+    assert {r.analyzer: r.status for r in status.collect()} == {"slow": "failed", "good": "completed"} and found.count() == 1
+
+
+def test_custom_analyzers_in_audit(spark, make_files):
+    def todo(files):
+        hits = files.where(F.col("content").contains("TODO")).select("repo_id", "path", F.lit(1).alias("line"), F.lit("eval(todo)").alias("text"), F.lit(FD_CODE[0]).alias("ord"))
+        return FD.to_findings(hits)
+
+    def broken(files):
+        raise ValueError("no plan")
+
+    files = make_files({("r", "a.js"): "// TODO", ("s", "b.js"): "x"})
+    plain, audit = Audit(files), Audit(files, analyzers={"todo": todo, "broken": broken})
+    got = {(r.repo_id, r.analyzer): (r.status, r.findings_count) for r in audit.analyzers.collect()}
+    built_in = {(r.repo_id, r.analyzer): (r.status, r.findings_count) for r in plain.analyzers.collect()}
+    assert got == built_in | {("r", "todo"): ("completed", 1), ("s", "todo"): ("completed", 0), ("r", "broken"): ("failed", 0), ("s", "broken"): ("failed", 0)}
+    extra = set(audit.findings.select("repo_id", "file", "analyzer").collect()) - set(plain.findings.select("repo_id", "file", "analyzer").collect())
+    assert {tuple(r) for r in extra} == {("r", "a.js", "todo")}
 
 
 def test_one_scan_of_contents(spark):
