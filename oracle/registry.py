@@ -884,7 +884,18 @@ _TWINS = {
     "analyzers": ("analyzer_status", _joined("analyzer")),
 }
 _REPORT_ROWS = [_entries(name, rows, key) for name, (rows, key) in _REPORT.items()]
-_REPORT_ROWS += [_entries(name, f"SELECT * FROM ({ORACLES[twin]})", key) for name, (twin, key) in _TWINS.items()]
+
+
+def _within(twin: str) -> str:
+    """A twin without the table expressions that the report has already."""
+    for shared in (f"{FULL}, {ALL_PICKED}, {SCORED}", f"{FULL}"):
+        if ORACLES[twin].startswith(f"WITH {shared}"):
+            rest = ORACLES[twin].removeprefix(f"WITH {shared}").strip()
+            return f"WITH {rest[1:]}" if rest.startswith(",") else rest
+    return ORACLES[twin]
+
+
+_REPORT_ROWS += [_entries(name, f"SELECT * FROM ({_within(twin)})", key) for name, (twin, key) in _TWINS.items()]
 _REPORT_ROWS.append(
     _entries(
         "evidence",
