@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from auditloom.session import materialize
 
 
+#: Rounds whose moves are put together before the result is written.
+ROUNDS_AT_ONCE = 4
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root of every node of ``edges`` (a, b: longs); nodes of one component share a root.
 
     In each round every node moves to the neighbour (or itself) that a hash of the
     round puts first, and edges follow; fresh hashes shrink paths and stars alike, so
     rounds grow with the logarithm of the nodes. The first in each neighbourhood is a
-    combinable minimum, so no neighbourhood is held by one task. Each round is a written table.
+    combinable minimum, so no neighbourhood is held by one task. Each round is a written
+    table. Moves are put together from the last round, the smallest, to the first, and written
+    every few rounds; no join here sends a side through the driver.
     """
     edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct())
     nodes, steps = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), []
@@ -24,12 +30,36 @@ def components(edges: DataFrame) -> DataFrame:
         seen = edges.select("a", "b").union(edges.select("b", "a"))
         moves = seen.groupBy("a").agg(F.min(F.least(rank("a"), rank("b"))).alias("m")).select("a", F.col("m.at").alias("to"))
         moves = materialize(moves)
-        left = moves.select(F.col("a"), F.col("to").alias("ta"))
-        right = moves.select(F.col("a").alias("b"), F.col("to").alias("tb"))
+        left = moves.select(F.col("a"), F.col("to").alias("ta")).hint("merge")
+        right = moves.select(F.col("a").alias("b"), F.col("to").alias("tb")).hint("merge")
         moved = edges.join(left, "a").join(right, "b").where("ta != tb")
         edges = materialize(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
-        steps.append(moves.select(F.col("a").alias("root"), "to"))
-    placed = nodes.withColumn("root", F.col("node"))
-    for step in steps:
-        placed = placed.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return materialize(placed)
+        steps.append(moves.select(F.col("a").alias("node"), F.col("to").alias("root")))
+    if not steps:
+        return materialize(nodes.withColumn("root", F.col("node")))
+    placed = steps.pop()
+    while steps:
+        for _ in range(ROUNDS_AT_ONCE):
+            if steps:
+                placed = _led_on(steps.pop(), placed)
+        placed = materialize(placed)
+    return placed
+
+
+def _led_on(placed: DataFrame, further: DataFrame) -> DataFrame:
+    """(node, root) of ``placed`` with roots replaced by their own root in ``further``, where they have one."""
+    onward = further.select(F.col("node").alias("root"), F.col("root").alias("to")).hint("merge")
+    return placed.join(onward, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+
+
+def extended(placed: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components of ``placed`` (node, root) joined by further ``edges`` (a, b), which may name new nodes.
+
+    Only edges between different components go on, so the work grows with them.
+    """
+    root = placed.hint("merge")
+    rooted = edges.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
+    rooted = rooted.join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    joined = components(rooted.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    new = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().join(root.select("node"), "node", "left_anti")
+    return materialize(_led_on(placed.unionByName(new.withColumn("root", F.col("node"))), joined))

@@ -89,13 +89,20 @@ class Model:
     """weights over features (log-count ratios taken in), bias, and the sigmoid's slope and shift."""
 
     def __init__(self, ratio, weights, bias, slope, shift):
-        self.ratio2, self.weights, self.bias, self.slope, self.shift = ratio**2, ratio * weights, bias, slope, shift
+        self.ratio, self.plain, self.bias, self.slope, self.shift = ratio, weights, float(bias), slope, shift
+        self.ratio2, self.weights = ratio**2, ratio * weights
 
     def scores(self, features: np.ndarray, owners: np.ndarray, rows: int) -> np.ndarray:
-        dot = np.bincount(owners, weights=self.weights[features], minlength=rows)
-        norm = np.sqrt(np.bincount(owners, weights=self.ratio2[features], minlength=rows))
-        margin = dot / np.where(norm > 0, norm, 1.0) + self.bias
-        return 1 / (1 + np.exp(np.clip(-(self.slope * margin + self.shift), -500, 500)))
+        return scores_of((self.ratio2, self.weights, self.bias, self.slope, self.shift), features, owners, rows)
+
+
+def scores_of(parts: tuple, features: np.ndarray, owners: np.ndarray, rows: int) -> np.ndarray:
+    """Scores of rows by squared ratios, weights, bias, slope and shift."""
+    ratio2, weights, bias, slope, shift = parts
+    dot = np.bincount(owners, weights=weights[features], minlength=rows)
+    norm = np.sqrt(np.bincount(owners, weights=ratio2[features], minlength=rows))
+    margin = dot / np.where(norm > 0, norm, 1.0) + bias
+    return 1 / (1 + np.exp(np.clip(-(slope * margin + shift), -500, 500)))
 
 
 def _log_count_ratio(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
@@ -181,7 +188,9 @@ def held_out():
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Fits on at most ``train_rows`` labelled documents outside the held-out fold.
 
-    Labels that are null or not 0 or 1, and ids with both labels, are left out.
+    Labels that are null or not 0 or 1, and ids with both labels, are left out. Of rows that
+    share an id the first by features counts. One task fits: it gets a row for each
+    sampled id, of at most ``FEATURES`` numbers, and the driver gets the weights alone.
     """
     usable = labels.select("doc_id", "quality").where("doc_id is not null and quality in (0, 1)").groupBy("doc_id")
     usable = usable.agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").where(~held_out())
@@ -189,16 +198,31 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            quality = batch.column("quality")
+            known = batch.select(["doc_id", "quality"])
             for first, end, features, owners in indicators(batch.column("text")):
                 at = np.searchsorted(owners, np.arange(end - first + 1))
                 rows = [features[a:b].astype(np.int32).tobytes() for a, b in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([quality.slice(first, end - first).cast(pa.int32()), pa.array(rows, pa.binary())], ["quality", "features"])
+                yield from pa.Table.from_batches([known.slice(first, end - first)]).append_column("features", pa.array(rows, pa.binary())).to_batches()
 
-    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "quality")
-    got = [(int(r[0]), bytes(r[1])) for r in labelled.mapInArrow(featurize, "quality int, features binary").collect()]
-    got.sort()
-    return fit([np.frombuffer(r, np.int32).astype(np.int64) for _, r in got], np.array([q for q, _ in got], dtype=np.int64))
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, labels = [], []
+        for batch in batches:
+            rows += [np.frombuffer(r, np.int32) for r in batch.column("features").to_pylist()]
+            labels += batch.column("quality").to_pylist()
+        if rows:
+            m = fit(rows, np.array(labels, dtype=np.int64))
+            told = [[m.ratio.tobytes()], [m.plain.tobytes()], [m.bias], [m.slope], [m.shift]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in told], ["ratio", "weights", "bias", "slope", "shift"])
+
+    kind = docs.select("doc_id").schema.simpleString()[len("struct<") : -1].split(":", 1)[1]
+    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
+    each = labelled.mapInArrow(featurize, f"doc_id {kind}, quality int, features binary").groupBy("doc_id", "quality").agg(F.min("features").alias("features"))
+    ordered = each.select("quality", "features").repartition(1).sortWithinPartitions("quality", "features")
+    got = ordered.mapInArrow(fitted, "ratio binary, weights binary, bias double, slope double, shift double").collect()
+    if not got:
+        return fit([], np.zeros(0, np.int64))
+    r = got[0]
+    return Model(np.frombuffer(r.ratio), np.frombuffer(r.weights), r.bias, r.slope, r.shift)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
@@ -207,14 +231,14 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     Repeated and null ids give a row each; other columns are not read. No rows: no rows.
     """
     keep = keep or ["doc_id"]
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((model.ratio2, model.weights, model.bias, model.slope, model.shift))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = batch.select(keep)
             for first, end, features, owners in indicators(batch.column("text")):
-                scores = sent.value.scores(features, owners, end - first)
+                scores = scores_of(sent.value, features, owners, end - first)
                 part = pa.Table.from_batches([kept.slice(first, end - first)]).append_column("score", pa.array(scores))
                 yield from part.append_column("predicted", pa.array((scores >= THRESHOLD).astype(np.int32))).to_batches()
 

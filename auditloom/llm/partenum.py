@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.llm.components import components
+from auditloom.llm.components import components, extended
 from auditloom.llm.words import SPACED, mix64, shingle_hashes, word_slices
 from auditloom.session import materialize
 
@@ -348,19 +348,17 @@ def link_sets(docs: DataFrame, sets: DataFrame, width: int = WIDTH) -> DataFrame
     met = materialize(meetings(signature_rows(docs, width)))
     likely = materialize(possible(met.where("kind = 0").select("a", "b").distinct(), sets))
     texts = texts_of(likely.select(F.col("a").alias("set_id")).union(likely.select("b")))
-    links = materialize(verified(likely, texts, width))
-    placed = components(links)
+    placed = components(verified(likely, texts, width))
     members = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("set_id"))
     mixed = materialize(_mixed(members, placed))
 
     def more_links(members: DataFrame, texts: DataFrame | None) -> None:
-        nonlocal links, placed
+        nonlocal placed
         pairs = materialize(possible(_across(members, sets), sets))
         if pairs.isEmpty():
             return
         texts = texts_of(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b"))) if texts is None else texts
-        links = materialize(links.union(verified(pairs, texts, width)))
-        placed = components(links)
+        placed = extended(placed, materialize(verified(pairs, texts, width)))
 
     more_links(mixed.where(F.col("n") <= SMALL), None)
     crowd = materialize(_mixed(mixed.where(F.col("n") > SMALL).select("key", "set_id"), placed).select("set_id").distinct())

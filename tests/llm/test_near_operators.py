@@ -6,6 +6,7 @@ import numpy as np
 
 import corpus_pipeline
 from auditloom.llm import compact_windows, forest, partenum
+from auditloom.llm.components import components, extended
 from auditloom.llm.common import ship_package
 from tests.conftest import SF_DIR
 from tests.llm.conftest import words
@@ -224,3 +225,41 @@ def test_pipeline_empty(spark, no_docs):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF_DIR)
     assert docs.count() == 0
+
+
+def _groups(placed):
+    out = {}
+    for r in placed.collect():
+        out.setdefault(r.root, set()).add(r.node)
+    return sorted(map(sorted, out.values()))
+
+
+def _joined(edges):
+    parent = {}
+
+    def top(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[top(a)] = top(b)
+    out = {}
+    for x in list(parent):
+        out.setdefault(top(x), set()).add(x)
+    return sorted(map(sorted, out.values()))
+
+
+def test_components(spark, docs):
+    """A long path, a star, random edges and a loop; then further edges, new nodes among them, and none."""
+    rng = random.Random(1)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(rng.randrange(3000, 3400), rng.randrange(3000, 3400)) for _ in range(150)]
+    edges = [e for e in edges if e[0] != e[1]]
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    placed = components(table([*edges, (5, 5)]))
+    assert _groups(placed) == _joined(edges)
+    more = [(150, 1000), (7000, 7001), (7001, 3001), (3001, 3002), (1, 2)]
+    assert _groups(extended(placed, table(more))) == _joined(edges + more)
+    assert _groups(extended(placed, table([]))) == _joined(edges) and _groups(components(table([]))) == []
+    assert _groups(extended(components(table([])), table(more))) == _joined(more)

@@ -179,3 +179,38 @@ def test_quality_without_labels(docs, labelled):
     _, labels, _ = labelled
     model = nbsvm.train(docs, labels.limit(0))
     assert {round(r.score, 9) for r in nbsvm.score(docs, model).collect()} == {0.5}
+
+
+def test_quality_fit_against_plain_solvers(monkeypatch):
+    """Ratios by counting; the hinge-loss optimum against plain subgradient steps on the primal."""
+    monkeypatch.setattr(nbsvm, "FEATURES", 40)
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 40, rng.integers(3, 12))) for _ in range(60)]
+    labels = np.array([int((7 in r) ^ (rng.random() < 0.2)) for r in rows])
+    counts = {y: Counter(f for r, q in zip(rows, labels) if q == y for f in r.tolist()) for y in (0, 1)}
+    totals = {y: sum(c.values()) + 40 * nbsvm.SMOOTHING for y, c in counts.items()}
+    ratio = nbsvm._log_count_ratio(rows, labels)
+    for f in range(40):
+        want = math.log((counts[1][f] + nbsvm.SMOOTHING) / totals[1]) - math.log((counts[0][f] + nbsvm.SMOOTHING) / totals[0])
+        assert math.isclose(ratio[f], want, abs_tol=1e-9)
+    values = nbsvm._values(rows, ratio)
+    x = np.zeros((60, 41))
+    x[:, 40] = 1
+    for i, (r, v) in enumerate(zip(rows, values)):
+        x[i, r] = v
+    signs = np.where(labels == 1, 1.0, -1.0)
+    box = nbsvm.COST * 60 / (2 * np.array([max((labels == y).sum(), 1) for y in labels]))
+    cost = lambda w: 0.5 * w @ w + (box * np.maximum(0, 1 - signs * (x @ w))).sum()
+    weights, bias = nbsvm._coordinate_descent(rows, values, labels, epochs=3000)
+    best, w = math.inf, np.zeros(41)
+    for step in range(1, 30_001):
+        w = w - (w - x.T @ (box * signs * (signs * (x @ w) < 1))) / (step + 10)
+        best = min(best, cost(w))
+    assert cost(np.append(weights, bias)) <= best * 1.001
+
+
+def test_quality_repeated_ids(labelled):
+    """Rows that repeat an id count once in the fit, so the model does not change."""
+    texts, labels, _ = labelled
+    model, again = nbsvm.train(texts, labels), nbsvm.train(texts.union(texts).union(texts.where("doc_id = 1005")), labels)
+    assert np.array_equal(model.weights, again.weights) and (model.bias, model.slope, model.shift) == (again.bias, again.slope, again.shift)
