@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Segments of a generation and neighbours that a worker keeps; beyond that older ones go, which changes speed only.
-KEPT_SEGMENTS = 350_000
+KEPT_SEGMENTS = 230_000
 KEPT_PAIRS = 300_000
 _LOADED: dict[str, PieceCodec] = {}
 
