@@ -398,6 +398,25 @@ def baseline_new(spark, sf_dir):
     return B.new_findings(a.active, _high(a)).select(*SHORT)
 
 
+@query
+def baseline_stored(spark, sf_dir):
+    """New findings by a stored baseline: of all findings first, then replaced by the HIGH and CRITICAL ones."""
+    a, path = _audit(spark, sf_dir), _new_folder(spark)
+    B.write_baseline(a.active, path)
+    B.write_baseline(FD.filter_min_severity(a.active, "HIGH"), path)
+    return B.new_findings(a.active, B.read_baseline(spark, path)).select(*SHORT)
+
+
+@query
+def baseline_updated(spark, sf_dir):
+    """New findings by a baseline of the HIGH and CRITICAL ones in which some repositories got all of theirs."""
+    a, path = _audit(spark, sf_dir), _new_folder(spark)
+    B.write_baseline(FD.filter_min_severity(a.active, "HIGH"), path)
+    B.update_baseline(a.active, a.repos.where("length(repo_id) % 2 = 0"), path)
+    B.update_baseline(a.active.where("false"), a.repos.where("repo_id = 'absent'"), path)
+    return B.new_findings(a.active, B.read_baseline(spark, path)).select(*SHORT)
+
+
 @query
 def baseline_known(spark, sf_dir):
     a = _audit(spark, sf_dir)

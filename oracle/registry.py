@@ -649,6 +649,8 @@ FROM (SELECT repo_id, fingerprint, [
 ORACLES["distinct_fingerprints"] = f"WITH {FULL} SELECT DISTINCT repo_id, fingerprint FROM act"
 KNOWN = "known AS (SELECT DISTINCT repo_id, fingerprint FROM act WHERE severity IN ('CRITICAL', 'HIGH'))"
 ORACLES["baseline_new"] = f"WITH {FULL}, {KNOWN} SELECT {SHORT} FROM act ANTI JOIN known USING (repo_id, fingerprint)"
+ORACLES["baseline_stored"] = ORACLES["baseline_new"]
+ORACLES["baseline_updated"] = f"{ORACLES['baseline_new']} WHERE length(repo_id) % 2 = 1"
 ORACLES["baseline_known"] = f"WITH {FULL}, {KNOWN} SELECT {SHORT} FROM act SEMI JOIN known USING (repo_id, fingerprint)"
 ORACLES["baseline_status"] = f"""WITH {FULL}, {KNOWN},
 f AS (SELECT a.repo_id, k.fingerprint IS NOT NULL AS known FROM act a LEFT JOIN known k USING (repo_id, fingerprint) WHERE severity_rank >= 1),

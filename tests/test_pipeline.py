@@ -94,8 +94,20 @@ def test_baseline_round_trip(spark, make_files, tmp_path):
     known = B.read_baseline(spark, path)
     assert B.new_findings(found, known).count() == 0
     assert B.known_findings(found, known).count() == found.count() == 3
-    assert B.read_baseline(spark, str(tmp_path / "absent")) is None
+    with pytest.warns(UserWarning, match="no baseline"):
+        assert B.read_baseline(spark, str(tmp_path / "absent")) is None
     assert B.new_findings(found, None).count() == 3
+    first = B.baseline_versions(spark, path).first()["version"]
+    assert B.write_baseline(found.where("repo_id = 'a'"), path) != first
+    assert B.new_findings(found, B.read_baseline(spark, path)).count() == 1  # the later version holds
+    assert B.new_findings(found, B.read_baseline(spark, path, first)).count() == 0
+    B.update_baseline(found.where("line = 1"), repos(spark, "a"), path)
+    B.update_baseline(found, repos(spark, "b", "c"), path)
+    assert [(r.repo_id, r.line) for r in B.new_findings(found, B.read_baseline(spark, path)).collect()] == [("a", 2)]
+    (tmp_path / "baseline" / "begun").mkdir()  # a version that was never named is not seen
+    assert B.read_baseline(spark, path).count() == 2 and B.baseline_versions(spark, path).count() == 4
+    empty = B.baseline_status(found, found, found, None).collect()
+    assert {(r.repo_id, r.total_findings, r.new_findings, r.suppressed_findings) for r in empty} == {("a", 2, 2, 0), ("b", 1, 1, 0)}
 
 
 FD_CODE = [i for i, r in enumerate(FD.RULES) if r.family == "code"]
