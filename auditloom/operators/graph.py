@@ -48,11 +48,11 @@ def graph_nodes(files: DataFrame, routes: DataFrame) -> DataFrame:
             F.when(module, _node(_tagged("mod", path), "module", path)),
             F.when(
                 module & F.col("db"),
-                _node(_tagged("db", path), "db_op", F.concat(F.lit("Database Operation ("), base, F.lit(")"))),
+                _node(_tagged("db", path), "db_op", F.concat(F.lit("database use ("), base, F.lit(")"))),
             ),
             F.when(
                 module & F.col("net"),
-                _node(_tagged("net", path), "network_op", F.concat(F.lit("External Call ("), base, F.lit(")"))),
+                _node(_tagged("net", path), "network_op", F.concat(F.lit("network use ("), base, F.lit(")"))),
             ),
         )
     )

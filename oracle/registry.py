@@ -276,7 +276,7 @@ fw_all AS (
     WHERE path = 'requirements.txt' AND contains(lower(content), 'fastapi')
   UNION ALL SELECT repo_id, 2, '1', 'Flask', NULL, 'flask specified in requirements.txt' FROM discovered
     WHERE path = 'requirements.txt' AND contains(lower(content), 'flask')
-  UNION ALL SELECT repo_id, 2, '2', 'PostgreSQL', NULL, 'PostgreSQL driver (psycopg2/asyncpg) in requirements.txt' FROM discovered
+  UNION ALL SELECT repo_id, 2, '2', 'PostgreSQL', NULL, 'driver for PostgreSQL (psycopg2/asyncpg) in requirements.txt' FROM discovered
     WHERE path = 'requirements.txt' AND {has_any('lower(content)', 'psycopg2', 'asyncpg')}
   UNION ALL SELECT repo_id, 3, '0', 'FastAPI', NULL, 'fastapi in pyproject.toml' FROM discovered
     WHERE path = 'pyproject.toml' AND contains(content, 'fastapi')
@@ -319,16 +319,16 @@ manifests AS (
 ORACLES["manifest"] = f"WITH {CORPUS}, {GITIGNORE}, {DEPS}, {DISCOVERY} SELECT * FROM manifests"
 ORACLES["frameworks"] = f"WITH {CORPUS}, {GITIGNORE}, {DEPS}, {DISCOVERY} SELECT * FROM frameworks"
 _DB_DEPS = [
-    (("@supabase/supabase-js",), "'@supabase/supabase-js client'", "database"),
-    (("pg", "postgres", "@types/pg"), f"'PostgreSQL driver (' || CASE WHEN {_dep('pg')} THEN 'pg' ELSE 'postgres' END || ')'", "database"),
+    (("@supabase/supabase-js",), "'Supabase client'", "database"),
+    (("pg", "postgres", "@types/pg"), f"'driver for PostgreSQL (' || CASE WHEN {_dep('pg')} THEN 'pg' ELSE 'postgres' END || ')'", "database"),
     (("prisma", "@prisma/client"), "'Prisma ORM'", "database"),
     (("drizzle-orm",), "'Drizzle ORM'", "database"),
     (("typeorm",), "'TypeORM'", "database"),
-    (("mongoose",), "'Mongoose (MongoDB)'", "database"),
-    (("next-auth", "@auth/core"), f"'NextAuth / Auth.js (' || CASE WHEN {_dep('next-auth')} THEN 'next-auth' ELSE '@auth/core' END || ')'", "auth"),
-    (("@clerk/nextjs", "@clerk/clerk-sdk-node"), "'Clerk Authentication'", "auth"),
+    (("mongoose",), "'Mongoose'", "database"),
+    (("next-auth", "@auth/core"), f"'Auth.js (' || CASE WHEN {_dep('next-auth')} THEN 'next-auth' ELSE '@auth/core' END || ')'", "auth"),
+    (("@clerk/nextjs", "@clerk/clerk-sdk-node"), "'Clerk'", "auth"),
     (("passport",), "'Passport.js'", "auth"),
-    (("jsonwebtoken", "jose"), f"'JWT verification library (' || CASE WHEN {_dep('jsonwebtoken')} THEN 'jsonwebtoken' ELSE 'jose' END || ')'", "auth"),
+    (("jsonwebtoken", "jose"), f"'JWT library (' || CASE WHEN {_dep('jsonwebtoken')} THEN 'jsonwebtoken' ELSE 'jose' END || ')'", "auth"),
     (("firebase-admin", "firebase"), "'Firebase Auth'", "auth"),
 ]
 ORACLES["manifest_items"] = f"""WITH {CORPUS}, {GITIGNORE}, {DEPS}, {DISCOVERY}
@@ -339,20 +339,20 @@ SELECT DISTINCT repo_id, kind, value FROM (
   UNION ALL SELECT repo_id, 'ci_file', path FROM discovered WHERE {CI_FILE}
   UNION ALL SELECT repo_id, 'package_manifest', path FROM discovered WHERE {MANIFEST_FILE}
   UNION ALL SELECT repo_id, 'lockfile', path FROM discovered WHERE ({MANAGER}) IS NOT NULL
-  UNION ALL SELECT repo_id, 'database', 'SQL schemas (' || path || ')' FROM discovered WHERE ext = '.sql'
+  UNION ALL SELECT repo_id, 'database', 'SQL files (' || path || ')' FROM discovered WHERE ext = '.sql'
   UNION ALL SELECT repo_id, 'source_dir', dir FROM dirs WHERE {SOURCE_DIR}
   UNION ALL SELECT repo_id, 'api_dir', dir FROM dirs WHERE {API_DIR}
-  UNION ALL SELECT repo_id, 'database', 'Prisma (prisma/ directory)' FROM dirs WHERE {DIR_NAME} = 'prisma'
-  UNION ALL SELECT repo_id, 'database', 'Drizzle ORM (drizzle/ directory)' FROM dirs WHERE {DIR_NAME} = 'drizzle'
-  UNION ALL SELECT repo_id, 'database', 'Migrations directory (' || dir || ')' FROM dirs WHERE {DIR_NAME} IN ('alembic', 'migrations')
-  UNION ALL SELECT repo_id, 'database', 'Supabase (supabase/ directory)' FROM dirs WHERE {DIR_NAME} = 'supabase'
+  UNION ALL SELECT repo_id, 'database', 'Prisma files in prisma/' FROM dirs WHERE {DIR_NAME} = 'prisma'
+  UNION ALL SELECT repo_id, 'database', 'Drizzle files in drizzle/' FROM dirs WHERE {DIR_NAME} = 'drizzle'
+  UNION ALL SELECT repo_id, 'database', 'migrations below (' || dir || ')' FROM dirs WHERE {DIR_NAME} IN ('alembic', 'migrations')
+  UNION ALL SELECT repo_id, 'database', 'Supabase files in supabase/' FROM dirs WHERE {DIR_NAME} = 'supabase'
   {' '.join(f"UNION ALL SELECT repo_id, {q(kind)}, {label} FROM visible_package WHERE {_dep(*names)}" for names, label, kind in _DB_DEPS)}
-  UNION ALL SELECT repo_id, 'database', 'PostgreSQL Python driver (psycopg2/asyncpg)' FROM discovered
+  UNION ALL SELECT repo_id, 'database', 'Python driver for PostgreSQL' FROM discovered
     WHERE path = 'requirements.txt' AND {has_any('lower(content)', 'psycopg2', 'asyncpg')}
   UNION ALL SELECT repo_id, 'database', 'SQLAlchemy ORM' FROM discovered WHERE path = 'requirements.txt' AND contains(lower(content), 'sqlalchemy')
-  UNION ALL SELECT repo_id, 'auth', 'Python JWT handling (pyjwt/python-jose)' FROM discovered
+  UNION ALL SELECT repo_id, 'auth', 'JWT library for Python' FROM discovered
     WHERE path = 'requirements.txt' AND {has_any('lower(content)', 'pyjwt', 'python-jose')}
-  UNION ALL SELECT repo_id, 'auth', 'Passlib password hashing' FROM discovered WHERE path = 'requirements.txt' AND contains(lower(content), 'passlib'))"""
+  UNION ALL SELECT repo_id, 'auth', 'password hashing with Passlib' FROM discovered WHERE path = 'requirements.txt' AND contains(lower(content), 'passlib'))"""
 ORACLES["languages"] = f"""WITH {CORPUS},
 t AS (SELECT repo_id, CASE WHEN {TS} THEN 'TypeScript' WHEN {JSF} THEN 'JavaScript' WHEN ext = '.py' THEN 'Python'
   WHEN ext = '.sql' THEN 'SQL' END AS language FROM files)
@@ -771,8 +771,8 @@ route_nodes AS (
   FROM (SELECT repo_id, route_id, file, line, unnest(ins) AS i FROM routes))
 SELECT repo_id, 'file:' || path AS node_id, 'file' AS node_type, base AS name, path AS file, NULL::INT AS line FROM modules
 UNION ALL SELECT repo_id, 'mod:' || path, 'module', path, path, NULL FROM modules WHERE is_module
-UNION ALL SELECT repo_id, 'db:' || path, 'db_op', 'Database Operation (' || base || ')', path, NULL FROM modules WHERE is_module AND db
-UNION ALL SELECT repo_id, 'net:' || path, 'network_op', 'External Call (' || base || ')', path, NULL FROM modules WHERE is_module AND net
+UNION ALL SELECT repo_id, 'db:' || path, 'db_op', 'database use (' || base || ')', path, NULL FROM modules WHERE is_module AND db
+UNION ALL SELECT repo_id, 'net:' || path, 'network_op', 'network use (' || base || ')', path, NULL FROM modules WHERE is_module AND net
 UNION ALL SELECT repo_id, node_id, node_type, name, file, line FROM (
   SELECT *, row_number() OVER (PARTITION BY repo_id, node_id ORDER BY file DESC, coalesce(line, 0) DESC) AS rn FROM route_nodes) WHERE rn = 1"""
 ORACLES["graph_edges"] = f"""WITH {CORPUS}, {ROUTES}, {MODULES}
