@@ -1,6 +1,8 @@
 """Approximate nearest neighbours by a forest of random-projection trees and exact reranking.
 
-Trees are fitted on a bounded sample of distinct vectors: a node projects its sample
+Trees stand over vectors with one more coordinate, which gives all of them the
+norm of the longest; on that sphere the largest inner product is the smallest distance.
+They are fitted on a bounded sample of distinct vectors: a node projects its sample
 vectors on the difference of two of them and splits at the median. Every
 vector is then indexed, in one leaf of each tree. A query walks all trees through
 one priority queue, ordered by how far it is from crossing the splits on the way,
@@ -26,10 +28,12 @@ LEAF = 160
 #: Distinct vectors that the trees are fitted on at most.
 SAMPLE = 20_000
 NEAREST = 20
-#: A query takes leaves until they hold this share of all trees' entries, or this many entries if that is more.
-SHARE, LEAST = 0.14, 4000
+#: A query takes leaves until they hold this share of all trees' entries, at every size of the table.
+SHARE = 0.18
 #: Vectors and queries of one leaf that a task holds at most; larger leaves are cut into blocks.
 BLOCK = 20_000
+#: Queries that one task walks through the trees.
+WALKED = 2_000
 EVERY = 20
 SEED = 7
 
@@ -112,6 +116,19 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("embedding") == (length[0] if length else 0)).dropDuplicates(["vec_id", "embedding"])
 
 
+def on_sphere(vectors: np.ndarray, unit: float, radius: float) -> np.ndarray:
+    """Vectors in multiples of ``unit``, with the coordinate that makes each as long as ``radius``."""
+    scaled = vectors / unit
+    rest = np.sqrt(np.maximum(radius * radius - (scaled * scaled).sum(axis=1), 0.0))
+    return np.column_stack([scaled, rest])
+
+
+def towards_sphere(queries: np.ndarray, radius: float) -> np.ndarray:
+    """Queries stretched to ``radius``; their further coordinate is 0, so that inner products keep their order."""
+    scaled = queries / np.abs(queries).max(axis=1, initial=0.0)[:, None]
+    return np.column_stack([scaled * (radius / np.linalg.norm(scaled, axis=1))[:, None], np.zeros(len(queries))])
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
@@ -124,7 +141,7 @@ def nearest(
     trees: int = TREES,
     sample_rows: int = SAMPLE,
     share: float = SHARE,
-    least: int = LEAST,
+    least: int = 0,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``n`` vectors of largest inner product found for each query.
 
@@ -133,7 +150,8 @@ def nearest(
     hold null or non-finite components, ids that are null, and vectors of another length
     than most take no part; repeated rows count once. Fewer candidates than ``n`` are all
     returned; no rows give no rows. Equal vectors are one entry with its n + 1 smallest
-    ids, which can hold no others of the result.
+    ids, which can hold no others of the result. A query takes leaves of ``share`` of all
+    entries, or of ``least`` entries if that is more.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -145,12 +163,16 @@ def nearest(
     total = entries.count()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    forest = spark.sparkContext.broadcast(Forest(_matrix(sample.column(0).combine_chunks()), trees))
+    component = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    unit = entries.agg(F.max(component)).first()[0]
+    squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (x.cast("double") / unit) * (x.cast("double") / unit))
+    radius = float(np.sqrt(entries.agg(F.max(squares)).first()[0]))
+    forest = spark.sparkContext.broadcast(Forest(on_sphere(_matrix(sample.column(0).combine_chunks()), unit, radius), trees))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column("embedding"))
-            leaf = forest.value.assign(x)
+            leaf = forest.value.assign(on_sphere(x, unit, radius))
             packed = pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())
             for t in range(leaf.shape[1]):
                 yield pa.RecordBatch.from_arrays([pa.array(leaf[:, t]), batch.column("ids"), packed], ["leaf", "ids", "vector"])
@@ -166,7 +188,7 @@ def nearest(
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column("embedding"))
-            probes = forest.value.probe(x, sent.value, enough)
+            probes = forest.value.probe(towards_sphere(x, radius), sent.value, enough)
             which = np.repeat(np.arange(len(x)), [len(p) for p in probes])
             packed = pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -175,10 +197,11 @@ def nearest(
             )
 
     asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "embedding")
-    probes = asked.mapInArrow(search, "leaf long, query_id long, vector binary")
-    # A leaf's vectors and queries are cut into blocks by its measured size, so no group grows with the input.
+    queries = asked.count()
+    probes = asked.repartition(queries // WALKED + 1, "vec_id").mapInArrow(search, "leaf long, query_id long, vector binary")
+    # A leaf's vectors are cut into blocks by its measured size and its queries by their number, as a query takes a leaf once.
     vector_blocks = np.maximum(1, -(-sizes // BLOCK))
-    query_blocks = np.maximum(1, -(-np.full(len(sizes), max(total // every, 1)) // BLOCK))
+    query_blocks = np.full(len(sizes), max(1, -(-queries // BLOCK)))
     plan = spark.createDataFrame(pd.DataFrame({"leaf": np.arange(len(sizes)), "vb": vector_blocks, "qb": query_blocks}))
     salted = lambda df, own, other, key: df.join(F.broadcast(plan), "leaf").withColumn("own", F.pmod(F.xxhash64(key), F.col(own))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
     left = salted(indexed, "vb", "qb", "vector").select("leaf", F.col("own").alias("v"), F.col("other").alias("q"), "ids", "vector")

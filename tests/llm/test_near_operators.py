@@ -178,7 +178,8 @@ def test_nearest(spark):
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     rows += [(300 + k, rows[7][1]) for k in range(40)] + [(7, rows[7][1])]
     rows += [(900, None), (920, [0.0] * 8), (940, [float("nan")] * 8), (960, [None] + [1.0] * 7), (980, [1.0, 2.0]), (None, [1.0] * 8), (1000, [])]
-    got = forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    # All leaves are taken, as this is about ranks, ties and rows that take no part; recall of the given share is held below.
+    got = forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), share=1.0).collect()
     valid = {i: np.array(r, np.float64) for i, r in rows[:340]}
     assert {r.query_id for r in got} == {i for i in valid if i % 20 == 0}
     for q in {r.query_id for r in got}:
@@ -200,6 +201,23 @@ def test_nearest_recall(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_nearest_unequal_norms(spark):
+    """Recall by inner product where a few vectors are much longer than most; extra and clashing columns are left alone."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2000, 32))
+    x = x / np.linalg.norm(x, axis=1)[:, None] * rng.lognormal(0, 0.6, 2000)[:, None]
+    rows = [(i, [float(v) for v in r], "a", i % 7) for i, r in enumerate(x)]
+    got = forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, leaf string, score int")).collect()
+    found = {(r.query_id, r.vec_id): r.score for r in got}
+    hits = 0
+    for q in range(0, 2000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += sum((q, int(i)) in found for i in np.argsort(-s)[:20])
+    assert hits / 2000 >= 0.9 and len(found) == 2000
+    assert all(abs(s - x[q] @ x[v]) < 1e-9 for (q, v), s in found.items())
+
+
 def test_nearest_few(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.vec_id) for r in forest.nearest(few).collect()] == [(0, 1)]
