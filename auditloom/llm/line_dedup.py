@@ -1,31 +1,37 @@
 """Line dedup with a suffix array over line ids, built by distributed prefix doubling.
 
-All documents stand end to end, by doc_id, as one sequence of lines with a gap
-after each document. A line that occurs once ends every repeated run, so only places
+All documents stand end to end, by doc_id, as one sequence of their lines that hold
+words, with a gap after each document. Blank lines take no place: a run goes on over
+them, and one alone is no repetition. A line that occurs once ends every repeated run, so only places
 of repeated lines are sorted. A place's rank is where its group begins in the suffix
 order by the first h lines; groups of places that share h lines are the intervals of
 the suffix array whose longest common prefix is h or more. A round orders each
 group by the ranks h places on and doubles h; places that are alone, or whose run
 of repeated lines is used up, have their final rank. Longest common prefixes of neighbours in the
 final order come from the ranks of all rounds, largest step first. Every place of an interval
-of enough lines but the earliest is a later copy, and its lines are deleted: runs of any
-length in without_repeated_lines, those of MIN_LINES or more in the counts of line_report.
+of enough lines but the earliest is a later copy, and its lines are deleted. A blank line goes
+with the nearest line of words above it or, where none is above, with the first one below.
 """
 
 from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from auditloom.llm.common import bucket_count, running_total
 from auditloom.session import materialize
 
-MIN_LINES = 3
-def _range_bucket(column: str, low: int, high: int, buckets: int):
-    width = F.lit(float(max(high - low, 0) + 1))
-    return F.least(F.floor((F.col(column) - F.lit(low)) / width * buckets), F.lit(buckets - 1)).cast("long")
+#: Repeated runs of this many lines or more lose their later copies.
+MIN_LINES = 1
+#: Documents (narrow rows, without texts) that one task orders.
+ORDERED = 50_000
+#: White space as the contracts of this package have it; a line of nothing else is blank.
+SPACES = " \t\n\x0b\x0c\r"
+HAS_WORDS = r"[^\x20\x09-\x0D]"
 
 
 def _keyed(docs: DataFrame, high: int) -> DataFrame:
@@ -34,24 +40,35 @@ def _keyed(docs: DataFrame, high: int) -> DataFrame:
     return docs.select("doc_id", "text", order.alias("__order"), F.xxhash64("text").alias("__text"))
 
 
+def _held_lines():
+    """The lines of a text that hold words."""
+    return F.filter(F.split("text", "\n"), lambda line: line.rlike(HAS_WORDS))
+
+
 def placed_documents(docs: DataFrame) -> tuple[DataFrame, int]:
-    """doc_id, __order, __text, n_lines and __base (the place of the first line) of every row, and the largest id."""
-    rows, low, high = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    low, high = low or 0, high or 0
+    """doc_id, __order, __text, n_lines, n_held (lines with words) and __base (the place of the first of these) of every row, and the largest id.
+
+    Rows are ordered by ranges that hold equally many of them, whatever their ids are.
+    """
+    rows, high = docs.agg(F.count("*"), F.max("doc_id")).first()
+    high = high or 0
     lines = F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(0).cast("long")
-    df = materialize(_keyed(docs, high).select("doc_id", "__order", "__text", lines.alias("n_lines")))
-    df = df.withColumn("__bucket", _range_bucket("__order", low, high + 1, bucket_count(rows)))
-    df = running_total(df, [], "__bucket", ["__order", "__text"], F.col("n_lines") + 1, "__base")
-    return materialize(df.drop("__bucket")), high
+    held = F.coalesce(F.size(_held_lines()), F.lit(0)).cast("long")
+    df = _keyed(docs, high).select("doc_id", "__order", "__text", lines.alias("n_lines"), F.when(lines > 0, held).otherwise(0).alias("n_held"))
+    df = materialize(df.withColumn("__tie", F.monotonically_increasing_id()))
+    order = ["__order", "__text", "__tie"]
+    df = materialize(df.repartitionByRange(rows // ORDERED + 1, *order).withColumn("__bucket", F.spark_partition_id().cast("long")))
+    df = running_total(df, [], "__bucket", order, F.col("n_held") + 1, "__base")
+    return materialize(df.drop("__bucket", "__tie")), high
 
 
 def line_places(docs: DataFrame, placed: DataFrame, high: int) -> DataFrame:
-    """place, h1, h2 (a 128-bit line identity) of every line of every row. Only hashes are moved, never texts."""
-    split = F.expr("transform(split(text, '\\n'), x -> struct(xxhash64(x) as h1, xxhash64(1, x) as h2))")
+    """place, h1, h2 (a 128-bit line identity) of every line with words of every row. Only hashes are moved, never texts."""
+    split = F.transform(_held_lines(), lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2")))
     lines = _keyed(docs, high).where("text != ''").select("__order", "__text", F.posexplode(split).alias("i", "line"))
     # Rows equal in id and text are listed once and take the places of each.
     lines = lines.repartition("__order", "__text").dropDuplicates(["__order", "__text", "i"])
-    own = placed.where("n_lines > 0").select("__order", "__text", "__base")
+    own = placed.where("n_held > 0").select("__order", "__text", "__base")
     return lines.join(own, ["__order", "__text"]).select((F.col("__base") + F.col("i")).alias("place"), "line.h1", "line.h2")
 
 
@@ -95,7 +112,10 @@ def suffix_array(lines: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
         levels.append(level)
         ranks = materialize(double(ranks, h, total))
         h *= 2
-    ordered = ranks.withColumn("__bucket", F.expr(f"rank * {bucket_count(total)}L div {total + 1}L"))
+    # Places that share a rank stand by place, so a large group is cut by place into the ranges that its ranks span.
+    last = ranks.agg(F.max("place")).first()[0]
+    about = F.col("rank") + F.floor(F.col("place") / F.lit(float(last + 1)) * F.col("n")).cast("long")
+    ordered = ranks.withColumn("__bucket", F.floor(about * F.lit(bucket_count(total)) / F.lit(float(total + 1))).cast("long"))
     return levels, materialize(running_total(ordered, [], "__bucket", ["rank", "place"], F.lit(1), "index").select("index", "place"))
 
 
@@ -143,15 +163,15 @@ def _by_document(places: DataFrame, placed: DataFrame, total: int) -> DataFrame:
     """Adds __base of the document that holds each place, by ranges of places and a window over few rows."""
     width = max(1024, math.isqrt(max(total, 1)))
     cut = lambda c: F.expr(f"{c} div {width}L")
-    spans = placed.where("n_lines > 0").select("__base", F.explode(F.sequence(cut("__base"), cut("(__base + n_lines - 1)"))).alias("cut"), (F.col("__base") + F.col("n_lines")).alias("__end"))
+    spans = placed.where("n_held > 0").select("__base", F.explode(F.sequence(cut("__base"), cut("(__base + n_held - 1)"))).alias("cut"), (F.col("__base") + F.col("n_held")).alias("__end"))
     return places.withColumn("cut", cut("place")).join(spans, "cut").where("place >= __base and place < __end").drop("cut", "__end")
 
 
 def analysis(docs: DataFrame, min_lines: int = MIN_LINES) -> tuple[DataFrame, DataFrame]:
-    """placed_documents' columns with n_deleted and longest_run of every row; and the deleted lines (__base, line)."""
+    """placed_documents' columns with n_deleted and longest_run of every row; and the deleted lines (__base, line, numbered over the lines with words)."""
     spark = docs.sparkSession
     placed, high = placed_documents(docs)
-    total = placed.agg(F.max(F.col("__base") + F.col("n_lines"))).first()[0] or 0
+    total = placed.agg(F.max(F.col("__base") + F.col("n_held"))).first()[0] or 0
     levels, order = suffix_array(line_places(docs, placed, high))
     deleted, runs = spark.createDataFrame([], "place long"), spark.createDataFrame([], "place long, length long")
     if levels:
@@ -166,42 +186,77 @@ def analysis(docs: DataFrame, min_lines: int = MIN_LINES) -> tuple[DataFrame, Da
     return report, deleted
 
 
-def line_deletions(docs: DataFrame, min_lines: int = 1) -> DataFrame:
-    """doc_id, __order, __text, __first (the earliest of the rows equal in id and text), n_rows (of these) and lines (deleted, from 0) of each kind of row that loses lines.
+@F.pandas_udf(StringType())
+def _kept(texts: pd.Series, deleted: pd.Series) -> pd.Series:
+    """Texts without the deleted lines (numbered over the lines with words) and the blank lines that go with them."""
+
+    def kept(text: str, gone) -> str:
+        gone, lines, number, out = set(gone), text.split("\n"), -1, []
+        goes = 0 in gone
+        for line in lines:
+            if line.strip(SPACES):
+                number += 1
+                goes = number in gone
+            if not goes:
+                out.append(line)
+        return "\n".join(out)
+
+    return pd.Series([kept(t, g) for t, g in zip(texts, deleted)], dtype=object)
+
+
+def line_deletions(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """__order, __text, __first (the earliest of the rows equal in id and text), n_rows (of these), n_lines, n_deleted, longest_run and lines (deleted, numbered from 0 over the lines with words; null: none) of each kind of row.
 
     Of rows equal in id and text every later one is a copy of the first as a whole, so they all lose the same lines.
     """
     report, deleted = analysis(docs, min_lines)
-    lines = deleted.groupBy("__base").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    lines = deleted.groupBy("__base").agg(F.collect_list("line").alias("lines"))
     equal = report.groupBy("__order", "__text").agg(F.min("__base").alias("__least"), F.count("*").alias("n_rows"))
-    gone = report.where("n_deleted > 0").select("doc_id", "__order", "__text", "__base").join(lines, "__base").join(equal, ["__order", "__text"])
-    kinds = gone.withColumn("__first", F.expr("__base = __least")).groupBy("__order", "__text", "__first")
-    return kinds.agg(F.first("doc_id").alias("doc_id"), F.first("n_rows").alias("n_rows"), F.min_by("lines", "__base").alias("lines"))
+    every = report.join(equal, ["__order", "__text"]).withColumn("__first", F.expr("__base = __least"))
+    columns = ["n_rows", "n_lines", "n_deleted", "longest_run"]
+    # One row stands for the later ones; only its list of lines is read.
+    kinds = every.groupBy("__order", "__text", "__first").agg(F.min("__base").alias("__base"), *[F.max(c).alias(c) for c in columns])
+    return kinds.join(lines, "__base", "left").drop("__base")
 
 
-def without_repeated_lines(docs: DataFrame, min_lines: int = 1) -> DataFrame:
-    """``docs`` with later copies of repeated runs of ``min_lines`` lines or more taken out of ``text``; by default of any length."""
-    gone = materialize(line_deletions(docs, min_lines))
+def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """``docs`` as __row (all its columns), with n_lines, n_deleted (lines with words), longest_run and kept (the text that stays) of every row.
+
+    longest_run is the longest run of lines with words, from some line of the document on, that occurs
+    at another place too. Null texts stay null, empty and blank ones as they are.
+    """
+    kinds = materialize(line_deletions(docs, min_lines))
     high = docs.agg(F.max("doc_id")).first()[0] or 0
     order = F.coalesce(F.col("doc_id"), F.lit(high + 1)).cast("long")
     packed = docs.select(order.alias("__order"), F.xxhash64("text").alias("__text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     # Only rows that have equals are numbered; all others are first.
-    several = gone.where("n_rows > 1").select("__order", "__text").distinct()
+    several = kinds.where("n_rows > 1").select("__order", "__text").distinct()
     own = Window.partitionBy("__order", "__text").orderBy("__text")
     numbered = packed.join(several, ["__order", "__text"], "left_semi").withColumn("__first", F.row_number().over(own) == 1)
     alone = packed.join(several, ["__order", "__text"], "left_anti").withColumn("__first", F.lit(True))
-    rows = numbered.unionByName(alone).join(gone.select("__order", "__text", "__first", "lines"), ["__order", "__text", "__first"], "left")
-    kept = F.expr("array_join(filter(split(__row.text, '\\n'), (x, i) -> not array_contains(lines, cast(i as bigint))), '\\n')")
-    text = F.when(F.col("lines").isNull(), F.col("__row.text")).otherwise(kept)
-    return rows.select(*[text.alias(c) if c == "text" else F.col(f"__row.`{c}`") for c in docs.columns])
+    rows = numbered.unionByName(alone).join(kinds, ["__order", "__text", "__first"])
+    kept = F.when(F.col("lines").isNull(), F.col("__row.text")).otherwise(_kept(F.coalesce(F.col("__row.text"), F.lit("")), F.coalesce("lines", F.expr("array(-1L)"))))
+    return rows.select("__row", "n_lines", "n_deleted", "longest_run", kept.alias("kept"))
+
+
+def without_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """``docs`` with later copies of repeated runs of ``min_lines`` lines or more taken out of ``text``; by default of any length."""
+    rows = deduplicated(docs, min_lines)
+    return rows.select(*[F.col("kept").alias(c) if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
 def line_report(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """doc_id, n_lines, n_deleted, longest_run of every row.
+    """doc_id, n_lines, n_deleted, longest_run of every row, without a look at the texts that stay.
 
     Lines are separated by line feeds and compared as they are. Null and empty texts
-    have no lines. longest_run is the longest run of lines, from some line of
-    the document on, that occurs at another place too. The first occurrence, by doc_id
-    (null last), then a hash of the text, is kept. No rows: no rows.
+    have no lines. n_lines counts all lines, the others those with words. longest_run is the
+    longest run of lines, from some line of the document on, that occurs at another place too.
+    The first occurrence, by doc_id (null last), then a hash of the text, is kept. No rows: no rows.
     """
     return analysis(docs, min_lines)[0].select("doc_id", "n_lines", "n_deleted", "longest_run")
+
+
+def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """line_report's columns with kept_sha256, the hex SHA-256 of the text that stays (null text: null)."""
+    rows = deduplicated(docs.select("doc_id", "text"), min_lines)
+    return rows.select("__row.doc_id", "n_lines", "n_deleted", "longest_run", F.sha2("kept", 256).alias("kept_sha256"))

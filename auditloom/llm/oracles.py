@@ -9,8 +9,10 @@ WITH docs AS (
   SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND text <> ''
 ), lines AS (
   SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM docs
+), told AS (
+  SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS held FROM lines
 ), placed AS (
-  SELECT *, row_number() OVER (ORDER BY doc_id, i) + dense_rank() OVER (ORDER BY doc_id) AS place FROM lines
+  SELECT *, row_number() OVER (ORDER BY doc_id, i) + dense_rank() OVER (ORDER BY doc_id) AS place FROM told WHERE held
 ), pairs AS (
   SELECT a.place AS p, b.place AS q FROM placed a JOIN placed b ON a.line = b.line AND a.place < b.place
 ), islands AS (
@@ -18,13 +20,26 @@ WITH docs AS (
 ), runs AS (
   SELECT d, min(p) AS p0, max(p) AS p1, count(*) AS n FROM islands GROUP BY d, island
 ), deleted AS (
-  SELECT DISTINCT unnest(range(p0 + d, p1 + d + 1)) AS place FROM runs WHERE n >= 3
+  SELECT DISTINCT unnest(range(p0 + d, p1 + d + 1)) AS place FROM runs
 ), longest AS (
   SELECT place, max(n) AS n FROM (SELECT p0 AS place, n FROM runs UNION ALL SELECT p0 + d, n FROM runs) GROUP BY place
+), marked AS (
+  SELECT t.doc_id, t.i, t.line, CASE WHEN t.held THEN x.place IS NOT NULL END AS gone, l.n
+  FROM told t LEFT JOIN placed p USING (doc_id, i) LEFT JOIN deleted x USING (place) LEFT JOIN longest l USING (place)
+), decided AS (
+  SELECT *, coalesce(
+    last_value(gone IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING),
+    first_value(gone IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+    false) AS goes
+  FROM marked
+), counted AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_deleted, max(n) AS longest_run,
+         coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT goes), '') AS kept
+  FROM decided GROUP BY doc_id
 )
-SELECT d.doc_id, count(p.place) AS n_lines, count(x.place) AS n_deleted, coalesce(max(l.n), 0) AS longest_run
-FROM documents d LEFT JOIN placed p USING (doc_id) LEFT JOIN deleted x USING (place) LEFT JOIN longest l USING (place)
-GROUP BY d.doc_id
+SELECT d.doc_id, coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_deleted, 0) AS n_deleted, coalesce(c.longest_run, 0) AS longest_run,
+       CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(c.kept, '')) END AS kept_sha256
+FROM documents d LEFT JOIN counted c USING (doc_id)
 """
 
 ORACLES["op2_shard"] = r"""

@@ -41,7 +41,7 @@ def query(fn):
 
 @query
 def op1_line_dedup(spark, sf_dir):
-    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
 @query

@@ -1,5 +1,7 @@
 """Line dedup, sharding and mixing on awkward rows, against plain Python."""
 
+import hashlib
+import random
 from collections import Counter, defaultdict
 
 from auditloom.llm import line_dedup, mixing, shard
@@ -49,8 +51,57 @@ def test_line_dedup_short_runs(docs):
     assert {r.doc_id: r.text for r in line_dedup.without_repeated_lines(rows).collect()} == {1: "a\nb", 2: "", 3: "x\ny"}
 
 
+def test_line_dedup_blank_lines(docs):
+    """Blank lines alone are no repetition; they go with the line of words above, or below where none is above."""
+    texts = ["x\n\ny\n\nz", "a\n\nb\n \n", "\n\na\n\nb", "p\n\na\n\n\nb\n\nq", "\n \n", "\n\n", "n\n\na", "\n\na\n\nn2"]
+    rows = docs.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(rows).collect()}
+    assert got == {0: texts[0], 1: texts[1], 2: "", 3: "p\n\nq", 4: texts[4], 5: texts[5], 6: "n\n", 7: "n2"}
+    # A run goes on over blank lines.
+    longest = {r.doc_id: r.longest_run for r in line_dedup.line_dedup(rows).collect()}
+    assert longest == {0: 0, 1: 2, 2: 2, 3: 2, 4: 0, 5: 0, 6: 1, 7: 1}
+
+
+def test_line_dedup_brute_force(docs):
+    """Random texts of few lines, with blank lines, nulls and an outlying id: counts, longest runs and kept texts."""
+    rng = random.Random(11)
+    rows = [(i * 3, "\n".join(rng.choice(["", " ", *"abcdefghijklmnop"]) for _ in range(rng.randint(1, 30)))) for i in range(60)]
+    rows += [(500, None), (501, ""), (1 << 60, rows[4][1])]
+    held = [(i, line) for i, line in sorted(_places([(d, "\n".join(x for x in (t or "").split("\n") if x.strip())) for d, t in rows]).items())]
+    at = {place: line for place, (_, line) in held}
+    run = defaultdict(int)
+    for p in at:
+        for q in at:
+            n = 0
+            while p != q and p + n in at and at.get(q + n) == at[p + n]:
+                n += 1
+            run[p] = max(run[p], n)
+    for floor in (1, 3):
+        seen, deleted = set(), set()
+        for p in sorted(at):
+            window = tuple(at.get(p + k) for k in range(floor))
+            if None not in window:
+                deleted |= set(range(p, p + floor)) if window in seen else set()
+                seen.add(window)
+        want, places = {}, defaultdict(list)
+        for place, (k, _) in held:
+            places[k].append(place)
+        for k, (d, t) in enumerate(rows):
+            lines, own, kept = t.split("\n") if t else [], iter(places[k]), []
+            goes = bool(places[k]) and places[k][0] in deleted
+            for line in lines:
+                goes = next(own) in deleted if line.strip() else goes
+                kept += [] if goes else [line]
+            digest = None if t is None else hashlib.sha256("\n".join(kept).encode()).hexdigest()
+            want[d] = (len(lines), len(deleted & set(places[k])), max([run[p] for p in places[k]], default=0), digest)
+        table = docs.sparkSession.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = {r.doc_id: (r.n_lines, r.n_deleted, r.longest_run, r.kept_sha256) for r in line_dedup.line_dedup(table, floor).collect()}
+        assert got == want
+
+
 def test_line_dedup_empty(no_docs):
     assert line_dedup.line_report(no_docs).collect() == []
+    assert line_dedup.line_dedup(no_docs).collect() == []
 
 
 def test_sharding(docs, rows):
