@@ -31,7 +31,6 @@ MIN_LINES = 1
 ORDERED = 50_000
 #: White space as the contracts of this package have it; a line of nothing else is blank.
 SPACES = " \t\n\x0b\x0c\r"
-HAS_WORDS = r"[^\x20\x09-\x0D]"
 
 
 def _keyed(docs: DataFrame, high: int) -> DataFrame:
@@ -42,7 +41,7 @@ def _keyed(docs: DataFrame, high: int) -> DataFrame:
 
 def _held_lines():
     """The lines of a text that hold words."""
-    return F.filter(F.split("text", "\n"), lambda line: line.rlike(HAS_WORDS))
+    return F.filter(F.split("text", "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "")
 
 
 def placed_documents(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -172,7 +171,7 @@ def analysis(docs: DataFrame, min_lines: int = MIN_LINES) -> tuple[DataFrame, Da
     spark = docs.sparkSession
     placed, high = placed_documents(docs)
     total = placed.agg(F.max(F.col("__base") + F.col("n_held"))).first()[0] or 0
-    levels, order = suffix_array(line_places(docs, placed, high))
+    levels, order = suffix_array(materialize(line_places(docs, placed, high)))
     deleted, runs = spark.createDataFrame([], "place long"), spark.createDataFrame([], "place long, length long")
     if levels:
         prefixes = common_prefixes(levels, order)
