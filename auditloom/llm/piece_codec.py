@@ -23,8 +23,10 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Segments of a generation and neighbours that a worker keeps; beyond that older ones go, which changes speed only.
-KEPT_SEGMENTS = 230_000
-KEPT_PAIRS = 300_000
+KEPT_SEGMENTS = 320_000
+KEPT_PAIRS = 600_000
+#: Numbers of pieces and characters take so many bits in a pair's key.
+NUMBER_BITS = 21
 _LOADED: dict[str, PieceCodec] = {}
 
 
@@ -37,8 +39,7 @@ class _Segments(dict):
     def __missing__(self, segment: str) -> bytes:
         ids = self.old.get(segment)
         if ids is None:
-            codec = self.codec
-            ids = array("i", [i for token in codec.tokens(segment) for i in codec.ids_of(token)]).tobytes()
+            ids = b"".join(map(self.codec.coded.__getitem__, self.codec.numbers(segment.replace(" ", SPACE))))
         if len(self) >= KEPT_SEGMENTS:
             self.old = dict(self)
             self.clear()
@@ -46,6 +47,21 @@ class _Segments(dict):
         return ids
 
 
+class _Numbers(dict):
+    """Numbers from 1, in the order in which tokens are met, so that pairs are looked up by an integer; 0 is no token."""
+
+    def __init__(self, codec: PieceCodec):
+        self.codec = codec
+
+    def __missing__(self, token: str) -> int:
+        codec = self.codec
+        self[token] = number = len(codec.names)
+        codec.names.append(token)
+        codec.lengths.append(len(token))
+        codec.coded.append(array("i", codec.ids_of(token)).tobytes())
+        return number
+
+
 class PieceCodec:
     """One sentencepiece BPE model with byte fallback, identity normalisation and a space put in front."""
 
@@ -73,9 +89,11 @@ class PieceCodec:
         self.spaced = {i for p, i in self.id.items() if p.startswith(SPACE)}
         self.is_byte = set(self.byte_id.values())
         self.silent = {i for i in every if not self.written[i]}
-        self.shorter: dict[str, str | None] = {}
-        self.apart: dict[tuple[str | None, str], bool] = {}
-        self.segments = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n").findall
+        self.number, self.names, self.lengths, self.coded = _Numbers(self), [""], [0], [b""]
+        self.shorter: dict[int, int] = {}
+        self.apart: dict[int, bool] = {}
+        # Segments hold plain spaces, which takes a byte a character in most texts.
+        self.segments = re.compile(" +[^ \n]*|[^ \n]+|\n").findall
         self.known = _Segments(self)
 
     @cached_property
@@ -94,8 +112,6 @@ class PieceCodec:
 
         The best-scored adjacent pair is merged first, the leftmost among equals, until none is left.
         """
-        if len(self.apart) >= KEPT_PAIRS:
-            self.apart.clear()
         parts, border, score = [*(left or ""), *right], len(left or ""), self.score.get
         while True:
             best, at = None, -1
@@ -107,14 +123,21 @@ class PieceCodec:
                 break  # nothing is left to merge, or the merge crosses the border
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             border -= at + 1 < border
-        self.apart[left, right] = fits = at < 0 and len(parts) == (1 if left is None else 2)
+        return at < 0 and len(parts) == (1 if left is None else 2)
+
+    def _fits(self, last: int, candidate: int) -> bool:
+        if len(self.apart) >= KEPT_PAIRS:
+            self.apart.clear()
+        fits = self.stay_apart(self.names[last] if last else None, self.names[candidate])
+        self.apart[last << NUMBER_BITS | candidate] = fits
         return fits
 
-    def next_shorter(self, token: str) -> str | None:
-        """The longest piece that the token goes on from, in the end its first character."""
-        if token not in self.shorter:
-            self.shorter[token] = next((token[:k] for k in range(len(token) - 1, 0, -1) if k == 1 or token[:k] in self.id), None)
-        return self.shorter[token]
+    def _next_shorter(self, candidate: int) -> int:
+        """The longest piece that the token goes on from, in the end its first character; then 0."""
+        token = self.names[candidate]
+        shorter = next((token[:k] for k in range(len(token) - 1, 0, -1) if k == 1 or token[:k] in self.id), None)
+        self.shorter[candidate] = number = self.number[shorter] if shorter else 0
+        return number
 
     def longest_matches(self, text: str) -> list[int]:
         """Length of the longest piece that starts at each place; 1 where none does."""
@@ -124,34 +147,48 @@ class PieceCodec:
                 longest[last - end] = length
         return longest
 
-    def tokens(self, text: str) -> list[str]:
-        """The text's pieces, and characters that are none."""
-        longest, tokens, at = self.longest_matches(text), [], 0
+    def numbers(self, text: str) -> list[int]:
+        """Numbers of the text's pieces, and of characters that are none."""
+        if not text:
+            return []
+        number, lengths = self.number, self.lengths
         known, shorter = self.apart.get, self.shorter.get
-        failed = bytearray(len(text) // 8 + 1)
-        candidate = text[: longest[0]] if text else None
-        while at < len(text):
-            last = tokens[-1] if tokens else None
-            while candidate is not None:
-                end = at + len(candidate)
+        if text in self.id:  # the longest match at the first place is the text
+            whole = number[text]
+            fits = known(whole)
+            if self._fits(0, whole) if fits is None else fits:
+                return [whole]
+        longest, found, at, last, size = self.longest_matches(text), [], 0, 0, len(text)
+        failed = bytearray(size // 8 + 1)
+        candidate = number[text[: longest[0]]]
+        while at < size:
+            while candidate:
+                end = at + lengths[candidate]
                 if not failed[end >> 3] >> (end & 7) & 1:
-                    fits = known((last, candidate))
+                    fits = known(last << NUMBER_BITS | candidate)
                     if fits is None:
-                        fits = self.stay_apart(last, candidate)
+                        fits = self._fits(last, candidate)
                     if fits:
                         break
-                candidate = shorter(candidate) or self.next_shorter(candidate)
-            if candidate is None:
-                if last is None:
+                after = shorter(candidate)
+                candidate = self._next_shorter(candidate) if after is None else after
+            if candidate:
+                found.append(candidate)
+                last, at = candidate, end
+                if at < size:
+                    candidate = number[text[at : at + longest[at]]]
+            else:
+                if not last:
                     raise ValueError("the model's merges contradict themselves")
                 failed[at >> 3] |= 1 << (at & 7)
-                candidate = tokens.pop()  # its end has failed, so a shorter one comes next
-                at -= len(candidate)
-            else:
-                tokens.append(candidate)
-                at = end
-                candidate = text[at : at + longest[at]] if at < len(text) else None
-        return tokens
+                # The last token's end has failed, so a shorter one comes next.
+                candidate = found.pop()
+                last, at = found[-1] if found else 0, at - lengths[candidate]
+        return found
+
+    def tokens(self, text: str) -> list[str]:
+        """The text's pieces, and characters that are none."""
+        return [self.names[n] for n in self.numbers(text)]
 
     def ids_of(self, token: str) -> list[int]:
         """The piece's id, or those of the bytes of a character that is no piece."""
@@ -160,7 +197,7 @@ class PieceCodec:
 
     def encode(self, text: str) -> bytes:
         """Ids as bytes of 32-bit integers."""
-        return b"".join(map(self.known.__getitem__, self.segments(SPACE + text.replace(" ", SPACE)))) if text else b""
+        return b"".join(map(self.known.__getitem__, self.segments(" " + text.replace(SPACE, " ")))) if text else b""
 
     def decode(self, ids: list[int]) -> str:
         """The text of any ids of the model, special ids among them; byte runs that are no UTF-8 give U+FFFD for each bad byte."""
