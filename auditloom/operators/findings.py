@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from auditloom.functions.regex import java_pattern, strip
 from auditloom.functions.text import constant_array, constant_map, fingerprint, with_masked_snippet
 from auditloom.operators import fixed_values as V
+from auditloom.operators.prose import prose_of
 from auditloom.operators.rules import RULES, Rule
 from auditloom.sources.files import small_side
 
@@ -32,6 +33,8 @@ FINDING_COLUMNS = (
 )
 
 
+#: What :func:`enrich_findings` adds; all text but the last, a list.
+PROSE_COLUMNS = ("description", "impact", "production_impact", "remediation", "confidence_reason", "references")
 #: Rules whose finding stands for a set of names, told in full by :func:`finding_evidence`.
 SET_RULES = ("CONFIG-005", "CONFIG-007")
 
@@ -160,106 +163,31 @@ def sort_findings(findings: DataFrame) -> DataFrame:
 
 # --- report prose -------------------------------------------------------------------------
 
-_CATEGORY_PROSE = {
-    "Secrets": (
-        "Anyone who can read the repository can use the credential.",
-        "Revoke it, load it from a secret store and clean the history.",
-    ),
-    "Configuration": (
-        "Settings meant for development weaken the running service.",
-        "Move the setting to the environment of each stage and keep it out of the repository.",
-    ),
-    "Dependencies": (
-        "Builds may differ between machines or pull in code nobody reviewed.",
-        "Pin exact versions, commit a lockfile and replace doubtful packages.",
-    ),
-    "API": (
-        "Callers may read or change data that is not theirs.",
-        "Check the caller's right to the addressed resource and validate every parameter.",
-    ),
-    "Authorization": (
-        "A caller can gain rights by changing a request or client state.",
-        "Decide on the server from the session, for every protected resource.",
-    ),
-    "Authentication": (
-        "Tokens, cookies or passwords can be stolen or forged.",
-        "Verify signatures, limit lifetimes, hash passwords and protect cookies.",
-    ),
-    "Security": (
-        "Crafted input can run as code or reach systems behind the service.",
-        "Avoid dynamic evaluation and pass input as separate, validated arguments.",
-    ),
-    "Database": (
-        "Crafted input can read or change any row.",
-        "Use placeholders and bind the values.",
-    ),
-    "Privacy": (
-        "Logs or responses carry data that should stay inside the service.",
-        "Log identifiers only and return generic messages.",
-    ),
-    "Reliability": (
-        "Faults stay hidden or block other requests.",
-        "Handle errors, bound waiting times and bound memory.",
-    ),
-    "Observability": (
-        "Operators cannot see or drain the service.",
-        "Add a health endpoint, a shutdown handler and structured logs.",
-    ),
-    "Deployment": (
-        "The container or pipeline grants more than it needs.",
-        "Run as a plain user, pin images and actions, keep secrets out of layers and logs.",
-    ),
-    "Testing": (
-        "Changes reach production unchecked.",
-        "Add tests and run them in the pipeline.",
-    ),
-    "Data Safety": (
-        "Personal or secret data leaves the service.",
-        "Drop sensitive fields before logging or answering.",
-    ),
-}
-DEFAULT_REASON = "A fixed pattern of this rule matched the source text."
-
 
 def rule_catalog(spark: SparkSession, user_rules: Sequence[Rule] = ()) -> DataFrame:
     """One row per way a rule can fire, with the prose shown in reports."""
     table = list(RULES) + list(user_rules)
-    default = ("The rule points at a risk in this place.", "Review the place and correct it.")
-    rows = [
-        (
-            i,
-            r.rule_id,
-            r.title,
-            r.category,
-            r.subcategory,
-            r.analyzer,
-            r.severity,
-            r.confidence,
-            f"{r.title} ({r.category}).",
-            *_CATEGORY_PROSE.get(r.category, default),
-            None,
-        )
-        for i, r in enumerate(table)
-    ]
-    schema = T.StructType(
-        [T.StructField("ord", T.IntegerType(), False)]
-        + [
-            T.StructField(n, T.StringType())
-            for n in (
-                "rule_id title category subcategory analyzer severity confidence description impact remediation"
-                " confidence_reason"
-            ).split()
-        ]
-    )
-    return spark.createDataFrame(rows, schema)
+    facts = ("rule_id", "title", "category", "subcategory", "analyzer", "severity", "confidence")
+    rows = []
+    for i, r in enumerate(table):
+        prose = prose_of(r.rule_id, r.title, r.category)
+        rows.append((i, *[getattr(r, n) for n in facts], *[getattr(prose, n) for n in PROSE_COLUMNS]))
+    text = [T.StructField(n, T.StringType()) for n in (*facts, *PROSE_COLUMNS[:-1])]
+    listed = T.StructField(PROSE_COLUMNS[-1], T.ArrayType(T.StringType()))
+    return spark.createDataFrame(rows, T.StructType([T.StructField("ord", T.IntegerType(), False), *text, listed]))
 
 
 def enrich_findings(findings: DataFrame, user_rules: Sequence[Rule] = ()) -> DataFrame:
-    """Attach report prose; the catalog has a fixed number of rows, so it is broadcast."""
-    prose = rule_catalog(findings.sparkSession, user_rules).select(
-        "ord", "description", "impact", "remediation", "confidence_reason"
-    )
-    return findings.join(F.broadcast(prose), "ord", "left")
+    """Attach report prose; the catalog has a fixed number of rows, so it is broadcast.
+
+    Findings of rules that the catalog does not know, of custom analyzers too, get general text.
+    """
+    prose = rule_catalog(findings.sparkSession, user_rules).select("ord", *PROSE_COLUMNS)
+    general = prose_of("", "", "")
+    told = {n: F.coalesce(n, F.lit(getattr(general, n))) for n in PROSE_COLUMNS[1:-1]}
+    told["description"] = F.coalesce("description", F.concat("title", F.lit(" ("), "category", F.lit(").")))
+    told["references"] = F.coalesce("references", F.array().cast("array<string>"))
+    return findings.join(F.broadcast(prose), "ord", "left").withColumns(told)
 
 
 def find_by_id(findings: DataFrame, wanted: str) -> DataFrame:
@@ -313,7 +241,7 @@ def explain(findings: DataFrame, flows: DataFrame | None = None) -> DataFrame:
     """(repo_id, fingerprint, position, section, body): the record shown for a finding.
 
     With ``flows`` of the audited files, HOW tells the flows that end on the finding's line;
-    where none does, the section is left out.
+    where none does, the section is left out, as REFERENCES is for rules without any.
     """
     place = F.concat(F.coalesce(F.col("file"), F.lit("unknown")), F.lit(":"), F.coalesce(F.col("line"), F.lit(1)))
     label = F.when(F.col("subcategory").isNull(), F.col("category")).otherwise(
@@ -328,16 +256,18 @@ def explain(findings: DataFrame, flows: DataFrame | None = None) -> DataFrame:
         ("LOCATION", place),
         ("WHAT", F.col("description")),
         ("WHERE", F.concat(place, F.lit(" | "), F.col("snippet"))),
-        ("WHY", F.coalesce(F.col("confidence_reason"), F.lit(DEFAULT_REASON))),
+        ("WHY", F.col("confidence_reason")),
         ("IMPACT", F.col("impact")),
+        ("PRODUCTION", F.col("production_impact")),
         ("FIX", F.col("remediation")),
+        ("REFERENCES", F.array_join("references", "\n")),
     ]
     told = enrich_findings(findings)
     if flows is not None:
         told = told.join(flow_steps(findings, flows), ["repo_id", "fingerprint"], "left")
         sections.insert(next(i for i, (n, _) in enumerate(sections) if n == "IMPACT"), ("HOW", F.col("how")))
     packed = F.array(*[F.struct(F.lit(n).alias("section"), body.alias("body")) for n, body in sections])
-    packed = F.filter(packed, lambda s: (s["section"] != "HOW") | s["body"].isNotNull())
+    packed = F.filter(packed, lambda s: ~s["section"].isin("HOW", "REFERENCES") | (F.coalesce(s["body"], F.lit("")) != ""))
     return (
         told.select("repo_id", "fingerprint", F.posexplode(packed).alias("position", "s"))
         .select("repo_id", "fingerprint", "position", "s.section", "s.body")

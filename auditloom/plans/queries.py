@@ -356,7 +356,8 @@ def sorted_findings(spark, sf_dir):
 def enriched(spark, sf_dir):
     return FD.enrich_findings(_audit(spark, sf_dir).findings).select(
         "repo_id", "fingerprint", "rule_id", "title", "category", "subcategory", "analyzer", "severity_rank",
-        "description", "impact", "remediation",
+        "description", "impact", "production_impact", "remediation", "confidence_reason",
+        F.array_join("references", "\n").alias("sources"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from auditloom.functions.text import ANSI_CODE
 from auditloom.operators import fixed_values as V
 from auditloom.operators.rules import FAMILIES, RULES, family_rules, ordinals
@@ -549,8 +551,19 @@ ORACLES["inline_markers"] = f"""WITH {CORPUS}, {MARKERS}
 SELECT repo_id, path, 0 AS line, marker FROM file_markers UNION ALL SELECT repo_id, path, line::INT, marker FROM line_markers"""
 ORACLES["filter_category"] = f"WITH {FULL} SELECT {SHORT} FROM act WHERE lower(category) = 'security'"
 ORACLES["filter_severity"] = f"WITH {FULL} SELECT {SHORT} FROM act WHERE severity IN ('CRITICAL', 'HIGH')"
-ORACLES["search"] = f"""WITH {FULL} SELECT {SHORT} FROM act
-WHERE severity = 'CRITICAL' AND contains(lower(concat_ws(' ', title, rule_id, file, title || ' (' || category || ').')), 'sql')"""
+def _prose_values() -> str:
+    from auditloom.operators.prose import RULE_PROSE
+
+    return ", ".join(
+        f"({', '.join(map(q, (rule, *texts[:-1], chr(10).join(texts.references), json.dumps(texts.references, separators=(',', ':')))))})"
+        for rule, texts in RULE_PROSE.items()
+    )
+
+
+PROSE = f"""prose AS (SELECT * FROM (VALUES {_prose_values()})
+  p(rule_id, description, impact, production_impact, remediation, confidence_reason, sources, sources_json))"""
+ORACLES["search"] = f"""WITH {FULL}, {PROSE} SELECT {SHORT} FROM act JOIN prose USING (rule_id)
+WHERE severity = 'CRITICAL' AND contains(lower(concat_ws(' ', title, rule_id, file, description)), 'sql')"""
 ORACLES["sorted_findings"] = f"WITH {FULL} SELECT {SHORT} FROM act ORDER BY severity_rank DESC, repo_id, file, line"
 
 # the same audit over the files each repository's own policy keeps
@@ -623,20 +636,13 @@ FROM conversations"""
 # --- prose, baselines ------------------------------------------------------------------------------------------------
 
 
-def _prose_values() -> str:
-    from auditloom.operators.findings import _CATEGORY_PROSE
-
-    return ", ".join(f"({q(c)}, {q(i)}, {q(r)})" for c, (i, r) in _CATEGORY_PROSE.items())
-
-
-PROSE = f"prose AS (SELECT * FROM (VALUES {_prose_values()}) p(category, impact, remediation))"
 ORACLES["enriched"] = f"""WITH {FULL}, {PROSE}
 SELECT repo_id, fingerprint, rule_id, title, category, subcategory, analyzer, severity_rank,
-  title || ' (' || category || ').' AS description, impact, remediation FROM act JOIN prose USING (category)"""
+  description, impact, production_impact, remediation, confidence_reason, sources FROM act JOIN prose USING (rule_id)"""
 ORACLES["explain"] = f"""WITH {FULL}, {PROSE},
 one AS (
-  SELECT *, coalesce(file, 'unknown') || ':' || coalesce(line, 1) AS place, title || ' (' || category || ').' AS description
-  FROM act JOIN prose USING (category) WHERE upper(rule_id) = 'CODE-004'
+  SELECT *, coalesce(file, 'unknown') || ':' || coalesce(line, 1) AS place
+  FROM act JOIN prose USING (rule_id) WHERE upper(rule_id) = 'CODE-004'
   QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY coalesce(file, ''), coalesce(line, 0), fingerprint) = 1)
 SELECT repo_id, fingerprint, (generate_subscripts(parts, 1) - 1)::INT AS position, unnest(parts).a AS section, unnest(parts).b AS body
 FROM (SELECT repo_id, fingerprint, [
@@ -644,8 +650,9 @@ FROM (SELECT repo_id, fingerprint, [
   {{'a': 'CATEGORY', 'b': category || CASE WHEN subcategory IS NULL THEN '' ELSE ' (' || subcategory || ')' END}},
   {{'a': 'SEVERITY', 'b': severity}}, {{'a': 'CONFIDENCE', 'b': confidence}}, {{'a': 'LOCATION', 'b': place}},
   {{'a': 'WHAT', 'b': description}}, {{'a': 'WHERE', 'b': place || ' | ' || snippet}},
-  {{'a': 'WHY', 'b': 'A fixed pattern of this rule matched the source text.'}},
-  {{'a': 'IMPACT', 'b': impact}}, {{'a': 'FIX', 'b': remediation}}] AS parts FROM one)"""
+  {{'a': 'WHY', 'b': confidence_reason}},
+  {{'a': 'IMPACT', 'b': impact}}, {{'a': 'PRODUCTION', 'b': production_impact}}, {{'a': 'FIX', 'b': remediation}},
+  {{'a': 'REFERENCES', 'b': sources}}] AS parts FROM one)"""
 ORACLES["distinct_fingerprints"] = f"WITH {FULL} SELECT DISTINCT repo_id, fingerprint FROM act"
 KNOWN = "known AS (SELECT DISTINCT repo_id, fingerprint FROM act WHERE severity IN ('CRITICAL', 'HIGH'))"
 ORACLES["baseline_new"] = f"WITH {FULL}, {KNOWN} SELECT {SHORT} FROM act ANTI JOIN known USING (repo_id, fingerprint)"
@@ -791,15 +798,15 @@ SELECT repo_id, (SELECT count(*) FROM routes r WHERE r.repo_id = m.repo_id) AS r
 # --- reports ---------------------------------------------------------------------------------------------------------------------
 
 LEVEL = "CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'error' WHEN severity = 'MEDIUM' THEN 'warning' ELSE 'note' END"
-ORACLES["sarif_results"] = f"""WITH {FULL}
+ORACLES["sarif_results"] = f"""WITH {FULL}, {PROSE}
 SELECT repo_id, rule_id, {LEVEL} AS level, coalesce(file, 'UNKNOWN') AS uri, coalesce(line, 1) AS start_line,
-  title || ': ' || title || ' (' || category || ').' AS message, fingerprint FROM act"""
+  title || ': ' || description AS message, fingerprint FROM act JOIN prose USING (rule_id)"""
 ORACLES["sarif_rules"] = f"""WITH {FULL}, {PROSE}
 SELECT repo_id, rule_id, regexp_replace(rule_id, '[^a-zA-Z0-9]', '', 'g') AS name, title AS short_description,
-  title || ' (' || category || ').' AS full_description, {LEVEL} AS level,
-  title || ' (' || category || ').' || chr(10) || chr(10) || 'Impact:' || chr(10) || impact || chr(10) || chr(10)
+  description AS full_description, {LEVEL} AS level,
+  description || chr(10) || chr(10) || 'Impact:' || chr(10) || impact || chr(10) || chr(10)
     || 'Remediation:' || chr(10) || remediation AS help
-FROM act JOIN prose USING (category)
+FROM act JOIN prose USING (rule_id)
 QUALIFY row_number() OVER (PARTITION BY repo_id, rule_id ORDER BY coalesce(file, ''), coalesce(line, 0), fingerprint) = 1"""
 
 _FIELDS = """rule_id, title, category, subcategory, analyzer, severity, severity_rank, confidence, file, line, snippet, fingerprint"""
@@ -830,8 +837,8 @@ steps AS (
 _EXPLAINED = ORACLES["explain"].split(f"WITH {FULL}, {PROSE},", 1)[1]
 ORACLES["explain_flows"] = f"""WITH {FULL}, {PROSE}, {_FLOW_CTES.strip()}, flows AS (SELECT repo_id, 'flow-'{_FLOW_SELECT}),{_STEPS},
 one AS (
-  SELECT *, coalesce(file, 'unknown') || ':' || coalesce(line, 1) AS place, title || ' (' || category || ').' AS description
-  FROM act JOIN prose USING (category) JOIN steps USING (repo_id, file, line))
+  SELECT *, coalesce(file, 'unknown') || ':' || coalesce(line, 1) AS place
+  FROM act JOIN prose USING (rule_id) JOIN steps USING (repo_id, file, line))
 SELECT{_EXPLAINED.split(" = 1)", 1)[1].split("SELECT", 1)[1]}""".replace("{'a': 'IMPACT'", "{'a': 'HOW', 'b': how}, {'a': 'IMPACT'")
 
 
@@ -867,7 +874,8 @@ _REPORT = {
     ),
     "baseline_status": (_KNOWN_NONE, "''"),
     "findings": (
-        f"SELECT repo_id, {_FIELDS}, title || ' (' || category || ').' AS description, impact, remediation FROM act JOIN prose USING (category)",
+        f"""SELECT repo_id, {_FIELDS}, description, impact, production_impact, remediation, confidence_reason,
+  sources_json AS "references" FROM act JOIN prose USING (rule_id)""",
         _FINDING_KEY,
     ),
     "scores": ("SELECT * FROM scored", "''"),
@@ -913,7 +921,7 @@ ORACLES["sarif_report"] = f"""WITH {FULL}, {PROSE},
 rules AS ({ORACLES["sarif_rules"].split(PROSE, 1)[1]}),
 numbered AS (SELECT *, (row_number() OVER (PARTITION BY repo_id ORDER BY rule_id) - 1)::INT AS rule_index FROM rules)
 SELECT repo_id, 'rules' AS section, rule_index, rule_id, level, help AS text, name AS place, NULL::INT AS start_line, full_description AS told FROM numbered
-UNION ALL SELECT a.repo_id, 'results', n.rule_index, a.rule_id, {LEVEL.replace('severity', 'a.severity')}, a.title || ': ' || a.title || ' (' || a.category || ').',
+UNION ALL SELECT a.repo_id, 'results', n.rule_index, a.rule_id, {LEVEL.replace('severity', 'a.severity')}, a.title || ': ' || n.full_description,
   coalesce(a.file, 'UNKNOWN'), coalesce(a.line, 1), a.fingerprint FROM act a JOIN numbered n USING (repo_id, rule_id)"""
 ORACLES["written_reports"] = f"""WITH {CORPUS}
 SELECT repo_id, kind, repo_id || '.' || kind AS file, true AS filled FROM (SELECT DISTINCT repo_id FROM source), (VALUES ('json'), ('sarif')) k(kind)"""

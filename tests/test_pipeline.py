@@ -21,6 +21,7 @@ from auditloom.operators import scoring as S
 from auditloom.operators import suppress as SP
 from auditloom.operators.custom import run_custom
 from auditloom.operators.digest import explode_hits, rule_hits
+from auditloom.operators.prose import RULE_PROSE
 from auditloom.plans.audit import Audit, family_findings
 from auditloom.sources.corpus import corpus_files
 from auditloom.sources.files import filter_ignored_paths, load_policies
@@ -378,6 +379,26 @@ def test_explain_how(spark, make_files):
     assert not [r for r in FD.explain(found).collect() if r.section == "HOW"]
 
 
+def test_every_rule_has_prose():
+    assert {r.rule_id for r in FD.RULES} == set(RULE_PROSE)
+    for prose in RULE_PROSE.values():
+        assert all(prose[:-1]) and prose.references and all(r.startswith("https://") for r in prose.references)
+        assert all(len(text) < 200 and text.endswith(".") for text in prose[:-1])
+
+
+def test_explain_tells_rule_and_references(spark, make_files):
+    files = make_files({("r", "a.js"): "eval(a);"})
+    found = FD.dedup_findings(family_findings(files, [i for i, r in enumerate(FD.RULES) if r.rule_id == "CODE-001"]))
+    told = {r.section: r.body for r in FD.explain(found).collect()}
+    prose = RULE_PROSE["CODE-001"]
+    assert (told["WHAT"], told["IMPACT"], told["PRODUCTION"], told["FIX"], told["WHY"]) == prose[:5]
+    assert told["REFERENCES"].split("\n") == ["https://cwe.mitre.org/data/definitions/95.html"]
+    own = FD.explain(found.withColumn("ord", F.lit(10_000))).collect()
+    told = {r.section: r.body for r in own}
+    assert told["WHAT"] == "eval call (Security)." and "REFERENCES" not in told and all(told.values())
+    assert [r.position for r in own] == list(range(len(own)))
+
+
 def test_failing_analyzer_does_not_stop_others(spark, make_files):
     files = make_files({("r", "a.js"): "eval(a);"})
 
