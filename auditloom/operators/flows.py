@@ -2,44 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.functions.regex import has, java_pattern, strip
 from auditloom.operators import fixed_values as V
-from auditloom.operators.digest import split_lines
+from auditloom.operators.digest import split_lines, with_barrier
 from auditloom.operators.roles import any_of
 
 
 def flow_events(files: DataFrame) -> DataFrame:
-    """Source assignments and identifiers on sink lines, as rows (repo_id, path, line, ...)."""
+    """Source assignments and identifiers on sink lines, as rows (repo_id, path, line, ...); contents are read once.
+
+    A file or line is searched only where its lower-case text holds one of the words that every match has.
+    """
     source_rx = java_pattern(V.SOURCE_ASSIGNMENT, True)
-    text = F.col("text")
-    kinds = F.array_compact(F.array(*[F.when(has(text, p), F.lit(k)) for k, p in V.FLOW_SINKS.items()]))
-    lines = (
-        files.filter(F.col("path").rlike(java_pattern(V.FLOW_PATH)) & has(F.col("content"), V.USER_INPUT))
-        .select("repo_id", "path", F.posexplode_outer(split_lines(F.col("content"))).alias("pos", "text"))
-        .filter(text.rlike(source_rx) | any_of(*[has(text, p) for p in V.FLOW_SINKS.values()]))
-        .select(
-            "repo_id",
-            "path",
-            (F.col("pos") + 1).alias("line"),
-            "text",
-            F.regexp_extract(text, source_rx, 1).alias("assigned"),
-            F.regexp_extract(text, source_rx, 2).alias("source_expr"),
-            kinds.alias("kinds"),
-        )
+    text, low = F.col("text"), F.col("low")
+    holds_input = any_of(*[low.contains(w) for w in V.USER_INPUT_WORDS])
+    sinks = {k: any_of(*[low.contains(w) for w in V.FLOW_SINK_WORDS[k]]) & has(text, p) for k, p in V.FLOW_SINKS.items()}
+    asking = with_barrier(files.filter(F.col("path").rlike(java_pattern(V.FLOW_PATH))), {"low": F.lower("content")})
+    each_line = asking.filter(holds_input & has(F.col("content"), V.USER_INPUT)).select(
+        "repo_id", "path", F.posexplode_outer(split_lines(F.col("content"))).alias("pos", "text")
     )
-    sources = lines.filter(F.col("assigned") != "").select(
-        "repo_id", "path", "line", F.lit(0).alias("step"), F.col("assigned").alias("var"), "source_expr",
-        F.lit(None).cast("string").alias("sink_expr"), F.lit(None).cast("array<string>").alias("kinds"),
+    found = {
+        "assigned": F.when(holds_input, F.regexp_extract(text, source_rx, 1)).otherwise(F.lit("")),
+        "kinds": F.array_compact(F.array(*[F.when(there, F.lit(k)) for k, there in sinks.items()])),
+    }
+    lines = with_barrier(with_barrier(each_line, {"low": F.lower(text)}), found).filter(
+        (F.col("assigned") != "") | (F.size("kinds") > 0)
     )
+
+    def event(step: int, var: Column, source_expr: Column, sink_expr: Column, kinds: Column) -> Column:
+        return F.struct(
+            F.lit(step).alias("step"), var.alias("var"), source_expr.alias("source_expr"),
+            sink_expr.alias("sink_expr"), kinds.alias("kinds"),
+        )
+
+    no_text, no_kinds = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    source = event(0, F.col("assigned"), F.regexp_extract(text, source_rx, 2), no_text, no_kinds)
     words = F.array_distinct(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9_]+)"), 1))
-    sinks = lines.filter(F.size("kinds") > 0).select(
-        "repo_id", "path", "line", F.lit(1).alias("step"), F.explode_outer(words).alias("var"),
-        F.lit(None).cast("string").alias("source_expr"), strip(text).alias("sink_expr"), "kinds",
+    used = F.transform(words, lambda w: event(1, w, no_text, strip(text), F.col("kinds")))
+    events = F.array_compact(
+        F.concat(
+            F.array(F.when(F.col("assigned") != "", source)), F.when(F.size("kinds") > 0, used).otherwise(F.slice(used, 1, 0))
+        )
     )
-    return sources.unionByName(sinks).filter(~F.col("var").rlike("^[0-9]"))
+    rows = lines.select("repo_id", "path", (F.col("pos") + 1).alias("line"), F.explode(events).alias("e"))
+    return rows.select("repo_id", "path", "line", "e.*").filter(~F.col("var").rlike("^[0-9]"))
 
 
 def taint_flows(files: DataFrame) -> DataFrame:
