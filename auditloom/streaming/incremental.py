@@ -37,6 +37,11 @@ def batch_findings(arrived: DataFrame) -> DataFrame:
     return dedup_findings(to_findings(explode_hits(rule_hits(filter_ignored_paths(arrived)))))
 
 
+def dealt(batch: DataFrame) -> DataFrame:
+    """A micro-batch over all cores: it comes from few files, and a file of one row group is one task."""
+    return batch.repartition(batch.sparkSession.sparkContext.defaultParallelism, "repo_id", "path")
+
+
 class ToldFindings:
     """The findings told by each micro-batch, below ``path``.
 
@@ -96,7 +101,7 @@ def start_incremental_audit(
 
     def write(batch: DataFrame, number: int) -> None:
         known = read_baseline(batch.sparkSession, baseline_path) if baseline_path else None
-        sink(new_findings(told.tell(batch_findings(batch), number), known), number)
+        sink(new_findings(told.tell(batch_findings(dealt(batch)), number), known), number)
 
     return (
         arriving.writeStream.outputMode("append")
