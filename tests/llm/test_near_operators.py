@@ -147,6 +147,32 @@ def test_repeated_passages_crowd(spark):
     assert len(want) > 100 and all(max(p) < 60 for p in got) and all(joined[x] == joined[y] for x, y in want)
 
 
+def test_repeated_passages_common_line(spark):
+    """Pairs of texts with a passage of their own, each with one edit, among texts that share a line too short for a passage: each pair is found, and the line makes no pairs."""
+    rng = random.Random(21)
+    line, other, rows = words(rng, 16), words(rng, 40), []
+    for k in range(40):
+        passage = words(rng, 17) + line + words(rng, 17)
+        edited = passage[:25] + ["new"] + passage[26:] if k % 2 else passage[:9] + ["new"] + passage[10:]
+        rows += [(2 * k, words(rng, 30) + passage + words(rng, 30)), (2 * k + 1, words(rng, 45) + edited + words(rng, 20))]
+    rows += [(200 + k, words(rng, 30) + other + words(rng, 30)) for k in range(40)] + [(300 + k, words(rng, 5) + ["is", "so"] * 200 + words(rng, 5)) for k in range(3)]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    met, verified = [], compact_windows._verified
+
+    def counted(pairs, *more):
+        met.append(pairs.count())
+        return verified(pairs, *more)
+
+    compact_windows._verified = counted
+    try:
+        found = {(r.other_doc_id, r.doc_id) for r in compact_windows.repeated_passages(table).collect()}
+    finally:
+        compact_windows._verified = verified
+    assert {p for p in found if p[0] < 300} == {(2 * k, 2 * k + 1) for k in range(40)}
+    assert {x for p in found for x in p if x >= 300} == {300, 301, 302}
+    assert sum(met[1:]) < 2000
+
+
 def test_passages_with_words_put_in():
     """Twelve words in the middle of a passage of 94, in either text: neither half is long enough by itself."""
     rng = np.random.default_rng(5)
