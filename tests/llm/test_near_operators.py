@@ -155,7 +155,8 @@ def test_repeated_passages_common_line(spark):
         passage = words(rng, 17) + line + words(rng, 17)
         edited = passage[:25] + ["new"] + passage[26:] if k % 2 else passage[:9] + ["new"] + passage[10:]
         rows += [(2 * k, words(rng, 30) + passage + words(rng, 30)), (2 * k + 1, words(rng, 45) + edited + words(rng, 20))]
-    rows += [(200 + k, words(rng, 30) + other + words(rng, 30)) for k in range(40)] + [(300 + k, words(rng, 5) + ["is", "so"] * 200 + words(rng, 5)) for k in range(3)]
+    rows += [(200 + k, words(rng, 30) + other + words(rng, 30)) for k in range(40)] + [(400 + k, words(rng, 30) + line + words(rng, 30)) for k in range(200)]
+    rows += [(300 + k, words(rng, 5) + ["is", "so"] * 200 + words(rng, 5)) for k in range(3)]
     table = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
     met, verified = [], compact_windows._verified
 
@@ -170,7 +171,7 @@ def test_repeated_passages_common_line(spark):
         compact_windows._verified = verified
     assert {p for p in found if p[0] < 300} == {(2 * k, 2 * k + 1) for k in range(40)}
     assert {x for p in found for x in p if x >= 300} == {300, 301, 302}
-    assert sum(met[1:]) < 2000
+    assert sum(met[1:]) < 2000, met
 
 
 def test_passages_with_words_put_in():
