@@ -174,6 +174,69 @@ def test_repeated_passages_common_line(spark):
     assert sum(met[1:]) < 2000, met
 
 
+def test_repeated_passages_repeated_words(spark):
+    """Texts of one pair of words, many times over, in different surroundings: they are joined, and what they send does not grow with the repeats."""
+    rng = random.Random(31)
+    rows = [(k, words(rng, 60) + ["is", "onhe."] * (100 + 5 * k) + words(rng, 60)) for k in range(12)]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    ship_package(spark)
+    nodes = compact_windows.window_rows(table).groupBy("text_id", "signature").count().collect()
+    assert max(r["count"] for r in nodes) < 8
+    found = [(r.doc_id, r.other_doc_id) for r in compact_windows.repeated_passages(table).collect()]
+    low = {i: i for i, _ in rows}
+    for _ in rows:
+        for x, y in found:
+            low[x] = low[y] = min(low[x], low[y])
+    assert set(low.values()) == {0}
+
+
+def test_repeated_passages_in_parts(spark, monkeypatch):
+    """Pairs are verified some at a time, each once and with the texts of its part alone, with the same rows."""
+    rng = random.Random(21)
+    line, rows = words(rng, 26), []
+    for k in range(12):
+        passage = words(rng, 12) + line + words(rng, 12)
+        edited = passage[:6] + ["new"] + passage[7:]
+        rows += [(2 * k, words(rng, 30) + passage + words(rng, 30)), (2 * k + 1, words(rng, 45) + edited + words(rng, 20))]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    ship_package(spark)
+    calls, passages_in = [], compact_windows._passages_in
+
+    def counted(pairs, ta, tb, width, need, beside):
+        calls.append((beside, pairs.count(), ta.count()))
+        return passages_in(pairs, ta, tb, width, need, beside)
+
+    monkeypatch.setattr(compact_windows, "_passages_in", counted)
+    whole = sorted(map(tuple, compact_windows.repeated_passages(table).collect()))
+    at_once = [c[1:] for c in calls if c[0]]
+    calls.clear()
+    monkeypatch.setattr(compact_windows, "PAIRS", 60)
+    assert sorted(map(tuple, compact_windows.repeated_passages(table).collect())) == whole
+    parts = [c[1:] for c in calls if c[0]]
+    assert {(r[3], r[0]) for r in whole} == {(2 * k, 2 * k + 1) for k in range(12)}
+    assert len(at_once) == 1 and at_once[0][0] > 60 and len(parts) >= 4
+    assert sum(n for n, _ in parts) == at_once[0][0] and max(n for _, n in parts) < at_once[0][1]
+
+
+def test_components_of_few_edges(spark, monkeypatch):
+    """The last edges are joined by one task: the same components as by rounds alone."""
+    ship_package(spark)
+    rng = random.Random(8)
+    pairs = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(40)] + [(200 + rng.randrange(80), 200 + rng.randrange(80)) for _ in range(60)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+
+    def sets():
+        out = {}
+        for r in components(edges).collect():
+            out.setdefault(r.root, set()).add(r.node)
+        return sorted(map(sorted, out.values()))
+
+    few = sets()
+    for most in (0, 40):
+        monkeypatch.setattr("auditloom.llm.components.FEW", most)
+        assert sets() == few
+
+
 def test_passages_with_words_put_in():
     """Twelve words in the middle of a passage of 94, in either text: neither half is long enough by itself."""
     rng = np.random.default_rng(5)
